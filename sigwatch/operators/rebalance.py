@@ -111,10 +111,10 @@ def _place(pivots: np.ndarray):
 
 
 def _nearest(k: int):
-    def nearest(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    def nearest(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(points):
-            ids, where = points["id"].to_numpy(), _to_matrix(points["x"])
+            ids, where = points["point"].to_numpy(), _to_matrix(points["y"])
             for start in range(0, len(queries), 256):
                 part = queries.iloc[start:start + 256]
                 vectors = _to_matrix(part["x"])
@@ -175,10 +175,14 @@ def nearest_neighbours(points: DataFrame, k: int = 5, block_rows: int = 20_000,
     placed = cells.withColumn("block", F.pmod(row_hash(seed, "id"), count_of).cast("int"))
 
     schema = "id bigint, neighbour bigint, distance double"
-    stored = placed.select("id", "x", F.col("cell").alias("to_cell"), F.col("block").alias("to_block"))
-    unlimited = stored.withColumn("limit", F.lit(float("inf")))
-    own = (unlimited.groupBy("to_cell", "to_block")
-           .cogroup(stored.groupBy("to_cell", "to_block")).applyInPandas(_nearest(k), schema))
+    nearest = _nearest(k)
+
+    def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf.rename(columns={"id": "point", "x": "y"})
+        return nearest(pdf.assign(limit=np.inf), points)
+
+    own = placed.select("id", "x", "cell", "block").groupBy("cell", "block").applyInPandas(
+        in_block, schema)
     # Without k neighbours in the own block there is no bound yet.
     limits = own.groupBy("id").agg(
         F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("limit"))
@@ -194,11 +198,15 @@ def nearest_neighbours(points: DataFrame, k: int = 5, block_rows: int = 20_000,
         portions = F.broadcast(portions)
     asked = (queries.join(portions, block_key)
              .withColumn("portion", F.pmod(F.xxhash64("id"), F.col("portions")).cast("int")))
+    stored = placed.select(F.col("id").alias("point"), F.col("x").alias("y"),
+                           F.col("cell").alias("to_cell"), F.col("block").alias("to_block"))
     held = (stored.join(portions, block_key)
-            .withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))))
-    keys = [*block_key, "portion"]
-    others = (asked.drop("portions").groupBy(*keys)
-              .cogroup(held.drop("portions").groupBy(*keys)).applyInPandas(_nearest(k), schema))
+            .withColumn("in_portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+            .select("point", "y", F.col("to_cell").alias("in_cell"),
+                    F.col("to_block").alias("in_block"), "in_portion"))
+    others = (asked.select("id", "x", "limit", *block_key, "portion").groupBy(*block_key, "portion")
+              .cogroup(held.groupBy("in_cell", "in_block", "in_portion"))
+              .applyInPandas(nearest, schema))
     # At most k rows per point and block searched.
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (own.unionByName(others).withColumn("rank", F.row_number().over(best))
