@@ -129,7 +129,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = (half_lat * half_lat
              + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon)
-    return 2 * 6371.0 * F.asin(F.least(F.sqrt(chord), F.lit(1.0)))
+    # Least of a null and one would be one.
+    return F.when(chord.isNotNull(), 2 * 6371.0 * F.asin(F.least(F.sqrt(chord), F.lit(1.0))))
 
 
 def impossible_travel(updates: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",

@@ -84,7 +84,8 @@ _CHORD = (f"pow({_HALF.format(a='plat', b='lat')}, 2) + cos(radians(plat)) * cos
  lag(us) OVER w AS pus, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM updates
  WINDOW w AS (PARTITION BY c_imsi ORDER BY ts, event_id)),
 measured AS (SELECT event_id, us - pus AS gap,
- 2 * CAST(6371 AS DOUBLE) * asin(least(sqrt({_CHORD}), 1)) AS km FROM linked)
+ CASE WHEN pus IS NOT NULL THEN 2 * CAST(6371 AS DOUBLE) * asin(least(sqrt({_CHORD}), 1)) END
+ AS km FROM linked)
 SELECT event_id, round(km, 3) AS distance_km, CASE WHEN CASE WHEN gap > 0
  THEN km > gap / CAST(3600000000 AS DOUBLE) * 1000 ELSE km > 0 END THEN 1 ELSE 0 END
  AS f_velocity_greater_than_1000 FROM measured""")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sigwatch.constants import SIP_CLASS_SEVERITY, SIP_RULES
 from sigwatch.operators import actions, sip
+from sigwatch.operators.lists import valid_candidates
 from sigwatch.plans.registry import query
 from sigwatch.plans.views import IDS, SIP, ids_lines, sip_messages
-from sigwatch.schemas import IDS_EVENTS
+from sigwatch.sources.tables import parse_ids_events
 
 _FLOWS = f"""{IDS}, parsed AS (SELECT json_extract_string(line, '$.timestamp') AS timestamp,
  json_extract_string(line, '$.src_ip') AS src_ip,
@@ -23,11 +23,7 @@ flows AS (SELECT timestamp, src_ip, dest_ip, proto, CASE WHEN alerted THEN 1 ELS
 
 def _flows(spark, sf_dir):
     """Parse the event lines, leave out malformed ones, flatten."""
-    schema = T.StructType([*IDS_EVENTS.fields, T.StructField("_bad", T.StringType())])
-    parsed = ids_lines(spark, sf_dir).select(
-        F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-        .alias("e")).select("e.*")
-    return sip.flatten_events(parsed.where("_bad IS NULL"))
+    return sip.flatten_events(parse_ids_events(ids_lines(spark, sf_dir), "line"))
 
 
 @query("sip_flatten", f"WITH {_FLOWS} SELECT * FROM flows")
@@ -44,7 +40,6 @@ def sip_alert_payload(spark, sf_dir):
 
 @query("sip_block_sources", f"WITH {_FLOWS} SELECT DISTINCT src_ip AS ip FROM flows WHERE label = 1")
 def sip_block_sources(spark, sf_dir):
-    from sigwatch.operators.lists import valid_candidates
     return valid_candidates(_flows(spark, sf_dir).where("label = 1"), "src_ip")
 
 

@@ -65,14 +65,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
         return spark.createDataFrame([], full)
 
 
-def read_ids_events(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
-    """IDS events from JSON lines; malformed lines are left out, or only they are kept."""
+def parse_ids_events(lines: DataFrame, column: str = "value", keep_bad: bool = False) -> DataFrame:
+    """IDS events from JSON texts; malformed ones are left out, or only they are kept."""
     schema = T.StructType([*IDS_EVENTS.fields, T.StructField("_bad", T.StringType())])
-    lines = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", "_bad").json(path))
-    # Naming every column keeps the reader from skipping the parse.
-    return lines.where(F.col("_bad").isNotNull()) if keep_bad else (
-        lines.where(F.col("_bad").isNull()).drop("_bad"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    texts = lines.where(F.length(F.trim(column)) > 0)
+    parsed = texts.withColumn("_event", F.from_json(column, schema, options))
+    if keep_bad:
+        return parsed.where(F.col("_event._bad").isNotNull()).drop("_event")
+    good = F.col("_event").isNotNull() & F.col("_event._bad").isNull()
+    return parsed.where(good).select("_event.*").drop("_bad")
+
+
+def read_ids_events(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+    """IDS events from files of JSON lines."""
+    return parse_ids_events(spark.read.text(path), keep_bad=keep_bad)
 
 
 def write_features(df: DataFrame, path: str, batch_date: str) -> None:

@@ -22,7 +22,8 @@ from sigwatch.operators.lists import block_additions
 from sigwatch.operators.rules import detect
 from sigwatch.operators.sip import flatten_events
 from sigwatch.operators.training import score
-from sigwatch.schemas import IDS_EVENTS, feature_table
+from sigwatch.schemas import feature_table
+from sigwatch.sources.tables import parse_ids_events
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv",
@@ -134,7 +135,6 @@ def start_scoring(spark: SparkSession, inbox: str, root: str, model: PipelineMod
 
 def start_sip(spark: SparkSession, inbox: str, root: str, every: str | None = "10 seconds",
               **source) -> StreamingQuery:
-    schema = T.StructType([*IDS_EVENTS.fields, T.StructField("_corrupt_record", T.StringType())])
-    events = file_stream(spark, inbox, schema, kind="json", **source)
-    good = events.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return start(good, sip_handler(root), f"{root}/_checkpoint_sip", every)
+    lines = file_stream(spark, inbox, T.StructType([T.StructField("value", T.StringType())]),
+                        kind="text", **source)
+    return start(parse_ids_events(lines), sip_handler(root), f"{root}/_checkpoint_sip", every)
