@@ -47,8 +47,9 @@ def tumbling_rate(messages: DataFrame, matches: Column, source: str, count: int,
                   ts: str = "ts") -> DataFrame:
     """Sources with at least ``count`` matching messages in a fixed window, once per window."""
     return (messages.where(matches)
-            .groupBy(F.window(ts, window).start.alias("window_start"), source)
-            .agg(F.count("*").alias("n_messages")).where(F.col("n_messages") >= count))
+            .groupBy(F.window(ts, window).alias("_window"), source)
+            .agg(F.count("*").alias("n_messages")).where(F.col("n_messages") >= count)
+            .select(F.col("_window.start").alias("window_start"), source, "n_messages"))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

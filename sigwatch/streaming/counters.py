@@ -10,20 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigwatch.operators.sip import tumbling_rate
 
-_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_row_state(spark: SparkSession) -> None:
-    """The row-by-row operators need the disk-backed state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-
-
 def windowed_counts(stream: DataFrame, key: str = "c_imsi", ts: str = "ts",
                     window: str = "5 minutes", late: str = "1 minute") -> DataFrame:
     """Messages per key and window, for the update or append mode."""
@@ -37,71 +29,65 @@ def rate_alerts(stream: DataFrame, matches: Column, source: str, count: int, win
     return tumbling_rate(stream.withWatermark(ts, late), matches, source, count, window, ts)
 
 
-class _RunningCount(StatefulProcessor):
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+def _keep_until(state: GroupState, moment_ms: int) -> None:
+    """Forget the state once the watermark has passed the moment.
+
+    Event time, not the clock, drives this: results do not depend on when a job runs, and
+    a run over what is there can end.
+    """
+    state.setTimeoutTimestamp(max(moment_ms, state.getCurrentWatermarkMs() + 1))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("n", T.LongType())])
-        self.seen = handle.getValueState("seen", schema, self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        for pdf in rows:
+def _count_on(idle_ms: int):
+    def count_on(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last_ms = state.get if state.exists else (0, 0)
+        for pdf in batches:
             pdf = pdf.sort_values(["ts", "event_id"])
+            last_ms = max(last_ms, int(pdf["ts"].iloc[-1].timestamp() * 1000))
             yield pdf.assign(f_msg_count_per_imsi=range(n + 1, n + 1 + len(pdf)))
             n += len(pdf)
-        self.seen.update((n,))
-
-    def close(self) -> None:
-        pass
+        state.update((n, last_ms))
+        _keep_until(state, last_ms + idle_ms)
+    return count_on
 
 
-def running_counts(stream: DataFrame, key: str = "c_imsi", ttl_ms: int = 86_400_000) -> DataFrame:
-    """Adds the 1-based count per key in order of arrival; idle keys start again after the TTL.
+def running_counts(stream: DataFrame, key: str = "c_imsi", idle_seconds: int = 86_400,
+                   late: str = "1 hour") -> DataFrame:
+    """Adds the 1-based count per key in order of arrival; keys idle for long start again.
 
-    Needs ``event_id`` and ``ts``.
+    Needs ``event_id`` and a timestamp ``ts``.
     """
     schema = T.StructType([*stream.schema.fields,
                            T.StructField("f_msg_count_per_imsi", T.LongType())])
-    return stream.groupBy(key).transformWithStateInPandas(
-        _RunningCount(ttl_ms), schema, "Append", "ProcessingTime")
-
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
+        _count_on(idle_seconds * 1000), schema, "n long, last_ms long", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
-class _ThresholdWindow(StatefulProcessor):
-    def __init__(self, source: str, count: int, seconds: int):
-        self.source, self.count, self.seconds = source, count, seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("start", T.LongType()),
-                               T.StructField("n", T.LongType())])
-        self.handle = handle
-        self.open = handle.getValueState("open", schema)
+def _watch(source: str, count: int, width: int):
+    columns = [source, "start_us", "alert_us"]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, n = self.open.get() if self.open.exists() else (None, 0)
-        width = self.seconds * 1_000_000
-        for pdf in rows:
+    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (None, 0)
+        for pdf in batches:
             alerts = []
             for at in sorted(pdf["_us"].tolist()):
                 if start is None or at >= start + width:
                     start, n = at, 0
                 n += 1
-                if n == self.count:
+                if n == count:
                     alerts.append((key[0], start, at))
-            yield pd.DataFrame(alerts, columns=[self.source, "start_us", "alert_us"])
-        self.open.update((start, n))
+            yield pd.DataFrame(alerts, columns=columns)
+        state.update((start, n))
         # The window is of no use once event time has passed its end.
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((start + width) // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.open.clear()
-        yield pd.DataFrame(columns=[self.source, "start_us", "alert_us"])
-
-    def close(self) -> None:
-        pass
+        _keep_until(state, (start + width) // 1000 + 1)
+    return watch
 
 
 def threshold_alerts(stream: DataFrame, matches: Column, source: str, count: int, seconds: int,
@@ -112,8 +98,9 @@ def threshold_alerts(stream: DataFrame, matches: Column, source: str, count: int
     """
     timed = (stream.where(matches).withWatermark(ts, late)
              .select(source, ts, F.unix_micros(ts).alias("_us")))
-    schema = f"{source} string, start_us bigint, alert_us bigint"
-    found = timed.groupBy(source).transformWithStateInPandas(
-        _ThresholdWindow(source, count, seconds), schema, "Append", "EventTime")
+    found = timed.groupBy(source).applyInPandasWithState(
+        _watch(source, count, seconds * 1_000_000),
+        f"{source} string, start_us bigint, alert_us bigint", "start bigint, n bigint", "append",
+        GroupStateTimeout.EventTimeTimeout)
     return found.select(source, F.timestamp_micros("start_us").alias("window_start"),
                         F.timestamp_micros("alert_us").alias("alert_at"))
