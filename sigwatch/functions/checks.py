@@ -7,21 +7,24 @@ from pyspark.sql import Column, functions as F
 # Seconds of the years 1 to 9999, the range a calendar date can hold.
 _FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799
 
-# Formats always accepted, whatever format the caller names.
+# Formats always accepted, whatever format the caller names, each with the shape of its
+# texts: a failed parse is dear, a pattern test is not.
+_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TIME = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
 TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx",
-    "yyyy-MM-dd'T'HH:mm:ssX",
+    ("yyyy-MM-dd HH:mm:ss", rf"{_DAY} {_TIME}\z"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", rf"{_DAY}T{_TIME}\.[0-9]{{1,6}}(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})\z"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx", rf"{_DAY}T{_TIME}\.[0-9]{{1,6}}[+-][0-9]{{4}}\z"),
+    ("yyyy-MM-dd'T'HH:mm:ssX", rf"{_DAY}T{_TIME}Z\z"),
 ]
 # Stand-ins for a free parse.
 EXTRA_TIME_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
+    ("yyyy-MM-dd'T'HH:mm:ss", rf"{_DAY}T{_TIME}\z"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", rf"{_DAY} {_TIME}\.[0-9]{{1,6}}\z"),
+    ("yyyy-MM-dd HH:mm", rf"{_DAY} [0-9]{{2}}:[0-9]{{2}}\z"),
+    ("yyyy-MM-dd", rf"{_DAY}\z"),
+    ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}\z"),
+    ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"),
 ]
 
 
@@ -34,11 +37,13 @@ def valid_imsi(imsi: Column, length: int = 15) -> Column:
 def parse_timestamp(value: Column, preferred: str | None = None) -> Column:
     """First reading that works: caller's format, common formats, epoch seconds."""
     text = value.cast("string")
-    formats = ([preferred] if preferred else []) + TIME_FORMATS + EXTRA_TIME_FORMATS
+    readings = [F.try_to_timestamp(text, F.lit(preferred))] if preferred else []
+    readings += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f)))
+                 for f, shape in TIME_FORMATS + EXTRA_TIME_FORMATS]
     seconds = text.try_cast("double")
     in_range = (seconds >= _FIRST_SECOND) & (seconds <= _LAST_SECOND)
     epoch = F.when(in_range, F.timestamp_seconds(F.floor(seconds)))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], epoch)
+    return F.coalesce(*readings, epoch)
 
 
 def valid_timestamp(value: Column, preferred: str | None = None) -> Column:

@@ -23,8 +23,10 @@ def bounds(cidr: str) -> tuple[int, int]:
 
 def ip_to_long(ip: Column) -> Column:
     """Address as a number; null for text that is not a strict dotted quad."""
-    octets = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    ends = [F.substring_index(ip, ".", 2), F.substring_index(ip, ".", -2)]
+    texts = [F.substring_index(e, ".", side) for e in ends for side in (1, -1)]
+    a, b, c, d = [t.try_cast("int").cast("bigint") for t in texts]
+    value = a * 16777216 + b * 65536 + c * 256 + d
     return F.when(ip.rlike(IPV4), value)
 
 

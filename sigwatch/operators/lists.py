@@ -11,13 +11,24 @@ from sigwatch.operators.skew import fits, salted_join
 BROADCAST_ROWS = 500_000
 
 
+def _literal(value: str | int) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}L"
+
+
+def fixed_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """Small fixed rows as an inline table, whose size the optimizer knows."""
+    lines = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(columns)})")
+
+
 def bad_addresses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in BAD_ADDRESSES], "ip string")
+    return fixed_table(spark, [(a,) for a in BAD_ADDRESSES], ["ip"])
 
 
 def bad_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, *bounds(c)) for c in BAD_RANGES],
-                                 "cidr string, lo bigint, hi bigint")
+    return fixed_table(spark, [(c, *bounds(c)) for c in BAD_RANGES], ["cidr", "lo", "hi"])
 
 
 def load_addresses(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigwatch.constants import DEFAULT_SIP_ALERT, SIP_CLASS_SEVERITY, SIP_RULES
 from sigwatch.operators.features import micros
+from sigwatch.operators.lists import fixed_table
 from sigwatch.operators.skew import (
     AT, KEY, SLICE, TARGET_ROWS, Slicing, find_slicing, heavy_only, keyed_rows,
     running_sums, slice_rows,
@@ -54,7 +55,8 @@ def tumbling_rate(messages: DataFrame, matches: Column, source: str, count: int,
 
 def rule_table(spark: SparkSession) -> DataFrame:
     rows = [(sid, cls, text, SIP_CLASS_SEVERITY[cls]) for sid, cls, text in SIP_RULES]
-    return spark.createDataFrame(rows, "sid bigint, classtype string, msg string, severity int")
+    table = fixed_table(spark, rows, ["sid", "classtype", "msg", "severity"])
+    return table.withColumn("severity", F.col("severity").cast("int"))
 
 
 def content_alerts(messages: DataFrame, text: str) -> DataFrame:
@@ -125,18 +127,23 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _assign(width: int):
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        times = pdf[AT].to_numpy(dtype=np.int64)
-        inherited, starts = int(pdf["inherited"].iloc[0]), []
-        at = int(np.searchsorted(times, inherited, side="left"))
-        while at < len(times):
-            starts.append(times[at])
-            at = int(np.searchsorted(times, times[at] + width, side="left"))
-        # Events before the first own window belong to the inherited one.
-        known = np.array([inherited - width, *starts], dtype=np.int64)
-        place = np.searchsorted(known, times, side="right") - 1
-        return pd.DataFrame({KEY: pdf[KEY], "start": known[place], AT: times, "n": pdf["n"]})
+    """Window start and running count of each event, over events sorted by key, slice, time."""
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, start, so_far = None, 0, 0
+        for pdf in batches:
+            starts, counts = [], []
+            for key, number, at, n, inherited in zip(
+                    pdf[KEY], pdf[SLICE], pdf[AT].tolist(), pdf["n"].tolist(), pdf["inherited"].tolist()):
+                if (key, number) != cell:
+                    # Events before the inherited end belong to the inherited window.
+                    cell, start, so_far = (key, number), inherited - width, 0
+                if at >= start + width:
+                    start, so_far = at, 0
+                so_far += n
+                starts.append(start)
+                counts.append(so_far)
+            yield pd.DataFrame({"source": pdf[KEY], "start": starts, "moment": pdf[AT],
+                                "n": pdf["n"], "so_far": counts})
     return assign
 
 
@@ -165,12 +172,13 @@ def threshold_windows(messages: DataFrame, matches: Column, source: str, count:
         moments = moments.join(inherited, [KEY, SLICE], "left")
     else:
         moments = moments.withColumn("inherited", F.lit(None).cast("bigint"))
-    assigned = (moments.withColumn("inherited", F.coalesce("inherited", F.lit(_LONG_AGO)))
-                .groupBy(KEY, SLICE).applyInPandas(
-                    _assign(width), f"{KEY} string, start bigint, {AT} bigint, n bigint"))
-    counted = running_sums(assigned.withColumnsRenamed({KEY: "source", AT: "moment"}),
-                           ["source", "start"], F.col("moment"), {"so_far": F.col("n")},
-                           target_rows, None if slicing.cuts else slicing)
+    counted = (moments.withColumn("inherited", F.coalesce("inherited", F.lit(_LONG_AGO)))
+               .repartition(KEY, SLICE).sortWithinPartitions(KEY, SLICE, AT)
+               .mapInPandas(_assign(width),
+                            "source string, start bigint, moment bigint, n bigint, so_far bigint"))
+    if slicing.cuts:  # windows may go on over slices
+        counted = running_sums(counted.drop("so_far"), ["source", "start"], F.col("moment"),
+                               {"so_far": F.col("n")}, target_rows)
     alerts = counted.groupBy("source", "start").agg(
         F.max("so_far").alias("n_messages"),
         F.min(F.when(F.col("so_far") >= count, F.col("moment"))).alias("alert_at"))

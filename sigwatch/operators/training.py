@@ -88,8 +88,17 @@ def assemble(features: list[str], impute: bool = True, on_invalid: str = "keep")
 
 
 def train(df: DataFrame, features: list[str], classifier) -> PipelineModel:
+    """Impute, assemble and fit; the classifier's passes share one kept copy of its input."""
     require_columns(df, features)
-    return Pipeline(stages=[*assemble(features), classifier]).fit(df)
+    prepared = Pipeline(stages=assemble(features)).fit(df)
+    used = ["features", classifier.getLabelCol()] + [
+        classifier.getOrDefault(p) for p in ("weightCol", "validationIndicatorCol")
+        if classifier.hasParam(p) and classifier.isSet(p)]
+    kept = prepared.transform(df).select(*used).persist()
+    try:
+        return PipelineModel(stages=[*prepared.stages, classifier.fit(kept)])
+    finally:
+        kept.unpersist()
 
 
 def best_iteration(model: PipelineModel) -> int:
