@@ -30,16 +30,21 @@ def ip_to_long(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), value)
 
 
-def within(number: Column, cidrs: list[str]) -> Column:
+def within(number: Column, cidrs: list[str], most_blocks: int = 4096) -> Column:
     """Whether the number lies in any of a short fixed list of networks.
 
-    One set lookup per prefix length keeps the expression small whatever the list holds.
+    Networks are cut to the size of the smallest one, so that one set lookup answers for
+    all; where that takes too many blocks, there is one lookup per network size.
     """
-    prefixes: dict[int, list[int]] = defaultdict(list)
-    for net in map(ipaddress.ip_network, cidrs):
+    nets = [ipaddress.ip_network(c) for c in cidrs]
+    finest = max(n.prefixlen for n in nets)
+    if sum(2 ** (finest - n.prefixlen) for n in nets) <= most_blocks:
+        nets = [block for n in nets for block in n.subnets(new_prefix=finest)]
+    blocks: dict[int, list[int]] = defaultdict(list)
+    for net in nets:
         spare = 32 - net.prefixlen
-        prefixes[spare].append(int(net.network_address) >> spare)
-    tests = [F.shiftright(number, spare).isin(found) for spare, found in sorted(prefixes.items())]
+        blocks[spare].append(int(net.network_address) >> spare)
+    tests = [F.shiftright(number, spare).isin(found) for spare, found in sorted(blocks.items())]
     return F.coalesce(reduce(or_, tests), F.lit(False))
 
 

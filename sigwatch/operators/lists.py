@@ -69,7 +69,8 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str, spread_by: str,
     """
     block = F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16)))
     pieces = ranges.select("lo", "hi", block.alias("_block")).distinct()
-    numbered = (rows.withColumn("_number", ip_to_long(F.col(ip)))
+    # No range holds -1, and without nulls no null filter repeats the parsing.
+    numbered = (rows.withColumn("_number", F.coalesce(ip_to_long(F.col(ip)), F.lit(-1)))
                 .withColumn("_block", F.shiftright("_number", 16)))
     inside = F.col("_number").between(F.col("lo"), F.col("hi"))
     found = _lookup(numbered, pieces, ["_block"], spread_by, "left_semi", inside, broadcast_rows)
