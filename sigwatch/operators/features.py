@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sigwatch.constants import LOCATION_UPDATES, OPERATIONS
 from sigwatch.operators.skew import (
-    AT, KEY, SLICE, TARGET_ROWS, carry, cell, earlier_slices, find_slicing, heavy_only,
-    keyed_rows, previous_row, running_count, salted_join, slice_rows, sliding_count,
+    AT, KEY, SLICE, TARGET_ROWS, Sliced, add_previous_row, add_running_count, carry, cell,
+    heavy_only, previous_row, running_count, salted_join, sliced_by, sliding_count,
     sliding_distinct,
 )
 
@@ -31,20 +31,17 @@ def message_count(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
     return running_count(df, keys, micros(ts), tie, "f_msg_count_per_imsi", target_rows)
 
 
-def between_lu_counts(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                      tie: str = "event_id", target_rows: int = TARGET_ROWS) -> DataFrame:
+def add_between_lu_counts(sliced: Sliced, tie: str = "event_id") -> Sliced:
     """Operations of each kind since the last location update, this record included.
 
     A location update closes the stretch it ends: it is counted in it, and the next record
     starts from zero. With sliced keys, a slice hands on the counts after its last update,
     or, if it has none, its counts on top of what it received.
     """
-    keyed = keyed_rows(df, keys, micros(ts))
-    slicing = find_slicing(keyed.select(KEY, AT), target_rows)
-    sliced = slice_rows(keyed, slicing)
+    rows, slicing = sliced
     is_update = F.col("op").isin(LOCATION_UPDATES).cast("bigint")
     before = cell(AT, tie).rowsBetween(Window.unboundedPreceding, -1)
-    staged = sliced.withColumn("_part", F.coalesce(F.sum(is_update).over(before), F.lit(0)))
+    staged = rows.withColumn("_part", F.coalesce(F.sum(is_update).over(before), F.lit(0)))
     stretch = (Window.partitionBy(KEY, SLICE, "_part").orderBy(AT, tie)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = {f"f_count_ok_{op}_between2lu": F.count_if(F.col("op") == op).over(stretch)
@@ -73,25 +70,47 @@ def between_lu_counts(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts
         counted = counted.withColumns({
             n: F.col(n) + F.when(first_part, F.coalesce(F.col(f"_c_{n}"), F.lit(0))).otherwise(0)
             for n in names}).drop(*[f"_c_{n}" for n in names])
-    return counted.drop(KEY, AT, SLICE, "_part")
+    return sliced.with_rows(counted.drop("_part"))
 
 
-def gap_since_previous(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                       tie: str = "event_id", longest: int = 900,
-                       fixed_gap_nodes: list[str] = [], node: str = "c_cggt",
-                       target_rows: int = TARGET_ROWS) -> DataFrame:
+def add_gap(sliced: Sliced, ts: str = "ts", tie: str = "event_id", longest: int = 900,
+            fixed_gap_nodes: list[str] = [], node: str = "c_cggt") -> Sliced:
     """Seconds since the subscriber's previous record, at most ``longest``.
 
     No previous record, or a node in ``fixed_gap_nodes``, gives ``longest``.
     """
-    timed = df.withColumn("_second", seconds(ts))
-    linked = previous_row(timed, keys, micros(ts), tie, ["_second"], "_previous",
-                          target_rows=target_rows)
+    timed = sliced.with_rows(sliced.rows.withColumn("_second", seconds(ts)))
+    linked = add_previous_row(timed, tie, ["_second"], "_previous").rows
     gap = F.least(F.col("_second") - F.col("_previous._second"), F.lit(longest))
+    # Least of a null and a number would be the number.
+    gap = F.when(F.col("_previous").isNotNull(), gap)
     if fixed_gap_nodes:
         gap = F.when(~F.coalesce(F.col(node).isin(fixed_gap_nodes), F.lit(False)), gap)
-    return (linked.withColumn("gap_seconds", F.coalesce(gap, F.lit(longest)).cast("bigint"))
-            .drop("_second", "_previous"))
+    return sliced.with_rows(
+        linked.withColumn("gap_seconds", F.coalesce(gap, F.lit(longest)).cast("bigint"))
+        .drop("_second", "_previous"))
+
+
+def between_lu_counts(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
+                      tie: str = "event_id", target_rows: int = TARGET_ROWS) -> DataFrame:
+    return add_between_lu_counts(sliced_by(df, keys, micros(ts), target_rows), tie).done()
+
+
+def gap_since_previous(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
+                       tie: str = "event_id", target_rows: int = TARGET_ROWS,
+                       **options) -> DataFrame:
+    return add_gap(sliced_by(df, keys, micros(ts), target_rows), ts, tie, **options).done()
+
+
+def sequence_features(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
+                      tie: str = "event_id", target_rows: int = TARGET_ROWS,
+                      **gap_options) -> DataFrame:
+    """Message count, counts and rates between updates, update gap and ratio in one shuffle."""
+    sliced = sliced_by(df, keys, micros(ts), target_rows)
+    sliced = add_running_count(sliced, tie, "f_msg_count_per_imsi")
+    # The counts between updates sort anew, so they come last.
+    sliced = add_between_lu_counts(add_gap(sliced, ts, tie, **gap_options), tie)
+    return ratio_cl_psi(sai_lu_gap(between_lu_rates(sliced.done())))
 
 
 def between_lu_rates(counted: DataFrame) -> DataFrame:

@@ -260,3 +260,13 @@ def smote_rows(df: DataFrame, row_id: str, vector: str, label: str = "label", k:
     between = F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a))
     return both.select(F.col("id").alias("base"), "neighbour", "copy", "u",
                        between.alias(vector), F.lit(quota["minority"]).alias(label))
+
+
+def oversample(df: DataFrame, row_id: str, features: list[str], label: str = "label", k: int = 5,
+               seed: int = 42, **options) -> DataFrame:
+    """Feature and label columns with synthetic minority rows added until classes are equal."""
+    rows = df.select(row_id, F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), label)
+    made = smote_rows(rows, row_id, "_x", label, k, seed, **options)
+    columns = [F.col("_x")[i].alias(c) for i, c in enumerate(features)]
+    return (rows.select(*columns, F.col(label).cast("int").alias(label))
+            .unionByName(made.select(*columns, F.col(label).cast("int").alias(label))))

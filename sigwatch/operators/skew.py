@@ -93,75 +93,93 @@ def keyed_rows(df: DataFrame, keys: list[str], at: Column) -> DataFrame:
     return df.withColumn(KEY, key_text(*keys)).withColumn(AT, at)
 
 
-def _drop_helpers(df: DataFrame, *extra: str) -> DataFrame:
-    return df.drop(KEY, AT, SLICE, *extra)
+class Sliced(NamedTuple):
+    """Rows with KEY, AT and SLICE; all steps below share one shuffle on (KEY, SLICE)."""
 
+    rows: DataFrame
+    slicing: Slicing
 
-def running_count(df: DataFrame, keys: list[str], at: Column, tie: str, name: str,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
-    """1-based position of each row among the rows of its key, ordered by (at, tie)."""
+    def with_rows(self, rows: DataFrame) -> "Sliced":
+        return Sliced(rows, self.slicing)
+
+    def done(self) -> DataFrame:
+        return self.rows.drop(KEY, AT, SLICE)
+
+
+def sliced_by(df: DataFrame, keys: list[str], at: Column, target_rows: int = TARGET_ROWS,
+              slicing: Slicing | None = None) -> Sliced:
+    """Key the rows and cut heavy keys; a known ``slicing`` saves the pass that finds them."""
     keyed = keyed_rows(df, keys, at)
-    slicing = find_slicing(keyed.select(KEY, AT), target_rows)
-    sliced = slice_rows(keyed, slicing)
+    if slicing is None:
+        slicing = find_slicing(keyed.select(KEY, AT), target_rows)
+    return Sliced(slice_rows(keyed, slicing), slicing)
+
+
+def add_running_count(sliced: Sliced, tie: str, name: str) -> Sliced:
+    """1-based position of each row among the rows of its key, ordered by (at, tie)."""
+    rows, slicing = sliced
     position = F.row_number().over(cell(AT, tie)).cast("bigint")
     if slicing.cuts:
-        before = (heavy_only(sliced, slicing).groupBy(KEY, SLICE).agg(F.count("*").alias("_n"))
+        before = (heavy_only(rows, slicing).groupBy(KEY, SLICE).agg(F.count("*").alias("_n"))
                   .select(KEY, SLICE, F.sum("_n").over(earlier_slices()).alias("_before")))
-        sliced = carry(sliced, slicing, before)
+        rows = carry(rows, slicing, before)
         position = position + F.coalesce(F.col("_before"), F.lit(0))
-    return _drop_helpers(sliced.withColumn(name, position), "_before")
-
+    return sliced.with_rows(rows.withColumn(name, position).drop("_before"))
 
-def running_sums(df: DataFrame, keys: list[str], at: Column, values: Mapping[str, Column],
-                 target_rows: int = TARGET_ROWS, slicing: Slicing | None = None) -> DataFrame:
-    """Cumulative sums per key over all rows with an equal or smaller ``at``.
 
-    A known ``slicing`` saves the pass that looks for heavy keys.
-    """
-    keyed = keyed_rows(df, keys, at)
-    keyed = keyed.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    if slicing is None:
-        slicing = find_slicing(keyed.select(KEY, AT), target_rows)
-    sliced = slice_rows(keyed, slicing)
+def add_running_sums(sliced: Sliced, values: Mapping[str, Column]) -> Sliced:
+    """Cumulative sums per key over all rows with an equal or smaller AT."""
+    rows, slicing = sliced
+    rows = rows.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
     if slicing.cuts:
-        per_slice = (heavy_only(sliced, slicing).groupBy(KEY, SLICE)
+        per_slice = (heavy_only(rows, slicing).groupBy(KEY, SLICE)
                      .agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values]))
         before = per_slice.select(
             KEY, SLICE, *[F.sum(f"_s_{n}").over(earlier_slices()).alias(f"_b_{n}") for n in values])
-        sliced = carry(sliced, slicing, before)
+        rows = carry(rows, slicing, before)
     upto = cell(AT).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {}
     for n in values:
         total = F.sum(f"_v_{n}").over(upto)
         sums[n] = total + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) if slicing.cuts else total
     helpers = [f"_{kind}_{n}" for kind in ("v", "b") for n in values]
-    return _drop_helpers(sliced.withColumns(sums), *helpers)
+    return sliced.with_rows(rows.withColumns(sums).drop(*helpers))
 
 
-def previous_row(df: DataFrame, keys: list[str], at: Column, tie: str, fields: list[str],
-                 name: str, only: Column | None = None,
-                 target_rows: int = TARGET_ROWS) -> DataFrame:
+def add_previous_row(sliced: Sliced, tie: str, fields: list[str], name: str,
+                     only: Column | None = None) -> Sliced:
     """Struct of ``fields`` from the nearest earlier row of the key that meets ``only``."""
-    keyed = keyed_rows(df, keys, at)
-    slicing = find_slicing(keyed.select(KEY, AT), target_rows)
-    sliced = slice_rows(keyed, slicing)
+    rows, slicing = sliced
     row = F.struct(*fields)
     seen = row if only is None else F.when(only, row)
     earlier = cell(AT, tie).rowsBetween(Window.unboundedPreceding, -1)
     found = F.last(seen, ignorenulls=True).over(earlier)
     if slicing.cuts:
-        heavy = heavy_only(sliced, slicing)
-        candidates = heavy if only is None else heavy.where(only)
-        latest = candidates.groupBy(KEY, SLICE).agg(
-            F.max_by(row, F.struct(F.col(AT), F.col(tie))).alias("_latest"))
-        # Slices without a candidate still need the carry, so list all slices.
-        every = heavy.select(KEY, SLICE).distinct()
-        before = (every.join(latest, [KEY, SLICE], "left")
-                  .select(KEY, SLICE, F.last("_latest", ignorenulls=True)
-                          .over(earlier_slices()).alias("_before")))
-        sliced = carry(sliced, slicing, before)
-        found = F.coalesce(found, F.col("_before"))
-    return _drop_helpers(sliced.withColumn(name, found), "_before")
+        # Slices without a candidate get a null and still take part in the carry.
+        last = F.max(F.when(F.lit(True) if only is None else only,
+                            F.struct(F.col(AT), F.col(tie), row.alias("row"))))
+        latest = heavy_only(rows, slicing).groupBy(KEY, SLICE).agg(last.alias("_latest"))
+        before = latest.select(KEY, SLICE, F.last("_latest", ignorenulls=True)
+                               .over(earlier_slices()).alias("_before"))
+        rows = carry(rows, slicing, before)
+        found = F.coalesce(found, F.col("_before.row"))
+    return sliced.with_rows(rows.withColumn(name, found).drop("_before"))
+
+
+def running_count(df: DataFrame, keys: list[str], at: Column, tie: str, name: str,
+                  target_rows: int = TARGET_ROWS) -> DataFrame:
+    return add_running_count(sliced_by(df, keys, at, target_rows), tie, name).done()
+
+
+def running_sums(df: DataFrame, keys: list[str], at: Column, values: Mapping[str, Column],
+                 target_rows: int = TARGET_ROWS, slicing: Slicing | None = None) -> DataFrame:
+    return add_running_sums(sliced_by(df, keys, at, target_rows, slicing), values).done()
+
+
+def previous_row(df: DataFrame, keys: list[str], at: Column, tie: str, fields: list[str],
+                 name: str, only: Column | None = None,
+                 target_rows: int = TARGET_ROWS) -> DataFrame:
+    return add_previous_row(sliced_by(df, keys, at, target_rows), tie, fields, name, only).done()
 
 
 def sliding_count(df: DataFrame, keys: list[str], at: Column, width: int, name: str,

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sigwatch.constants import OPERATIONS
 from sigwatch.operators import features
+from sigwatch.operators.rules import detect
+from sigwatch.plans.detection import _FLAGS, _SCORE, _THREAT
 from sigwatch.plans.registry import query
-from sigwatch.plans.views import SIG, UPDATES, location_updates, records, sig
+from sigwatch.plans.views import RECORD, SIG, UPDATES, location_updates, records, sig
 
 _COUNTED = f"""{SIG}, parts AS (SELECT event_id, ts, c_imsi, op, COALESCE(sum(CASE WHEN op IN
  ('ul', 'ulgprs') THEN 1 ELSE 0 END) OVER (PARTITION BY c_imsi ORDER BY ts, event_id
@@ -44,8 +46,7 @@ def between_lu_counts(spark, sf_dir):
            f"f_count_ok_{op}_between2lu / (COALESCE(gap, 900) + CAST(1 AS DOUBLE)) "
            f"AS f_frequent_ok_{op}_between2lu" for op in OPERATIONS) + " FROM counted")
 def between_lu_rate(spark, sf_dir):
-    rates = features.between_lu_rates(features.gap_since_previous(_counted(spark, sf_dir)))
-    return rates.select("event_id", "gap_seconds",
+    return features.sequence_features(records(spark, sf_dir)).select("event_id", "gap_seconds",
                         *[f"f_frequent_ok_{op}_between2lu" for op in OPERATIONS])
 
 
@@ -120,3 +121,24 @@ def one_to_many_psi_rows(spark, sf_dir):
     rows = features.with_psi_fan_out(records(spark, sf_dir), "c_cggt", "c_network_node_number",
                                      "6 hours")
     return rows.select("event_id", "f_one_cggt_multi_cdgt_psi")
+
+
+# Rules over features computed from the records themselves, not over given ones.
+_DERIVED = f"""{_COUNTED}, numbered AS (SELECT event_id, row_number() OVER (PARTITION BY c_imsi
+ ORDER BY ts, event_id) AS f_msg_count_per_imsi FROM sig),
+derived AS (SELECT s.event_id, s.c_imsi, s.src_ip, s.c_cggt, s.c_network_node_number, s.hex_payload,
+ s.f_same_cggt_is_hlr_oc, n.f_msg_count_per_imsi, c.f_count_ok_sri_between2lu,
+ c.f_count_ok_psi_between2lu, c.f_count_ok_ul_between2lu,
+ c.f_count_ok_sri_between2lu / (COALESCE(c.gap, 900) + CAST(1 AS DOUBLE)) AS f_frequent_ok_sri_between2lu
+ FROM sig s JOIN counted c USING (event_id) JOIN numbered n USING (event_id)),
+flagged AS (SELECT *, {_FLAGS} FROM derived)"""
+
+
+@query("threat_from_records", f"""WITH {_DERIVED} SELECT event_id, CAST({_SCORE} AS INT) AS threat_score,
+ CASE WHEN {_SCORE} >= 3 THEN 1 ELSE 0 END AS label, {_THREAT} AS main_threat FROM flagged""")
+def threat_from_records(spark, sf_dir):
+    """From raw records to labels: all sequence features in one shuffle, then the rules."""
+    given = ["hex_payload", "f_same_cggt_is_hlr_oc"]
+    rows = sig(spark, sf_dir).select(*RECORD, *given)
+    return detect(features.sequence_features(rows)).select(
+        "event_id", "threat_score", "label", "main_threat")

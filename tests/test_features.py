@@ -15,9 +15,7 @@ def frame(spark, rows):
 def test_counts_gap_and_rates(spark):
     rows = [(1, "a", 100, "cl", "x"), (2, "a", 313, "psi", "x"), (3, "a", 313, "ul", "x"),
             (4, "a", 5000, "sai", "x"), (5, "a", 5010, "sai", "y"), (6, "b", 5010, "sai", "x")]
-    counted = features.between_lu_counts(frame(spark, rows))
-    gaps = features.gap_since_previous(counted, fixed_gap_nodes=["y"])
-    full = features.ratio_cl_psi(features.sai_lu_gap(features.between_lu_rates(gaps)))
+    full = features.sequence_features(frame(spark, rows), fixed_gap_nodes=["y"])
     got = {r["event_id"]: r for r in full.collect()}
     assert [got[i]["gap_seconds"] for i in range(1, 7)] == [900, 213, 0, 900, 900, 900]
     assert [got[i]["f_count_ok_cl_between2lu"] for i in range(1, 7)] == [1, 1, 1, 0, 0, 0]
