@@ -53,6 +53,17 @@ def spark_parameters(kind: str, parameters: Mapping[str, Any]) -> dict[str, Any]
     return out
 
 
+class Forest(RandomForestClassifier):
+    """Forest whose model leaves its training summary behind.
+
+    The summary holds the session, and a session that has observed metrics cannot be sent
+    to tasks, so scoring with the summary attached would fail. Copies carry none.
+    """
+
+    def _fit(self, dataset: DataFrame):
+        return super()._fit(dataset).copy()
+
+
 def make_classifier(kind: str, parameters: Mapping[str, Any], features: str = "features",
                     label: str = "label", weight: str | None = None,
                     validation: str | None = None):
@@ -68,7 +79,7 @@ def make_classifier(kind: str, parameters: Mapping[str, Any], features: str = "f
     if weight:
         common["weightCol"] = weight
     if kind == "rf":
-        return RandomForestClassifier(**common, **settings)
+        return Forest(**common, **settings)
     model = GBTClassifier(**common, **settings)
     return model.setValidationIndicatorCol(validation) if validation else model
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from sigwatch.operators import metrics, rebalance, training
 from sigwatch.operators.quality import MissingColumns
@@ -74,6 +74,15 @@ def test_draws():
     assert all(0.6 <= d["u"] < 1.0 for d in draws)
 
 
+def test_models_work_after_metrics_were_observed(spark, rows):
+    seen = Observation("before")
+    rows.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 600
+    model = training.train(rows.where("is_holdout = 0"), FEATURES,
+                           training.make_classifier("rf", {"n_estimators": 3, "random_state": 1}))
+    assert area(model, rows) > 0.7
+
+
 def test_random_search(spark, rows):
     folded = rebalance.kfold(rows.where("is_holdout = 0"), "id")
     search = training.random_search(folded, FEATURES, training.make_classifier("rf", {"random_state": 1}), "rf",
