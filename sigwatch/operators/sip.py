@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sigwatch.constants import DEFAULT_SIP_ALERT, SIP_CLASS_SEVERITY, SIP_RULES
 from sigwatch.operators.features import micros
 from sigwatch.operators.lists import fixed_table
 from sigwatch.operators.skew import (
-    AT, KEY, SLICE, TARGET_ROWS, Slicing, find_slicing, heavy_only, keyed_rows,
-    running_sums, slice_rows,
+    AT, KEY, SLICE, TARGET_ROWS, Slicing, cell, find_slicing, heavy_only, keyed_rows,
+    slice_rows,
 )
 
 UNKNOWN_METHOD = r"(?im)^(?!INVITE|REGISTER|BYE|OPTIONS\s)[A-Z]+\s+sip:"
@@ -77,8 +77,8 @@ def classify(alerts: DataFrame) -> DataFrame:
 #
 # Each slice of a heavy source reports which end its last window would have for every event
 # that could open its first window; neighbouring events with the same outcome share a row.
-# A walk over these reports, keeping one number, gives each slice the end of the window it
-# inherits. Then all slices assign their events on their own.
+# A walk over these reports, keeping two numbers, gives each slice the end of the window it
+# inherits and the events already in it. Then all slices assign their events on their own.
 
 _LONG_AGO = -(2 ** 62)
 # Cuts are at least this many windows apart, so reports stay a small part of the events.
@@ -97,33 +97,38 @@ def _ends(times: np.ndarray, width: int) -> np.ndarray:
 
 def _report(width: int):
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[AT].to_numpy(dtype=np.int64))
+        pdf = pdf.sort_values(AT)
+        times, seen = pdf[AT].to_numpy(dtype=np.int64), np.append(0, pdf["n"].cumsum())
         # An inherited window ends within one width of the slice's first event.
         reach = min(len(times), int(np.searchsorted(times, times[0] + width, side="left")) + 1)
         ends, openers = _ends(times, width)[:reach], times[:reach]
         last_of_run = np.append(ends[1:] != ends[:-1], True)
+        ends = ends[last_of_run]
+        held = seen[-1] - seen[np.searchsorted(times, ends - width, side="left")]
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], SLICE: pdf[SLICE].iloc[0],
-                             "upto": openers[last_of_run], "window_end": ends[last_of_run],
-                             "last": times[-1]})
+                             "upto": openers[last_of_run], "window_end": ends, "held": held,
+                             "last": times[-1], "total": seen[-1]})
     return report
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Inherited window end of each slice, over reports sorted by key, slice and opener."""
-    key, number, inherited, settled, after = None, None, _LONG_AGO, True, _LONG_AGO
+    """Inherited window end and events so far, over reports sorted by key, slice, opener."""
+    columns = [KEY, SLICE, "upto", "window_end", "held", "last", "total"]
+    key, number, end, held, settled = None, None, _LONG_AGO, 0, True
     for batch in batches:
         rows = []
-        for k, n, upto, end, last in batch[[KEY, SLICE, "upto", "window_end", "last"]].itertuples(
-                index=False):
+        for k, n, upto, window_end, window_held, last, total in batch[columns].itertuples(index=False):
             if k != key:
-                key, number, after = k, None, _LONG_AGO
+                key, number, end, held = k, None, _LONG_AGO, 0
             if n != number:
-                number, inherited = n, after
-                rows.append((k, n, inherited))
-                settled = inherited > last
-            if not settled and upto >= inherited:
-                after, settled = end, True
-        yield pd.DataFrame(rows, columns=[KEY, SLICE, "inherited"])
+                number = n
+                rows.append((k, n, end, held))
+                settled = end > last
+                if settled:  # the whole slice lies in the inherited window
+                    held += total
+            if not settled and upto >= end:
+                end, held, settled = window_end, window_held, True
+        yield pd.DataFrame(rows, columns=[KEY, SLICE, "inherited", "held"])
 
 
 def _assign(width: int):
@@ -132,18 +137,18 @@ def _assign(width: int):
         cell, start, so_far = None, 0, 0
         for pdf in batches:
             starts, counts = [], []
-            for key, number, at, n, inherited in zip(
-                    pdf[KEY], pdf[SLICE], pdf[AT].tolist(), pdf["n"].tolist(), pdf["inherited"].tolist()):
+            columns = [KEY, SLICE, AT, "n", "inherited", "held"]
+            for key, number, at, n, inherited, held in zip(*[pdf[c].tolist() for c in columns]):
                 if (key, number) != cell:
                     # Events before the inherited end belong to the inherited window.
-                    cell, start, so_far = (key, number), inherited - width, 0
+                    cell, start, so_far = (key, number), inherited - width, held
                 if at >= start + width:
                     start, so_far = at, 0
                 so_far += n
                 starts.append(start)
                 counts.append(so_far)
             yield pd.DataFrame({"source": pdf[KEY], "start": starts, "moment": pdf[AT],
-                                "n": pdf["n"], "so_far": counts})
+                                "so_far": counts})
     return assign
 
 
@@ -155,6 +160,20 @@ def _spaced(slicing: Slicing, width: int) -> Slicing:
     return Slicing(slicing.keys, kept)
 
 
+def _long_enough(moments: DataFrame, slicing: Slicing, count: int, width: int) -> DataFrame:
+    """Drop runs of a light source that are too short to raise an alert.
+
+    A pause of a whole width ends any window, so runs between pauses stand alone.
+    """
+    order = cell(AT)
+    pause = F.col(AT) - F.lag(AT).over(order) >= width
+    numbered = moments.withColumn("_run", F.sum(F.coalesce(pause, F.lit(False)).cast("int")).over(order))
+    size = F.sum("n").over(Window.partitionBy(KEY, SLICE, "_run"))
+    kept = numbered.withColumn("_size", size).where(
+        (F.col("_size") >= count) | F.col(KEY).isin(slicing.keys))
+    return kept.drop("_run", "_size")
+
+
 def threshold_windows(messages: DataFrame, matches: Column, source: str, count: int,
                       window_seconds: int, ts: str = "ts",
                       target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -165,20 +184,19 @@ def threshold_windows(messages: DataFrame, matches: Column, source: str, count:
     moments = slice_rows(keyed.groupBy(KEY, AT).agg(F.count("*").alias("n")), slicing)
     if slicing.cuts:
         reports = (heavy_only(moments, slicing).groupBy(KEY, SLICE).applyInPandas(
-            _report(width),
-            f"{KEY} string, {SLICE} int, upto bigint, window_end bigint, last bigint"))
+            _report(width), f"{KEY} string, {SLICE} int, upto bigint, window_end bigint, "
+                            "held bigint, last bigint, total bigint"))
         inherited = (reports.repartition(KEY).sortWithinPartitions(KEY, SLICE, "upto")
-                     .mapInPandas(_walk, f"{KEY} string, {SLICE} int, inherited bigint"))
+                     .mapInPandas(_walk, f"{KEY} string, {SLICE} int, inherited bigint, held bigint"))
         moments = moments.join(inherited, [KEY, SLICE], "left")
     else:
-        moments = moments.withColumn("inherited", F.lit(None).cast("bigint"))
-    counted = (moments.withColumn("inherited", F.coalesce("inherited", F.lit(_LONG_AGO)))
-               .repartition(KEY, SLICE).sortWithinPartitions(KEY, SLICE, AT)
-               .mapInPandas(_assign(width),
-                            "source string, start bigint, moment bigint, n bigint, so_far bigint"))
-    if slicing.cuts:  # windows may go on over slices
-        counted = running_sums(counted.drop("so_far"), ["source", "start"], F.col("moment"),
-                               {"so_far": F.col("n")}, target_rows)
+        moments = moments.withColumns({"inherited": F.lit(None).cast("bigint"),
+                                       "held": F.lit(None).cast("bigint")})
+    placed = moments.withColumns({"inherited": F.coalesce("inherited", F.lit(_LONG_AGO)),
+                                  "held": F.coalesce("held", F.lit(0))})
+    counted = (_long_enough(placed.repartition(KEY, SLICE), slicing, count, width)
+               .sortWithinPartitions(KEY, SLICE, AT).mapInPandas(
+                   _assign(width), "source string, start bigint, moment bigint, so_far bigint"))
     alerts = counted.groupBy("source", "start").agg(
         F.max("so_far").alias("n_messages"),
         F.min(F.when(F.col("so_far") >= count, F.col("moment"))).alias("alert_at"))

@@ -12,6 +12,7 @@ from sigwatch.operators.features import message_count
 from sigwatch.operators.rules import detect, rule_columns
 from sigwatch.plans.registry import query
 from sigwatch.plans.views import DIRECTORY, SCORED, SIG, node_directory, sig, table
+from sigwatch.session import shared_dir
 
 _IP = ("(CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 "
        "+ CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 "
@@ -156,6 +157,15 @@ def range_table(spark, sf_dir):
     return lists.in_ranges(rows, lists.ranges_from_cidrs(networks), "src_ip", "event_id")
 
 
+@query("blocklist_load", f"WITH {SIG} SELECT DISTINCT src_ip AS ip FROM sig")
+def blocklist_load(spark, sf_dir):
+    """Address list from text files with blanks, spaces and repeats."""
+    lines = sig(spark, sf_dir).selectExpr("explode(array(concat(' ', src_ip, ' '), '')) AS value")
+    path = shared_dir(spark, "addresses")
+    lines.write.text(path)
+    return lists.load_addresses(spark, path)
+
+
 _VALUES = ", ".join(f"('{a}')" for a in BAD_ADDRESSES)
 
 
