@@ -98,16 +98,26 @@ def assemble(features: list[str], impute: bool = True, on_invalid: str = "keep")
     return stages
 
 
+def keep_spread(df: DataFrame) -> DataFrame:
+    """Persist; rows in fewer parts than there are cores are first spread over all cores."""
+    kept, cores = df.persist(), df.sparkSession.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    kept.unpersist()
+    return df.repartition(cores).persist()
+
+
 def train(df: DataFrame, features: list[str], classifier) -> PipelineModel:
-    """Impute, assemble and fit; the classifier's passes share one kept copy of its input."""
+    """Impute, assemble and fit; all passes share one kept copy of the input columns."""
     require_columns(df, features)
-    prepared = Pipeline(stages=assemble(features)).fit(df)
-    used = ["features", classifier.getLabelCol()] + [
+    used = [classifier.getLabelCol()] + [
         classifier.getOrDefault(p) for p in ("weightCol", "validationIndicatorCol")
         if classifier.hasParam(p) and classifier.isSet(p)]
-    kept = prepared.transform(df).select(*used).persist()
+    kept = keep_spread(df.select(*features, *used))
     try:
-        return PipelineModel(stages=[*prepared.stages, classifier.fit(kept)])
+        prepared = Pipeline(stages=assemble(features)).fit(kept)
+        fitted = classifier.fit(prepared.transform(kept).select("features", *used))
+        return PipelineModel(stages=[*prepared.stages, fitted])
     finally:
         kept.unpersist()
 
@@ -151,15 +161,16 @@ def random_search(df: DataFrame, features: list[str], classifier, kind: str,
                   parallelism: int = 4) -> CrossValidatorModel:
     """Cross-validated search by area under the ROC curve; the best draw is fitted again.
 
-    Rows are assembled and kept once; all draws and folds read that copy.
+    Input columns are kept once; all draws and folds read that copy.
     """
     label = classifier.getLabelCol()
-    prepared = Pipeline(stages=assemble(features)).fit(df).transform(df)
-    keep = ["features", label, fold_column]
+    used = [label, fold_column]
     if classifier.isSet("weightCol"):
-        keep.append(classifier.getWeightCol())
-    prepared = prepared.select(*keep).persist()
+        used.append(classifier.getWeightCol())
+    kept = keep_spread(df.select(*features, *used))
     try:
+        prepared = (Pipeline(stages=assemble(features)).fit(kept).transform(kept)
+                    .select("features", *used))
         maps = [{classifier.getParam(k): v for k, v in spark_parameters(kind, d).items()}
                 for d in draw_parameters(space, n_iter, seed)]
         search = CrossValidator(
@@ -168,7 +179,7 @@ def random_search(df: DataFrame, features: list[str], classifier, kind: str,
             parallelism=parallelism)
         return search.fit(prepared)
     finally:
-        prepared.unpersist()
+        kept.unpersist()
 
 
 def search_results(spark: SparkSession, search: CrossValidatorModel) -> DataFrame:

@@ -102,7 +102,7 @@ def random_search(spark, sf_dir):
              "min_samples_leaf": training.IntRange(1, 20)}
     search = training.random_search(
         folded, FEATURES, training.make_classifier("rf", {"random_state": 42}), "rf", space,
-        n_iter=4, parallelism=4)
+        n_iter=4, parallelism=8)
     results = training.search_results(spark, search)
     return results.select("draw", "place", F.round("cv_roc_auc", 6).alias("cv_roc_auc"))
 
