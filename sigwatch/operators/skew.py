@@ -235,12 +235,16 @@ def sliding_distinct(df: DataFrame, keys: list[str], item: str, at: Column, widt
 
 def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: str,
                 how: str = "left", condition: Column | None = None,
-                salts: int = 32) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Join that spreads each key's rows over ``salts`` tasks by copying the lookup side.
 
     For lookup tables of unknown size, where one key may hold a large share of the rows.
-    ``condition`` refers to columns of either side that carry different names.
+    By default there are as many salts as shuffle partitions, up to 256; what is still too
+    large for a task then, adaptive execution splits. ``condition`` refers to columns of
+    either side that carry different names.
     """
+    if salts is None:
+        salts = min(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     keys = [*on, "_salt"]
     right = (lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
