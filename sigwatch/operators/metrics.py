@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sigwatch.constants import DEFAULT_THRESHOLD, THRESHOLDS
-from sigwatch.operators.skew import TARGET_ROWS, running_sums
+from sigwatch.operators.skew import TARGET_ROWS, light_slicing, running_sums
 
 METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro",
            "precision_0", "recall_0", "f1_0", "support_0",
@@ -81,7 +81,8 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
                target_rows: int = TARGET_ROWS) -> DataFrame:
     """One point per distinct score, from the strictest threshold down."""
     ranked = running_sums(_scores(df, label, score), [], -F.col("score"),
-                          {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows)
+                          {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows,
+                          light_slicing(df, 1, target_rows))
     ones = df.agg(F.count_if(F.col(label) == 1)).scalar()
     zeros = df.agg(F.count_if(F.col(label) == 0)).scalar()
     return ranked.select(
@@ -94,7 +95,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             target_rows: int = TARGET_ROWS) -> DataFrame:
     """Area under the curve by trapezoids: positives before each score, plus half the ties."""
     ranked = running_sums(_scores(df, label, score), [], -F.col("score"),
-                          {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows)
+                          {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows,
+                          light_slicing(df, 1, target_rows))
     area = F.sum(F.col("_n").cast("double") * (F.col("tp") - F.col("_p") / 2.0))
     ones, zeros = F.sum("_p"), F.sum("_n")
     usable = (ones > 0) & (zeros > 0)

@@ -58,6 +58,14 @@ def find_slicing(keyed: DataFrame, target_rows: int = TARGET_ROWS) -> Slicing:
     return Slicing(sorted(heavy), sorted(set(cuts)))
 
 
+def light_slicing(source: DataFrame, per_row: int, target_rows: int) -> Slicing | None:
+    """No slicing when the source is small enough that rows derived from it must be too.
+
+    Counting the source is cheaper than counting what is derived; None means undecided.
+    """
+    return Slicing([], []) if source.count() * per_row <= target_rows else None
+
+
 def slice_rows(keyed: DataFrame, slicing: Slicing) -> DataFrame:
     """Add SLICE: 0 for light keys, the position between the cut points for heavy ones."""
     if not slicing.cuts:
@@ -197,7 +205,8 @@ def sliding_count(df: DataFrame, keys: list[str], at: Column, width: int, name:
                             F.lit(None).cast(df.schema).alias("row")))))
                .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_move.*"))
     counted = running_sums(moments, [f"_k{i}" for i in range(len(keys))], F.col("when"),
-                           {"_count": F.col("step").cast("bigint")}, target_rows)
+                           {"_count": F.col("step").cast("bigint")}, target_rows,
+                           light_slicing(df, 2, target_rows))
     return counted.where(F.col("step") == 1).select("row.*", F.col("_count").alias(name))
 
 
@@ -219,8 +228,9 @@ def sliding_distinct(df: DataFrame, keys: list[str], item: str, at: Column, widt
                                   F.lit(-1).cast("bigint").alias("step")))).alias("_m"))
              .select(*names, "_item", "_m.*")
              .groupBy(*names, "_item", "when").agg(F.sum("step").alias("step")))
+    light = light_slicing(df, 3, target_rows)
     active = running_sums(moves, names + ["_item"], F.col("when"), {"_n": F.col("step")},
-                          target_rows)
+                          target_rows, light)
     changes = (active.select(
         *names, "when",
         ((F.col("_n") > 0).cast("bigint") - (F.col("_n") - F.col("step") > 0).cast("bigint"))
@@ -229,7 +239,7 @@ def sliding_distinct(df: DataFrame, keys: list[str], item: str, at: Column, widt
     rows = base.select(*own, F.col(AT).alias("when"), F.lit(0).cast("bigint").alias("change"),
                        F.struct(*df.columns).alias("row"))
     both = rows.unionByName(changes.select("*", empty))
-    counted = running_sums(both, names, F.col("when"), {"_count": F.col("change")}, target_rows)
+    counted = running_sums(both, names, F.col("when"), {"_count": F.col("change")}, target_rows, light)
     return counted.where(F.col("row").isNotNull()).select("row.*", F.col("_count").alias(name))
 
 
