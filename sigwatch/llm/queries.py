@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sigwatch.llm import sharding, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -17,3 +18,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 FROM t JOIN g USING (n)""")
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_sharding", f"""
+WITH f AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h,
+                  CAST(COALESCE(strlen(text), 0) AS BIGINT) AS b FROM documents),
+ l AS (SELECT d, h >> (60 - d) AS p, sum(b)::BIGINT AS sb, count(*) AS n
+       FROM f, range(0, 61) t(d) GROUP BY ALL HAVING sum(b) <= {sharding.LIMIT} OR count(*) = 1),
+ c AS (SELECT f.doc_id, min(l.d) AS d FROM f JOIN l ON l.p = f.h >> (60 - l.d) GROUP BY ALL)
+SELECT f.doc_id, f.b AS bytes, CASE WHEN c.d = 0 THEN '' ELSE lpad(bin(l.p), c.d::INT, '0') END AS shard,
+ c.d AS depth, l.sb AS shard_bytes, l.n AS shard_rows
+FROM f JOIN c USING (doc_id) JOIN l ON l.d = c.d AND l.p = f.h >> (60 - c.d)""")
+def op9_sharding(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ 1 + ((CAST('0x' || substr(sha1(p), 1 + 5 * (i // 4)::INT, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT,
+ 1)), 'string_agg', '')"""
+
+
+@query("op10_warc", f"""
+WITH t AS (SELECT page_id, COALESCE(html, '') AS p FROM pages),
+ g AS (SELECT p, max(page_id) AS response FROM t GROUP BY p)
+SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+ CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> response THEN response END AS refers_to
+FROM t JOIN g USING (p)""")
+def op10_warc(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
