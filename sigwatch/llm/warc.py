@@ -119,7 +119,7 @@ class _Bundle:
         files.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"
         self.path = f"{folder}/{name}"
-        self.file = files.open_output_stream(posixpath.join(root, name))
+        self.file = files.open_output_stream(posixpath.join(root, name), compression=None)
         self.frames, self.at, self.open, self.rows, self.open_bytes = [], 0, [], [], 0
 
     def add(self, page_id, record_id, record: bytes) -> None:
@@ -227,10 +227,11 @@ def _read(wanted: bool, schema: pa.Schema):
                         want = {}
                         for item in offsets:
                             want.setdefault(item["frame"], []).append(item["offset"])
-                    for number, (packed, _) in enumerate(read_seek_table(file, size)):
+                    for number, (packed, length) in enumerate(read_seek_table(file, size)):
                         if want is None or number in want:
                             file.seek(at)
-                            data = zstandard.ZstdDecompressor().decompress(file.read(packed))
+                            data = zstandard.ZstdDecompressor().decompress(
+                                file.read(packed), max_output_size=length)
                             rows = list(_records(data, want and sorted(want[number]), wanted))
                             if rows:
                                 yield pa.RecordBatch.from_arrays(
