@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import sharding, warc
+from sigwatch.llm import bpe, packing, sharding, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -49,3 +49,13 @@ def op10_warc(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(index).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_packing")
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
