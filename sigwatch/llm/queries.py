@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import bpe, packing, sharding, warc
+from sigwatch.llm import bpe, packing, sharding, simhash, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -59,3 +59,8 @@ def op4_packing(spark, sf_dir):
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
