@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import bpe, packing, sharding, simhash, warc
+from sigwatch.llm import bpe, packing, sharding, simhash, toxicity, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -64,3 +64,8 @@ def op6_byte_bpe(spark, sf_dir):
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
