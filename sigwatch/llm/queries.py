@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import bpe, packing, sharding, simhash, toxicity, warc
+from sigwatch.llm import bpe, credentials, packing, sharding, simhash, toxicity, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -69,3 +69,8 @@ def op3_simhash(spark, sf_dir):
 @query("op8_toxicity")
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_secrets")
+def op5_secrets(spark, sf_dir):
+    return credentials.find_secrets(table(spark, sf_dir, "documents"))
