@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import bpe, credentials, packing, sharding, simhash, toxicity, warc
+from sigwatch.llm import bpe, chunks, credentials, packing, sharding, simhash, toxicity, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -74,3 +74,8 @@ def op8_toxicity(spark, sf_dir):
 @query("op5_secrets")
 def op5_secrets(spark, sf_dir):
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return chunks.repeated_spans(table(spark, sf_dir, "documents")).drop("repeats")
