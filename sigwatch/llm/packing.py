@@ -14,7 +14,7 @@ value, null included, pass through. No rows give no pieces.
 from __future__ import annotations
 
 import itertools
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +32,8 @@ END_ID = 2
 REMEMBERED = 1 << 19
 #: Documents tokenised together, by characters, so that long texts don't add up.
 _CHARS = 4 << 20
+_TOGETHER = 1000
 
-# No token of a word-level vocabulary crosses these, and no normal form composes over them.
-_GAPS = re.compile(r"[\x20\n]+")
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -44,28 +43,67 @@ def vocabulary_file(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space; remembers the ids of words."""
+    """Ids of texts by a tokenizer that drops white space; remembers the ids of words.
+
+    Texts are cut at spaces and line ends, which no token crosses and over which no normal form
+    composes. Of a word, marks behind a last letter are tokens of their own, so its stem is
+    looked up without them. Stems of letters alone go to the tokenizer many at a time; each ends
+    with the one token that carries the end of a word.
+    """
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(content)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
+
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        groups = [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        for group, joined in zip(groups, self._encode([" ".join(group) for group in groups])):
+            ids = np.frombuffer(joined, self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group):
+                size = self.kind.itemsize
+                yield from (joined[a * size:b * size] for a, b in zip([0, *ends[:-1]], ends))
+            else:  # a letter whose lower case is no single letter
+                yield from self._encode(group)
+
+    def _learn(self, words: set[str]) -> None:
+        parts = {}
+        for word in words:
+            stem = word.rstrip(".,!?")
+            # The tokenizer composes, then folds case; a mark left at the end would join the tail.
+            if not unicodedata.normalize("NFC", stem[-1:]).lower()[-1:].isalpha():
+                stem = word
+            parts[word] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, word[len(stem):])
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        new = list({piece for pair in parts.values() for piece in pair}.difference(self.stems))
+        letters = [piece for piece in new if piece.isalpha()]
+        self.stems.update(zip(letters, self._encode_letters(letters)))
+        rest = [piece for piece in new if not piece.isalpha()]
+        self.stems.update(zip(rest, self._encode(rest)))
+        stems = self.stems
+        self.known.update((word, stems[stem] + stems[tail]) for word, (stem, tail) in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_GAPS.split(text) for text in texts]
-        known, new = self.known, set()
-        for words in split:
-            new.update(words)
-        new = list(new.difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            # Words of this call must be at hand, so all are encoded again.
-            known.clear()
-            new = list(set().union(*split))
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            # The words of this call must be at hand together.
+            self.known, new = {}, words
         if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in encoded)))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def _encoder(content: bytes) -> WordEncoder:

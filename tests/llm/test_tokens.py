@@ -16,7 +16,7 @@ from sigwatch.llm import bpe, packing
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", "it's we'll they've I'm he'd can't you're", "''s '' 's's 'll've", "a  b\n\n c\t\td   ", " 'x !'s x'S",
-       "  \n", "café ² Ⅷ 123abc", "x" * 3000, "!" * 900 + "a", "日本語テキスト　空白", "<|endoftext|> a<|startoftext|>b",
+       "  \n", "café ² Ⅷ 123abc", "x" * 3000, "!" * 900 + "a", "日本語テキスト　空白", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "End. end, END! it's. ...! a.b.c. x?y? İİ. DŽ. ﬁ, ǅ ß. Ω. Å. क़. क़! e\u0301. 각각. ʰ. ª.",
        "\x1c\x1d a\x85b\xa0c", "'re'ree'ved'lll'l", "é ́ Σίσυφος İ", "a​b c", "'", "' ", "\n's"]
 
 
