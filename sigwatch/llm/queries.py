@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import bpe, chunks, credentials, packing, sharding, simhash, toxicity, warc
+from sigwatch.llm import ann, bpe, chunks, credentials, packing, sharding, simhash, toxicity, warc
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -79,3 +79,8 @@ def op5_secrets(spark, sf_dir):
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, sf_dir):
     return chunks.repeated_spans(table(spark, sf_dir, "documents")).drop("repeats")
+
+
+@query("op1_graph_ann")
+def op1_graph_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
