@@ -39,7 +39,7 @@ ORDER, SHARED, STRETCH, DISCOUNT = 6, 3, 32, 0.75
 PER_CLASS = 16_384
 THRESHOLD = 0.7
 #: Words whose ratio a worker remembers before it starts anew, and characters scored together.
-REMEMBERED, _CHARS = 1 << 19, 4 << 20
+REMEMBERED, _CHARS, _TOGETHER = 1 << 19, 4 << 20, 1 << 14
 FLOOR = 1e-5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -168,8 +168,8 @@ class _Scorer:
             self.known, new = {}, words
         if new:
             new = list(new)
-            for at in range(0, len(new), 1 << 16):
-                part = new[at:at + (1 << 16)]
+            for at in range(0, len(new), _TOGETHER):
+                part = new[at:at + _TOGETHER]
                 self.known.update(zip(part, self.model.ratios(part).tolist()))
         known = self.known.__getitem__
         return np.array([features(np.fromiter(map(known, words), float, len(words))) for words in split])
@@ -238,7 +238,7 @@ def _preceded(docs: DataFrame, shared) -> DataFrame:
         told = [np.empty(0, np.uint64) for _ in lookups]
 
         def tell():
-            found, _ = grams(list(seen))
+            found, _ = grams(list(seen), SHARED + 1)
             seen.clear()
             for n, lookup in enumerate(lookups):
                 # A longer n-gram implies the n-gram inside it.
@@ -251,7 +251,7 @@ def _preceded(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(words_of(text or ""))
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     yield from tell()
         if seen:
             yield from tell()
