@@ -251,10 +251,11 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
                  .orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
         if len(words) < 8:
             continue  # too few to tell a format
-        automaton = infer(words)
-        own = Formats([automaton], [0.0], pairs)
-        automata.append(automaton)
-        levels.append(max(LEAST, float(np.quantile([own.score(w) for w in words], BELOW))))
+        # The level comes from credentials that the automaton scoring them has not seen.
+        halves = [Formats([infer(words[i::2])], [0.0], pairs) for i in (0, 1)]
+        unseen = [halves[1 - n % 2].score(word) for n, word in enumerate(words)]
+        automata.append(infer(words))
+        levels.append(max(LEAST, float(np.quantile(unseen, BELOW))))
     return Formats(automata, levels, pairs)
 
 
