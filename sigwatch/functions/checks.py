@@ -30,17 +30,30 @@ EXTRA_TIME_FORMATS = [
 
 def valid_imsi(imsi: Column, length: int = 15) -> Column:
     """Exactly ``length`` ASCII digits; a float without fraction counts as its integer."""
-    text = F.regexp_replace(imsi.cast("string"), r"^([0-9]+)\.0+\z", "$1")
+    # A floating-point column would be spelt with an exponent; its whole numbers are not.
+    number = imsi.try_cast("double")
+    whole = F.when(number == F.floor(number), number.try_cast("decimal(38,0)").cast("string"))
+    spelt = F.when(F.typeof(imsi).isin("double", "float"), whole).otherwise(imsi.cast("string"))
+    text = F.regexp_replace(spelt, r"^([0-9]+)\.0+\z", "$1")
     return F.coalesce(text.rlike(rf"^[0-9]{{{length}}}\z"), F.lit(False))
 
 
+# A cast to double also takes type suffixes and hexadecimal floats, which are no numbers here.
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+_ENDLESS = r"(?i)^[+-]?inf(?:inity)?\z"
+
+
+def _plain_number(text: Column) -> Column:
+    return F.when(text.rlike(_NUMBER) | text.rlike(_ENDLESS), text.try_cast("double"))
+
+
 def parse_timestamp(value: Column, preferred: str | None = None) -> Column:
     """First reading that works: caller's format, common formats, epoch seconds."""
     text = value.cast("string")
     readings = [F.try_to_timestamp(text, F.lit(preferred))] if preferred else []
     readings += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f)))
                  for f, shape in TIME_FORMATS + EXTRA_TIME_FORMATS]
-    seconds = text.try_cast("double")
+    seconds = _plain_number(F.trim(text))
     in_range = (seconds >= _FIRST_SECOND) & (seconds <= _LAST_SECOND)
     epoch = F.when(in_range, F.timestamp_seconds(F.floor(seconds)))
     return F.coalesce(*readings, epoch)
@@ -52,5 +65,4 @@ def valid_timestamp(value: Column, preferred: str | None = None) -> Column:
 
 def to_number(value: Column) -> Column:
     """Number, or null where the text is none."""
-    number = F.trim(value.cast("string")).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return _plain_number(F.trim(value.cast("string")))

@@ -15,6 +15,12 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
 
 
+_GROUP = "[0-9a-fA-F]{1,4}"
+# All eight groups, or "::" with at most seven groups around it.
+IPV6 = (rf"^(?:(?:{_GROUP}:){{7}}{_GROUP}"
+        rf"|(?!(?:.*?{_GROUP}(?::|\z)){{8}})(?!.*::.*::)(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)\z")
+
+
 def bounds(cidr: str) -> tuple[int, int]:
     """First and last address of a network as integers."""
     net = ipaddress.ip_network(cidr)

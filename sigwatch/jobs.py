@@ -19,7 +19,7 @@ from sigwatch.sources.tables import write_features, write_messages
 
 
 def label_captures(spark: SparkSession, inbox: str, features_out: str, alerts_out: str,
-                   batch_date: str, limit: int | None = 1000,
+                   batch_date: str, limit: int | None = None,
                    enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Capture files to labelled rows and alert messages.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigwatch.constants import BAD_ADDRESSES, BAD_RANGES
-from sigwatch.functions.netaddr import IPV4, bounds, cidr_bounds, ip_to_long
+from sigwatch.functions.netaddr import IPV4, IPV6, bounds, cidr_bounds, ip_to_long
 from sigwatch.operators.skew import fits, salted_join
 
 BROADCAST_ROWS = 500_000
@@ -78,7 +78,10 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str, spread_by: str,
 
 
 def valid_candidates(rows: DataFrame, ip: str) -> DataFrame:
-    return rows.select(F.col(ip).alias("ip")).where(F.col("ip").rlike(IPV4)).distinct()
+    """Well-formed addresses of either family."""
+    address = F.col("ip")
+    return (rows.select(F.col(ip).alias("ip")).where(address.rlike(IPV4) | address.rlike(IPV6))
+            .distinct())
 
 
 def block_additions(rows: DataFrame, blocklist: DataFrame, ip: str = "src_ip") -> DataFrame:

@@ -29,7 +29,7 @@ def confusion_counts(df: DataFrame, label: str, score: str,
                  F.col(f"_tp{i}").alias("tp"), (F.col("_zeros") - F.col(f"_fp{i}")).alias("tn"),
                  F.col(f"_fp{i}").alias("fp"), (F.col("_ones") - F.col(f"_tp{i}")).alias("fn"))
         for i, t in enumerate(thresholds)])
-    return df.agg(*sums).select(F.explode(lines).alias("l")).select("l.*")
+    return scored_rows(df, score).agg(*sums).select(F.explode(lines).alias("l")).select("l.*")
 
 
 def threshold_metrics(df: DataFrame, label: str = "label", score: str = "score",
@@ -71,9 +71,14 @@ def class_report(metrics: DataFrame) -> DataFrame:
     return metrics.select("threshold", F.explode(lines).alias("l")).select("threshold", "l.*")
 
 
+def scored_rows(df: DataFrame, score: str) -> DataFrame:
+    """Rows whose score is a number; null and NaN rank nowhere."""
+    return df.where(F.col(score).isNotNull() & ~F.isnan(score))
+
+
 def _scores(df: DataFrame, label: str, score: str) -> DataFrame:
     """Rows per distinct score; tied rows collapse before any ordering."""
-    return df.groupBy(F.col(score).alias("score")).agg(
+    return scored_rows(df, score).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
 
 
@@ -83,8 +88,9 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
     ranked = running_sums(_scores(df, label, score), [], -F.col("score"),
                           {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows,
                           light_slicing(df, 1, target_rows))
-    ones = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    zeros = df.agg(F.count_if(F.col(label) == 0)).scalar()
+    rows = scored_rows(df, score)
+    ones = rows.agg(F.count_if(F.col(label) == 1)).scalar()
+    zeros = rows.agg(F.count_if(F.col(label) == 0)).scalar()
     return ranked.select(
         F.col("score").alias("threshold"), "tp", "fp",
         _ratio(F.col("tp").cast("double"), ones).alias("tpr"),

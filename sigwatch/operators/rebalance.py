@@ -47,9 +47,10 @@ def stratified_split(df: DataFrame, row_id: str, label: str = "label", fraction:
         take = F.col("_rank") <= ceil((total or 0) * fraction)
         return ranked.withColumn(name, take.cast("int")).drop("_rank")
     ranked = _ranked(df, [label], row_id, seed, "_rank", target_rows)
-    quota = [(F.lit(r[label]), F.lit(ceil(r["_size"] * fraction))) for r in _classes(sizes)]
-    limit = F.coalesce(*[F.when(F.col(label).eqNullSafe(v), q) for v, q in quota])
-    return ranked.withColumn(name, (F.col("_rank") <= limit).cast("int")).drop("_rank")
+    quota = sizes.select(F.col(label).alias("_class"), F.ceil(F.col("_size") * fraction).alias("_quota"))
+    joined = ranked.join(quota, ranked[label].eqNullSafe(quota["_class"]))
+    return joined.withColumn(name, (F.col("_rank") <= F.col("_quota")).cast("int")).drop(
+        "_rank", "_class", "_quota")
 
 
 def _classes(sizes: DataFrame, most: int = 1000) -> list:

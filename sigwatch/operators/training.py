@@ -98,13 +98,15 @@ def assemble(features: list[str], impute: bool = True, on_invalid: str = "keep")
     return stages
 
 
-def keep_spread(df: DataFrame) -> DataFrame:
-    """Persist; rows in fewer parts than there are cores are first spread over all cores."""
-    kept, cores = df.persist(), df.sparkSession.sparkContext.defaultParallelism
-    if kept.rdd.getNumPartitions() >= cores:
-        return kept
-    kept.unpersist()
-    return df.repartition(cores).persist()
+#: Parts of the training rows. Forests draw their samples part by part, so this number, not the
+#: cluster or the input files, decides a model; raise it with the data.
+PARTS = 16
+
+
+def keep_spread(df: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Persist the rows in ``parts`` parts dealt and ordered by their content alone."""
+    content = F.xxhash64(*df.columns)
+    return df.repartition(parts, content).sortWithinPartitions(content).persist()
 
 
 def train(df: DataFrame, features: list[str], classifier) -> PipelineModel:

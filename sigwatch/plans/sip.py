@@ -50,10 +50,10 @@ def _rate(word: str, count: int, hours: int) -> str:
  HAVING count(*) >= {count}"""
 
 
-@query("sip_invite_flood", _rate("INVITE", 3, 6))
+@query("sip_invite_flood", _rate("INVITE", 2, 24))
 def sip_invite_flood(spark, sf_dir):
     rows = sip_messages(spark, sf_dir)
-    return sip.tumbling_rate(rows, sip.is_invite(F.col("msg")), "src", 3, "6 hours")
+    return sip.tumbling_rate(rows, sip.is_invite(F.col("msg")), "src", 2, "24 hours")
 
 
 @query("sip_register_enum", _rate("REGISTER", 3, 12))

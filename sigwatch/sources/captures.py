@@ -155,9 +155,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def read_packets(spark: SparkSession, path: str, limit: int | None = 1000,
+def read_packets(spark: SparkSession, path: str, limit: int | None = None,
                  chunk_packets: int = 2_000, pattern: str = "*.pcap*") -> DataFrame:
-    """Packets of all capture files, at most the first ``limit`` of each file.
+    """Packets of all capture files; a caller may ask for the first ``limit`` of each file.
 
     Packets that are not IP keep their row with a null address.
     """

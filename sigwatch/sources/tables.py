@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from sigwatch.operators.quality import MissingColumns
 from sigwatch.schemas import IDS_EVENTS
 
 _HEAD_CHARS = 5 * 1024
@@ -30,19 +32,41 @@ def not_utf8_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(r["file"] for r in bad.toLocalIterator())
 
 
+def text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def by_name(frame: DataFrame, names: list[str], schema: T.StructType,
+            required: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Text columns called as in a header, as the declared columns; absent ones are null."""
+    missing = [c for c in required if c not in names]
+    if missing:
+        raise MissingColumns(", ".join(missing))
+    return frame.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema], *keep)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
              detect_encoding: bool = False, source_column: str | None = None,
-             **options) -> DataFrame:
-    """CSV with header and a declared schema; no files or empty files give no rows.
+             required: Sequence[str] = (), **options) -> DataFrame:
+    """CSV columns by the names in the header, cast to the declared types.
+
+    Declared columns that the header lacks are null, or an error if ``required`` names them;
+    values that do not fit their type are null. No files or empty files give no rows. All files
+    of a path share one header; a file with another one is an error, not a mix-up.
 
     With ``detect_encoding``, files that are not UTF-8 are read as Latin-1.
     """
     def read(where: str | list[str], encoding: str) -> DataFrame:
-        frame = (spark.read.schema(schema).option("header", True).option("sep", sep)
-                 .option("encoding", encoding).options(**options).csv(where))
-        if source_column:
-            frame = frame.withColumn(source_column, F.col("_metadata.file_name"))
-        return frame
+        reader = (spark.read.option("header", True).option("sep", sep)
+                  .option("encoding", encoding).options(**options))
+        names = reader.csv(where).columns
+        if not names:
+            raise AnalysisException("PATH_NOT_FOUND: no header")
+        frame = reader.schema(text_schema(names)).option("enforceSchema", False).csv(where)
+        source = [F.col("_metadata.file_name").alias(source_column)] if source_column else []
+        return by_name(frame, names, schema, required, source)
 
     try:
         if not detect_encoding:

@@ -1,14 +1,16 @@
 """Counters over unbounded streams.
 
 ``windowed_counts`` and ``rate_alerts`` combine on the map side and so bear heavy keys.
-The row-by-row operators keep one small value per key; they read a key's rows as a stream
-of Arrow batches and their state expires, so neither grows with the key.
+The row-by-row operators keep one small value per key, which expires. They order a key's rows
+of a micro-batch as a whole, so the size of Arrow batches has no say; limit what one trigger
+takes in to bound that memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -44,12 +46,10 @@ def _count_on(idle_ms: int):
             state.remove()
             return
         n, last_ms = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            last_ms = max(last_ms, int(pdf["ts"].iloc[-1].timestamp() * 1000))
-            yield pdf.assign(f_msg_count_per_imsi=range(n + 1, n + 1 + len(pdf)))
-            n += len(pdf)
-        state.update((n, last_ms))
+        pdf = pd.concat(batches, ignore_index=True).sort_values(["ts", "event_id"])
+        last_ms = max(last_ms, int(pdf["ts"].iloc[-1].timestamp() * 1000))
+        yield pdf.assign(f_msg_count_per_imsi=range(n + 1, n + 1 + len(pdf)))
+        state.update((n + len(pdf), last_ms))
         _keep_until(state, last_ms + idle_ms)
     return count_on
 
@@ -75,16 +75,20 @@ def _watch(source: str, count: int, width: int):
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            alerts = []
-            for at in sorted(pdf["_us"].tolist()):
-                if start is None or at >= start + width:
-                    start, n = at, 0
-                n += 1
-                if n == count:
-                    alerts.append((key[0], start, at))
-            yield pd.DataFrame(alerts, columns=columns)
-        state.update((start, n))
+        moments = np.sort(np.concatenate([pdf["_us"].to_numpy() for pdf in batches]))
+        alerts, at = [], 0
+        if start is not None:
+            # Rows before the open window belong to none of the windows still to come.
+            at = int(np.searchsorted(moments, start))
+        while at < len(moments):
+            if start is None or moments[at] >= start + width:
+                start, n = int(moments[at]), 0
+            end = int(np.searchsorted(moments, start + width))
+            if n < count <= n + end - at:
+                alerts.append((key[0], start, int(moments[at + count - n - 1])))
+            n, at = n + end - at, end
+        yield pd.DataFrame(alerts, columns=columns)
+        state.update((start if start is not None else 0, n))
         # The window is of no use once event time has passed its end.
         _keep_until(state, (start + width) // 1000 + 1)
     return watch

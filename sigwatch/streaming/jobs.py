@@ -1,12 +1,13 @@
 """Streaming jobs: detect, score and route, block SIP sources.
 
 Progress lives in the checkpoint, so a restart neither skips nor repeats a file. Every
-micro-batch writes under its own ``batch_id`` and overwrites it on a retry.
+micro-batch writes under the name of its stream and its own ``batch_id``, and overwrites only
+that on a retry; streams may share a root.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -23,20 +24,36 @@ from sigwatch.operators.rules import detect
 from sigwatch.operators.sip import flatten_events
 from sigwatch.operators.training import score
 from sigwatch.schemas import feature_table
-from sigwatch.sources.tables import parse_ids_events
+from sigwatch.sources.tables import by_name, parse_ids_events, text_schema
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv",
                 files_per_batch: int = 1, archive: str | None = None,
-                delete: bool = False) -> DataFrame:
-    """New files, oldest first, with their name; done files may be archived or deleted."""
-    reader = (spark.readStream.format(kind).schema(schema)
-              .option("header", True).option("maxFilesPerTrigger", files_per_batch))
+                delete: bool = False, required: Sequence[str] = ()) -> DataFrame:
+    """New files, oldest first, with their name; done files may be archived or deleted.
+
+    CSV columns go by the header of the files there when the stream starts, or else by the
+    declared order; a file with another header stops the stream.
+    """
+    names = _header(spark, path) if kind == "csv" else []
+    names = names or schema.names
+    reader = (spark.readStream.format(kind).schema(text_schema(names) if kind == "csv" else schema)
+              .option("header", True).option("enforceSchema", False)
+              .option("maxFilesPerTrigger", files_per_batch))
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     elif delete:
         reader = reader.option("cleanSource", "delete")
-    return reader.load(path).withColumn("source_file", F.col("_metadata.file_name"))
+    source = F.col("_metadata.file_name").alias("source_file")
+    rows = reader.load(path)
+    return by_name(rows, names, schema, required, [source]) if kind == "csv" else rows.select("*", source)
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    try:
+        return spark.read.option("header", True).csv(path).columns
+    except AnalysisException:
+        return []
 
 
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
@@ -47,8 +64,8 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     return writer.trigger(**trigger).start()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -61,14 +78,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
         return spark.createDataFrame([], schema)
 
 
-BLOCKLIST = "ip string, batch_id int"
+BLOCKLIST = "ip string, stream string, batch_id int"
 
 
-def add_to_blocklist(candidates: DataFrame, root: str, batch_id: int) -> None:
-    """Idempotent: addresses blocked by other batches are left out."""
-    known = (read_table(candidates.sparkSession, f"{root}/blocklist", BLOCKLIST)
-             .where(F.col("batch_id") != batch_id))
-    write_batch(block_additions(candidates, known), f"{root}/blocklist", batch_id)
+def add_to_blocklist(candidates: DataFrame, root: str, stream: str, batch_id: int) -> None:
+    """Idempotent: addresses blocked by other batches, of any stream, are left out."""
+    own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+    known = read_table(candidates.sparkSession, f"{root}/blocklist", BLOCKLIST).where(~own)
+    write_batch(block_additions(candidates, known), f"{root}/blocklist", stream, batch_id)
 
 
 def blocklist(spark: SparkSession, root: str) -> DataFrame:
@@ -80,11 +97,11 @@ def detection_handler(root: str) -> Callable[[DataFrame, int], None]:
     def handle(batch: DataFrame, batch_id: int) -> None:
         labelled = detect(batch).persist()
         try:
-            write_batch(labelled, f"{root}/labelled", batch_id)
+            write_batch(labelled, f"{root}/labelled", "detection", batch_id)
             alerts = labelled.where("label = 1").select(
                 alert_payload(F.col("src_ip"), F.current_timestamp(), F.col("main_threat"))
                 .alias("value"))
-            write_batch(alerts, f"{root}/alerts", batch_id)
+            write_batch(alerts, f"{root}/alerts", "detection", batch_id)
         finally:
             labelled.unpersist()
     return handle
@@ -96,13 +113,13 @@ def scoring_handler(root: str, model: PipelineModel) -> Callable[[DataFrame, int
         scored = score(batch.where("label = 1"), model)
         results = score_results(scored, "score").persist()
         try:
-            write_batch(results, f"{root}/results", batch_id)
+            write_batch(results, f"{root}/results", "scoring", batch_id)
             ip = F.col("ip_origen")
             notices = results.where(F.col("accion") == ACTION_NOTIFY).select(
                 notice_payload(ip, F.current_timestamp()).alias("value"))
-            write_batch(notices, f"{root}/notices", batch_id)
+            write_batch(notices, f"{root}/notices", "scoring", batch_id)
             blocked = results.where(F.col("accion") == ACTION_BLOCK).select(ip.alias("src_ip"))
-            add_to_blocklist(blocked, root, batch_id)
+            add_to_blocklist(blocked, root, "scoring", batch_id)
         finally:
             results.unpersist()
     return handle
@@ -113,9 +130,9 @@ def sip_handler(root: str) -> Callable[[DataFrame, int], None]:
     def handle(batch: DataFrame, batch_id: int) -> None:
         flows = flatten_events(batch).persist()
         try:
-            write_batch(flows, f"{root}/flows", batch_id)
-            write_batch(sip_alert_payload(flows), f"{root}/alerts", batch_id)
-            add_to_blocklist(flows.where("label = 1"), root, batch_id)
+            write_batch(flows, f"{root}/flows", "sip", batch_id)
+            write_batch(sip_alert_payload(flows), f"{root}/alerts", "sip", batch_id)
+            add_to_blocklist(flows.where("label = 1"), root, "sip", batch_id)
         finally:
             flows.unpersist()
     return handle

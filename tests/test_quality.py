@@ -15,6 +15,8 @@ def test_imsi(spark):
              "242011111111100.0", "002011111111100", "242011111111100\n", "٢٤٢٠١١١١١١١١١٠٠"]
     assert values(spark, valid_imsi, texts) == [True, False, False, False, False, True, True, False, False]
     assert values(spark, valid_imsi, [242011111111100, 5], "long") == [True, False]
+    assert values(spark, valid_imsi, [242011111111100.0, 242011111111100.5, float("nan"), float("inf"), None], "double") == [
+        True, False, False, False, False]
 
 
 def test_timestamps(spark):
@@ -92,3 +94,9 @@ def test_summary(spark):
     frame = spark.range(10352).withColumn("label", (F.col("id") < 1573).cast("int"))
     row = quality.dataset_summary(frame).first()
     assert row["num_samples"] == 10352 and row["fraud_ratio"] == pytest.approx(0.151951313, abs=1e-9)
+
+
+def test_type_suffixes_are_no_numbers(spark):
+    assert values(spark, to_number, ["12d", "3f", "0x1p3", "1.", ".5", "-2E2", "inf", "1e"]) == [
+        None, None, None, 1.0, 0.5, -200.0, float("inf"), None]
+    assert values(spark, valid_timestamp, ["12d", "3f", "0x1p3", "12", " 12.5 "]) == [False, False, False, True, True]

@@ -162,3 +162,23 @@ def test_capture_limit(spark, tmp_path):
         counts = rows.groupBy("path").agg(F.count("*").alias("n"), F.max("packet_no").alias("last"),
                                           F.countDistinct("src_ip").alias("d")).collect()
         assert [(r["n"], r["last"], r["d"]) for r in counts] == [(n, n - 1, n)] * 2
+
+
+def test_captures_keep_every_packet(spark, tmp_path):
+    many = [ethernet(V4, ipv4([1, 1, i // 256, i % 256])) for i in range(1200)]
+    (tmp_path / "x.pcap").write_bytes(classic(many))
+    assert captures.read_packets(spark, str(tmp_path)).count() == 1200
+
+
+def test_columns_go_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,other,id\nAnn,1,007\n")
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path), NAMES).collect()] == [("007", "Ann")]
+    typed = T.StructType([T.StructField("other", T.IntegerType()), T.StructField("absent", T.StringType()),
+                          T.StructField("name", T.IntegerType())])
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path), typed).collect()] == [(1, None, None)]
+    with pytest.raises(quality.MissingColumns, match="absent"):
+        read_csv(spark, str(tmp_path), typed, required=["name", "absent"])
+    # Another header is an error, not a mix-up.
+    (tmp_path / "b.csv").write_text("id,other,name\n008,2,Bob\n")
+    with pytest.raises(Exception, match="header|schema"):
+        read_csv(spark, str(tmp_path), NAMES).collect()

@@ -203,3 +203,43 @@ def test_threshold_alerts_equal_batch(spark, messages):
     got = run(counters.threshold_alerts(stream, F.lit(True), "c_imsi", 3, 12), "anchored", tmp_path)
     expected = threshold_windows(batch, F.lit(True), "c_imsi", 3, 12).drop("n_messages")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in expected.collect()} != set()
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_arrow_batches_have_no_say(spark, tmp_path, size):
+    rows = [{"event_id": i, "ts": f"2024-01-01T00:00:{i * 7 % 60:02d}Z", "c_imsi": "a"} for i in range(60)]
+    put(tmp_path / "m", "0.json", rows, 0)
+    batch = spark.read.schema(MESSAGES).json(str(tmp_path / "m"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        stream = spark.readStream.schema(MESSAGES).json(str(tmp_path / "m"))
+        counts = run(counters.running_counts(stream), f"counts{size}", tmp_path).collect()
+        alerts = run(counters.threshold_alerts(stream, F.lit(True), "c_imsi", 3, 5), f"alerts{size}", tmp_path).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r["event_id"], r["f_msg_count_per_imsi"]) for r in counts} == {
+        (r["event_id"], r["f_msg_count_per_imsi"]) for r in message_count(batch).collect()}
+    expected = threshold_windows(batch, F.lit(True), "c_imsi", 3, 5).drop("n_messages").collect()
+    assert {tuple(r) for r in alerts} == {tuple(r) for r in expected} and len(alerts) == 12
+
+
+def test_streams_share_a_root(spark, tmp_path):
+    root = str(tmp_path)
+    one = spark.createDataFrame([("1.1.1.1",)], "src_ip string")
+    two = spark.createDataFrame([("2.2.2.2",), ("2001:db8::7",), ("1.1.1.1",), ("2001:::7",), ("1:2:3:4:5:6:7:8",),
+                                 ("1:2:3:4:5:6:7:8:9",), ("1::2:3:4:5:6:7:8",), ("::",), (":",)], "src_ip string")
+    jobs.add_to_blocklist(one, root, "scoring", 0)
+    for _ in range(2):
+        jobs.add_to_blocklist(two, root, "sip", 0)
+    assert {r["ip"] for r in jobs.blocklist(spark, root).collect()} == {"1.1.1.1", "2.2.2.2", "2001:db8::7", "1:2:3:4:5:6:7:8", "::"}
+    assert jobs.read_table(spark, f"{root}/blocklist", jobs.BLOCKLIST).count() == 5
+
+
+def test_stream_columns_go_by_header(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("c_imsi,src_ip\n242011111111100,9.9.9.9\n")
+    schema = T.StructType([T.StructField("src_ip", T.StringType()), T.StructField("c_imsi", T.StringType())])
+    rows = run(jobs.file_stream(spark, str(inbox), schema), "named", tmp_path).collect()
+    assert [tuple(r) for r in rows] == [("9.9.9.9", "242011111111100", "a.csv")]

@@ -126,3 +126,19 @@ def test_splits_are_disjoint_whole_and_repeatable(spark, rows):
     tiny = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "id long, label int")
     assert rebalance.stratified_split(tiny, "id", exact=True).where("is_holdout = 1").count() == 1
     assert rebalance.smote_counts(frame).where("n_after = 4444").count() == 2
+
+
+def test_models_do_not_depend_on_input_parts(rows):
+    classifier = training.make_classifier("rf", {"n_estimators": 10, "max_depth": 4, "random_state": 1})
+    found = []
+    for parts in (1, 8):
+        model = training.train(rows.where("is_holdout = 0").repartition(parts), FEATURES, classifier)
+        found.append({r["id"]: r["score"] for r in training.score(rows, model).collect()})
+    assert found[0] == found[1]
+
+
+def test_scores_that_are_no_numbers_rank_nowhere(spark):
+    frame = spark.createDataFrame([(0.9, 1), (0.1, 0), (None, 0), (float("nan"), 0)], "score double, label int")
+    assert metrics.roc_auc(frame).first()[0] == 1.0
+    assert {(r["tp"], r["fp"]) for r in metrics.roc_points(frame).collect()} == {(1, 0), (1, 1)}
+    assert {r["support_0"] for r in metrics.threshold_metrics(frame).collect()} == {1}
