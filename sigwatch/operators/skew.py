@@ -6,8 +6,7 @@ keys are cut along the order axis into slices of about ``TARGET_ROWS`` rows. Win
 functions run within (key, slice); what earlier slices contribute is carried in from a
 table with one row per (heavy key, slice). Results are exactly those of the plain window.
 
-Heavy keys come from a frequent-items sketch (never misses a key above the support, never
-returns more than 1/support keys), cut points from quantiles of the order axis. Below
+Heavy keys come from exact counts, cut points from quantiles of the order axis. Below
 ``TARGET_ROWS`` rows in total nothing can be heavy and no extra pass is made.
 """
 
@@ -21,7 +20,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TARGET_ROWS = 4_000_000
-MAX_SLICES = 8_192
 
 KEY, AT, SLICE = "_key", "_at", "_slice"
 
@@ -41,18 +39,16 @@ def key_text(*columns: str) -> Column:
 
 def find_slicing(keyed: DataFrame, target_rows: int = TARGET_ROWS) -> Slicing:
     """Heavy keys of a frame with KEY and AT columns, and where to cut them."""
-    rows = keyed.count()
-    if rows <= target_rows:
+    if keyed.count() <= target_rows:  # then no key can exceed it
         return Slicing([], [])
-    # A support below 1/10000 is not accepted by the sketch.
-    support = max(target_rows / rows, 1e-4)
-    heavy = keyed.select(KEY).freqItems([KEY], support).first()[0]
-    if not heavy:
+    # Counts combine before the shuffle; at most rows / target_rows keys are heavy.
+    found = (keyed.groupBy(KEY).agg(F.count("*").alias("_rows"))
+             .where(F.col("_rows") > target_rows).collect())
+    if not found:
         return Slicing([], [])
+    heavy = [r[KEY] for r in found]
     axis = keyed.where(F.col(KEY).isin(heavy)).select(F.col(AT).cast("double").alias(AT))
-    slices = min(MAX_SLICES, ceil(axis.count() / target_rows))
-    if slices < 2:
-        return Slicing([], [])
+    slices = ceil(sum(r["_rows"] for r in found) / target_rows)
     wanted = [i / slices for i in range(1, slices)]
     cuts = axis.approxQuantile(AT, wanted, 0.25 / slices)
     return Slicing(sorted(heavy), sorted(set(cuts)))
@@ -87,7 +83,7 @@ def cell(*order: Column | str) -> Window:
 
 
 def earlier_slices() -> Window:
-    """All slices of the key before this one; at most MAX_SLICES rows per key."""
+    """All slices of the key before this one; one row per slice."""
     return (Window.partitionBy(KEY).orderBy(SLICE)
             .rowsBetween(Window.unboundedPreceding, -1))
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sigwatch.plans.registry import CHECKS, QUERIES
 
-_MODULES = ["detection", "cleaning", "sequences", "evaluation", "sip", "learning"]
+_MODULES = ["detection", "cleaning", "sequences", "evaluation", "sip", "learning", "sliced", "streams"]
 
 
 def load_all():
