@@ -20,7 +20,8 @@ from sigwatch.sources.tables import write_features, write_messages
 
 def label_captures(spark: SparkSession, inbox: str, features_out: str, alerts_out: str,
                    batch_date: str, limit: int | None = None,
-                   enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
+                   enrich: Callable[[DataFrame], DataFrame] | None = None,
+                   addresses: DataFrame | None = None, ranges: DataFrame | None = None) -> None:
     """Capture files to labelled rows and alert messages.
 
     ``enrich`` may add what a packet does not tell: subscriber, nodes, other features. With
@@ -31,7 +32,7 @@ def label_captures(spark: SparkSession, inbox: str, features_out: str, alerts_ou
     if "c_imsi" in rows.columns:
         rows = running_count(rows, ["path", "c_imsi"], F.col("packet_no"), "packet_no",
                              "f_msg_count_per_imsi")
-    labelled = detect(rows).persist()
+    labelled = detect(rows, addresses, ranges).persist()
     try:
         write_features(quality.align(labelled, feature_table()), features_out, batch_date)
         alerts = labelled.where("label = 1").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sigwatch.constants import BAD_ADDRESSES, BAD_RANGES
@@ -77,6 +79,18 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str, spread_by: str,
     return found.drop("_number", "_block")
 
 
+def listed_addresses(rows: DataFrame, addresses: DataFrame | None, ranges: DataFrame | None,
+                     ip: str = "src_ip") -> DataFrame:
+    """The different addresses of the rows that a list or a range holds."""
+    different = rows.select(ip).distinct()
+    found = []
+    if addresses is not None:
+        found.append(in_addresses(different, addresses, ip, ip))
+    if ranges is not None:
+        found.append(in_ranges(different, ranges, ip, ip))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def valid_candidates(rows: DataFrame, ip: str) -> DataFrame:
     """Well-formed addresses of either family."""
     address = F.col("ip")

@@ -17,6 +17,7 @@ from sigwatch.constants import (
 )
 from sigwatch.functions.netaddr import ip_to_long, public_only, within
 from sigwatch.functions.payload import has_signature
+from sigwatch.operators.lists import listed_addresses
 
 
 def _field(df: DataFrame, name: str, default) -> Column:
@@ -71,9 +72,19 @@ def main_threat(flags: dict[str, Column]) -> Column:
                       F.lit(OTHER_THREAT))
 
 
-def detect(df: DataFrame, **options) -> DataFrame:
-    """Add ``rule_*`` flags, ``threat_score``, ``label`` and ``main_threat``."""
-    flagged = df.withColumns({f"rule_{n}": c for n, c in rule_columns(df, **options).items()})
+def detect(df: DataFrame, addresses: DataFrame | None = None, ranges: DataFrame | None = None,
+           **options) -> DataFrame:
+    """Add ``rule_*`` flags, ``threat_score``, ``label`` and ``main_threat``.
+
+    With ``addresses`` (column ip) or ``ranges`` (columns lo, hi) the block list is what these
+    tables hold, else the compiled one.
+    """
+    rules = rule_columns(df, **options)
+    if addresses is not None or ranges is not None:
+        listed = listed_addresses(df, addresses, ranges).select(F.col("src_ip").alias("_listed"))
+        df = df.join(listed, F.col("src_ip") == F.col("_listed"), "left")
+        rules["blocklist"] = F.col("_listed").isNotNull()
+    flagged = df.withColumns({f"rule_{n}": c for n, c in rules.items()}).drop("_listed")
     named = {name: F.col(f"rule_{name}") for name, _, _ in RULES}
     scored = flagged.withColumn("threat_score", threat_score(named))
     return scored.withColumns({

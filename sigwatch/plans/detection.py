@@ -76,6 +76,14 @@ def _add_rule(name: str, sql: str, key: str | None = None, **options) -> None:
 
 for _name, _sql in _RULE_SQL.items():
     _add_rule(_name, _sql)
+@query("rule_blocklist_table", f"WITH {COUNTED} SELECT event_id, CAST(({_RULE_SQL['blocklist']}) AS INT) "
+       "AS rule_blocklist FROM counted")
+def rule_blocklist_table(spark, sf_dir):
+    """The block list as tables, joined instead of compiled into the rules."""
+    found = detect(sig(spark, sf_dir), lists.bad_addresses(spark), lists.bad_ranges(spark))
+    return found.select("event_id", F.col("rule_blocklist").cast("int").alias("rule_blocklist"))
+
+
 _add_rule("psi", f"{_RULE_SQL['psi']} AND NOT {_between(HOME_NETWORKS)}", "rule_psi_external",
           check_private=True)
 

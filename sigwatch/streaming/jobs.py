@@ -92,10 +92,11 @@ def blocklist(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/blocklist", BLOCKLIST).select("ip").distinct()
 
 
-def detection_handler(root: str) -> Callable[[DataFrame, int], None]:
-    """Label each batch of features; write labels and alerts."""
+def detection_handler(root: str, addresses: DataFrame | None = None,
+                      ranges: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """Label each batch of features, by the lists given; write labels and alerts."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        labelled = detect(batch).persist()
+        labelled = detect(batch, addresses, ranges).persist()
         try:
             write_batch(labelled, f"{root}/labelled", "detection", batch_id)
             alerts = labelled.where("label = 1").select(
@@ -139,9 +140,11 @@ def sip_handler(root: str) -> Callable[[DataFrame, int], None]:
 
 
 def start_detection(spark: SparkSession, inbox: str, root: str, every: str | None = None,
+                    addresses: DataFrame | None = None, ranges: DataFrame | None = None,
                     **source) -> StreamingQuery:
     stream = file_stream(spark, inbox, feature_table(), **source)
-    return start(stream, detection_handler(root), f"{root}/_checkpoint_detection", every)
+    return start(stream, detection_handler(root, addresses, ranges),
+                 f"{root}/_checkpoint_detection", every)
 
 
 def start_scoring(spark: SparkSession, inbox: str, root: str, model: PipelineModel,
