@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.llm.common import struct
+from sigwatch.llm.common import held, struct
 from sigwatch.llm.packing import _portions, vocabulary_file
 
 #: Pieces that a worker remembers before it starts anew, and their greatest length.
@@ -231,14 +231,8 @@ class ByteEncoder:
         return np.cumsum(lengths) - lengths
 
 
-_ENCODERS: dict[int, ByteEncoder] = {}
-
-
 def _encoder(content: bytes) -> ByteEncoder:
-    key = zlib.crc32(content)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ByteEncoder(content)
-    return _ENCODERS[key]
+    return held(("bytes", zlib.crc32(content)), lambda: ByteEncoder(content))
 
 
 def _encode(shared, keep_ids: bool, schema: pa.Schema):

@@ -10,6 +10,22 @@ from pyspark.sql import types as T
 from sigwatch.session import shared_dir
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps between tasks, such as a tokenizer and its memory. It keeps one such
+    object at a time, so that operators that follow each other don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,18 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.llm.common import stored, struct
+from sigwatch.llm.common import held, stored, struct
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers before it starts anew.
+#: Word stems whose ids a worker remembers before it starts anew.
 REMEMBERED = 1 << 19
 #: Documents tokenised together, by characters, so that long texts don't add up.
 _CHARS = 4 << 20
 _TOGETHER = 1000
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
 
 def vocabulary_file(name: str) -> str:
     import public_tokenizers
@@ -43,7 +41,7 @@ def vocabulary_file(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space; remembers the ids of words.
+    """Ids of texts by a tokenizer that drops white space; remembers the ids of word stems.
 
     Texts are cut at spaces and line ends, which no token crosses and over which no normal form
     composes. Of a word, marks behind a last letter are tokens of their own, so its stem is
@@ -58,8 +56,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -76,43 +73,46 @@ class WordEncoder:
             else:  # a letter whose lower case is no single letter
                 yield from self._encode(group)
 
-    def _learn(self, words: set[str]) -> None:
-        parts = {}
-        for word in words:
-            stem = word.rstrip(".,!?")
+    def _cut(self, word: str) -> tuple[str, str]:
+        """Stem and marks; a word that can't be cut there is its own stem."""
+        stem = word.rstrip(".,!?")
+        if stem.isascii():
+            if stem.isalpha():
+                return stem.lower(), word[len(stem):]
+            last = stem[-1:]
+        else:
             # The tokenizer composes, then folds case; a mark left at the end would join the tail.
-            if not unicodedata.normalize("NFC", stem[-1:]).lower()[-1:].isalpha():
-                stem = word
-            parts[word] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, word[len(stem):])
+            last = unicodedata.normalize("NFC", stem[-1]).lower()[-1:]
+        return (stem, word[len(stem):]) if last.isalpha() else (word, "")
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
         if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        new = list({piece for pair in parts.values() for piece in pair}.difference(self.stems))
+            self.stems = {"": b""}
+        stems, cut, found, waiting = self.stems, self._cut, {}, []
+        for word in words:
+            stem, tail = cut(word)
+            if stem in stems and tail in stems:
+                found[word] = stems[stem] + stems[tail]
+            else:
+                waiting.append((word, stem, tail))
+        new = list({piece for _, *pieces in waiting for piece in pieces}.difference(stems))
         letters = [piece for piece in new if piece.isalpha()]
-        self.stems.update(zip(letters, self._encode_letters(letters)))
+        stems.update(zip(letters, self._encode_letters(letters)))
         rest = [piece for piece in new if not piece.isalpha()]
-        self.stems.update(zip(rest, self._encode(rest)))
-        stems = self.stems
-        self.known.update((word, stems[stem] + stems[tail]) for word, (stem, tail) in parts.items())
+        stems.update(zip(rest, self._encode(rest)))
+        found.update((word, stems[stem] + stems[tail]) for word, stem, tail in waiting)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            # The words of this call must be at hand together.
-            self.known, new = {}, words
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known = self._words(set().union(*split))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _encoder(content: bytes) -> WordEncoder:
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = zlib.crc32(content)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(content)
-    return _ENCODERS[key]
+    return held(("words", zlib.crc32(content)), lambda: WordEncoder(content))
 
 
 def _portions(texts: list[str], limit: int) -> Iterator[slice]:
