@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.llm.common import stored, struct, unused
+from sigwatch.llm.common import release, stored, struct, unused
 from sigwatch.llm.packing import _portions
 
 ORDER, SHARED, STRETCH, DISCOUNT = 6, 3, 32, 0.75
-PER_CLASS = 16_384
+PER_CLASS = 8_192
 THRESHOLD = 0.7
-#: Words whose ratio a worker remembers before it starts anew, and characters scored together.
-REMEMBERED, _CHARS, _TOGETHER = 1 << 19, 4 << 20, 1 << 14
+#: Words whose ratio a task remembers before it starts anew, and characters scored together.
+REMEMBERED, _CHARS, _TOGETHER = 1 << 18, 2 << 20, 1 << 15
 FLOOR = 1e-5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -123,10 +123,11 @@ class Order(NamedTuple):
         np.add.at(kinds, place, counts > 0)
         scale = np.where(total > 0, 1 / np.maximum(total, 1), 0)
         rest = np.where(total > 0, DISCOUNT * kinds * scale, 1)
-        wide = counts.shape[1]
-        return Order(Lookup(keys), np.vstack([np.maximum(counts - DISCOUNT, 0), np.zeros((1, wide))]),
-                     Lookup(known), np.vstack([scale, np.zeros((1, wide))]),
-                     np.vstack([rest, np.ones((1, wide))]))
+        gain, wide = np.maximum(counts - DISCOUNT, 0), counts.shape[1]
+
+        def light(values, unknown):
+            return np.vstack([values, np.full((1, wide), unknown)]).astype(np.float32)
+        return Order(Lookup(keys), light(gain, 0), Lookup(known), light(scale, 0), light(rest, 1))
 
 
 class Model(NamedTuple):
@@ -203,24 +204,26 @@ def _class_grams(sample: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(_CLASS_GRAM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                kind = toxic + fold  # fold is 0 or 2
-                for word in words_of(text or ""):
-                    counts.setdefault(word, [0, 0, 0, 0])[kind] += 1
-            if not counts:
-                continue
-            found, ends = grams(list(counts))
-            weights = np.repeat(np.array(list(counts.values())),
-                                np.diff(np.concatenate([[-1], ends])), axis=0)
-            for n, (gram, context) in enumerate(found, 1):
-                keys, first, place = np.unique(gram, return_index=True, return_inverse=True)
-                sums = np.zeros((len(keys), 4), dtype=np.int64)
-                np.add.at(sums, place, weights)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), n, np.int32)), _signed(keys), _signed(context[first]),
-                     *(pa.array(np.ascontiguousarray(s)) for s in sums.T)], schema=arrow)
+            texts, toxic, fold = (column.to_pylist() for column in batch.columns)
+            texts = [text or "" for text in texts]
+            for rows in _portions(texts, _CHARS):
+                counts: dict[str, list[int]] = {}
+                for at in range(rows.start, rows.stop):
+                    for word in words_of(texts[at]):
+                        counts.setdefault(word, [0, 0, 0, 0])[toxic[at] + fold[at]] += 1  # fold is 0 or 2
+                words, numbers = list(counts), np.array(list(counts.values()))
+                for at in range(0, len(words), _TOGETHER):
+                    found, ends = grams(words[at:at + _TOGETHER])
+                    weights = np.repeat(numbers[at:at + _TOGETHER],
+                                        np.diff(np.concatenate([[-1], ends])), axis=0)
+                    for n, (gram, context) in enumerate(found, 1):
+                        keys, first, place = np.unique(gram, return_index=True, return_inverse=True)
+                        sums = np.stack([np.bincount(place, w) for w in weights.T]).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(keys), n, np.int32)), _signed(keys), _signed(context[first]),
+                             *map(pa.array, sums)], schema=arrow)
 
     return (sample.select("text", "toxic", "fold").mapInArrow(run, _CLASS_GRAM)
             .groupBy("order", "gram", "context").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
@@ -233,6 +236,7 @@ def _preceded(docs: DataFrame, shared) -> DataFrame:
     arrow = to_arrow_schema(_PRECEDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lookups = [Lookup(keys) for keys in shared.value]
         seen: set[str] = set()
         told = [np.empty(0, np.uint64) for _ in lookups]
@@ -287,6 +291,7 @@ class Trained(NamedTuple):
 def _apply(shared, schema: pa.Schema, keep: int, finish):
     """Run a model over the last column's texts; the first ``keep`` columns pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = _Scorer(shared.value)
         for batch in batches:
             texts = [text or "" for text in batch.columns[-1].to_pylist()]
