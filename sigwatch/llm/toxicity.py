@@ -288,13 +288,13 @@ class Trained(NamedTuple):
     prior: float
 
 
-def _apply(shared, schema: pa.Schema, keep: int, finish):
-    """Run a model over the last column's texts; the first ``keep`` columns pass through."""
+def _apply(shared, schema: pa.Schema, keep: int, finish, at: int = -1):
+    """Run a model over the texts in column ``at``; the first ``keep`` columns pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         scorer = _Scorer(shared.value)
         for batch in batches:
-            texts = [text or "" for text in batch.columns[-1].to_pylist()]
+            texts = [text or "" for text in batch.columns[at].to_pylist()]
             for rows in _portions(texts, _CHARS):
                 found = scorer(texts[rows])
                 kept = [c[rows.start:rows.stop] for c in batch.columns[:keep]]
@@ -361,13 +361,14 @@ def with_scores(docs: DataFrame, trained: Trained, name: str = "score", text_col
     from pyspark.sql.pandas.types import to_arrow_schema
     if trained.model is None:
         return docs.withColumn(name, F.lit(trained.prior))
-    raw = unused([*docs.columns, name], "raw")
+    if not isinstance(docs.schema[text_col].dataType, T.StringType):
+        raise TypeError(f"{text_col} is no text")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(trained.model)
     light = trained._replace(model=None)
-    return docs.withColumn(raw, F.col(text_col).cast("string")).mapInArrow(
-        _apply(shared, to_arrow_schema(schema), len(docs.columns),
-               lambda x: [pa.array(_scores(light, x))]), schema)
+    return docs.mapInArrow(_apply(shared, to_arrow_schema(schema), len(docs.columns),
+                                  lambda x: [pa.array(_scores(light, x))], docs.columns.index(text_col)),
+                           schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id",
