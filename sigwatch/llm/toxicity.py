@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Each class has letter n-gram counts of orders 4 to 6 inside words, from labelled documents.
-Below them both back off to one shared model of orders 1 to 3, whose continuation counts (how
-many different letters precede an n-gram) come from all documents of the corpus, labelled or
-not. A word's log-likelihood ratio is thus near nothing where the classes agree, and rare or
-unseen words are judged by the parts they share with known ones.
+Below them both back off to one shared model of orders 1 to 3. Its continuation counts (how many
+different letters precede an n-gram) and the totals and kinds of their contexts come from all
+n-grams of all documents of the corpus, labelled or not. A word's log-likelihood ratio is thus
+near nothing where the classes agree, and rare or unseen words are judged by the parts they share
+with known ones.
 
 Ratios are normalised by length in three ways: per word over the whole document, per word over
 its most toxic stretch of ``STRETCH`` words, and for its most toxic word. A logistic function of
@@ -40,6 +41,8 @@ PER_CLASS = 8_192
 THRESHOLD = 0.7
 #: Words whose ratio a task remembers before it starts anew, and characters scored together.
 REMEMBERED, _CHARS, _TOGETHER = 1 << 18, 2 << 20, 1 << 15
+#: N-grams of an order that a task remembers to have reported.
+_TOLD = 1 << 20
 FLOOR = 1e-5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -115,12 +118,17 @@ class Order(NamedTuple):
     rest: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Order:
-        """From the counts of n-grams, one row per n-gram and one column per class."""
-        known, place = np.unique(contexts, return_inverse=True)
-        total, kinds = np.zeros((len(known), counts.shape[1])), np.zeros((len(known), counts.shape[1]))
-        np.add.at(total, place, counts)
-        np.add.at(kinds, place, counts > 0)
+    def of(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
+           sums: tuple[np.ndarray, np.ndarray] | None = None) -> Order:
+        """From the counts of n-grams, one row per n-gram and one column per class. Where the rows
+        are not all n-grams of their contexts, ``sums`` are each row's context total and kinds."""
+        known, first, place = np.unique(contexts, return_index=True, return_inverse=True)
+        if sums:
+            total, kinds = (of_row[first] for of_row in sums)
+        else:
+            total, kinds = np.zeros((len(known), counts.shape[1])), np.zeros((len(known), counts.shape[1]))
+            np.add.at(total, place, counts)
+            np.add.at(kinds, place, counts > 0)
         scale = np.where(total > 0, 1 / np.maximum(total, 1), 0)
         rest = np.where(total > 0, DISCOUNT * kinds * scale, 1)
         gain, wide = np.maximum(counts - DISCOUNT, 0), counts.shape[1]
@@ -186,7 +194,7 @@ def toxic_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 _CLASS_GRAM = struct(("order", T.IntegerType()), ("gram", T.LongType()), ("context", T.LongType()),
                      *[(f"n{i}", T.LongType()) for i in range(4)])
-_PRECEDED = struct(("gram", T.LongType()), ("longer", T.LongType()))
+_PRECEDED = struct(("context", T.LongType()), ("gram", T.LongType()), ("longer", T.LongType()))
 
 
 def _unsigned(column: pa.Array | np.ndarray) -> np.ndarray:
@@ -229,28 +237,28 @@ def _class_grams(sample: DataFrame) -> DataFrame:
             .groupBy("order", "gram", "context").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
 
 
-def _preceded(docs: DataFrame, shared) -> DataFrame:
-    """For the model's n-grams of shared orders, how many different letters precede them in the
-    corpus. Each task reports a pair of n-gram and longer n-gram once."""
+def _preceded(docs: DataFrame) -> DataFrame:
+    """For every n-gram of shared orders in the corpus, its context and how many different letters
+    precede it. A task reports an n-gram with its longer one again only after it has forgotten it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(_PRECEDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        lookups = [Lookup(keys) for keys in shared.value]
         seen: set[str] = set()
-        told = [np.empty(0, np.uint64) for _ in lookups]
+        told = [np.empty(0, np.uint64) for _ in range(SHARED)]
 
         def tell():
             found, _ = grams(list(seen), SHARED + 1)
             seen.clear()
-            for n, lookup in enumerate(lookups):
-                # A longer n-gram implies the n-gram inside it.
+            for n in range(SHARED):
+                # A longer n-gram implies the n-gram inside it, and that its context.
                 longer, first = np.unique(found[n + 1][0], return_index=True)
-                gram = found[n][0][first]
-                new = (lookup(gram) >= 0) & ~np.isin(longer, told[n])
-                told[n] = np.concatenate([told[n], longer[new]])
-                yield pa.RecordBatch.from_arrays([_signed(gram[new]), _signed(longer[new])], schema=arrow)
+                new = ~np.isin(longer, told[n])
+                longer, first = longer[new], first[new]
+                told[n] = np.concatenate([told[n], longer]) if len(told[n]) < _TOLD else longer
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(found[n][1][first]), _signed(found[n][0][first]), _signed(longer)], schema=arrow)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -261,7 +269,17 @@ def _preceded(docs: DataFrame, shared) -> DataFrame:
             yield from tell()
 
     return (docs.select("text").mapInArrow(run, _PRECEDED).distinct()
-            .groupBy("gram").agg(F.count("*").alias("n")))
+            .groupBy("context", "gram").agg(F.count("*").alias("n")))
+
+
+def _shared_counts(docs: DataFrame, known: pa.Table) -> pa.Table:
+    """For the n-grams of ``known`` (context, gram): n, and total and kinds of their contexts, all
+    over the whole corpus. N-grams that ``known`` lacks need no value of their own: no class has a
+    longer one, so that their shared probability is the same factor in both classes."""
+    counts = stored(_preceded(docs), "preceded")
+    sums = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    wanted = counts.join(F.broadcast(docs.sparkSession.createDataFrame(known)), ["context", "gram"])
+    return sums.join(F.broadcast(wanted), "context").select("gram", "n", "total", "kinds").toArrow()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -325,12 +343,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     counts = np.stack([table.column(f"n{i}").to_numpy() for i in range(4)], axis=1).astype(float)
     by_order = [np.flatnonzero(order == n) for n in range(1, ORDER + 1)]
 
-    known = context.broadcast([gram[rows] for rows in by_order[:SHARED]])
-    preceded = _preceded(texts, known).toArrow()
-    lookup = Lookup(_unsigned(preceded.column("gram").to_numpy()))
-    kinds = np.append(preceded.column("n").to_numpy().astype(float), 1.0)
-    shared = [Order.of(gram[rows], before[rows], kinds[lookup(gram[rows])][:, None])
-              for rows in by_order[:SHARED]]
+    corpus = _shared_counts(texts, table.select(["context", "gram"]).take(np.concatenate(by_order[:SHARED])))
+    lookup = Lookup(_unsigned(corpus.column("gram").to_numpy()))
+    n, total, kinds = (corpus.column(c).to_numpy().astype(float)[:, None] for c in ("n", "total", "kinds"))
+    at = [lookup(gram[rows]) for rows in by_order[:SHARED]]
+    shared = [Order.of(gram[rows], before[rows], n[a], (total[a], kinds[a])) for rows, a in zip(by_order, at)]
 
     def model(columns):
         own = [counts[rows][:, columns].reshape(len(rows), -1, 2).sum(axis=1) for rows in by_order]

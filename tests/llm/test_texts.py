@@ -94,6 +94,31 @@ def test_model_equals_plain_kneser_ney(spark):
     assert trained.model.ratios(words) == pytest.approx(expected, rel=1e-4, abs=1e-4)
 
 
+def test_shared_counts_cover_all_documents(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate([("you idiot idiots", 1), ("a nice idea", 0), ("idle moron", 1), ("more news", 0),
+                                                   ("the moron news", 1), ("a more idle idea", 0)] * 8)]
+    # N-grams that no labelled text has, in contexts that labelled texts have.
+    others = ["idzx idqq monk mokk", "thz nezz icy", "unlabelled zebras"]
+    frame = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(others)], "doc_id long, text string, toxic int")
+    trained = toxicity.train(frame.drop("toxic"), frame.select("doc_id", "toxic"))
+    counts, kinds, preceded = [defaultdict(Counter), defaultdict(Counter)], defaultdict(set), defaultdict(Counter)
+    for i, t, y in [*rows, *((1000, t, None) for t in others)]:
+        for word in t.split():
+            padded = "\0" * 5 + word + "\1"
+            for at in range(5, len(padded)):
+                for n in range(1, 7):
+                    gram = padded[at - n + 1:at + 1]
+                    if n <= toxicity.SHARED:
+                        kinds[n, gram].add(padded[at - n:at + 1])
+                    if y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+                        counts[y][n][gram] += 1
+    for (n, gram), longer in kinds.items():
+        preceded[n][gram] = len(longer)
+    words = ["idiot", "idea", "moron", "more", "zebra", "x", "idiotic", "monk", "idzx"]
+    expected = [plain_probability(counts, preceded, w, 1) - plain_probability(counts, preceded, w, 0) for w in words]
+    assert trained.model.ratios(words) == pytest.approx(expected, rel=1e-4, abs=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, labels, corpus):
     frame = docs(spark, [(1, None), (2, ""), (3, "!!! 。"), (None, "text"), (4, "you idiot " * 20000), (4, "calm words")])
     model = toxicity.train(corpus, labels.unionByName(labels))
