@@ -1,13 +1,15 @@
 """Secret scans: base patterns, and formats inferred from the credentials they find.
 
-The first pass scans every whole text once and stores, per document, the base spans, the
-credential strings in them, and candidates: runs of 20 or more of ``[A-Za-z0-9+/_=-]`` with a
-letter and a digit. It also counts which character follows which in all texts. For each kind a
-bounded sample of different credentials, the first in hash order, becomes a prefix tree whose
-states merge when Hoeffding bounds find their endings and transitions compatible. Every
-candidate outside the base spans is then scored: its log-likelihood per character under the
-best automaton, less that under the corpus's letter pairs. What reaches the level that the
-sampled credentials themselves reach is added as a span of kind ``format``.
+The first pass reads every whole text and stores the credentials in its base spans; it also
+counts which character follows which in all texts. For each kind a bounded sample of different
+credentials, the first in hash order, becomes a prefix tree whose states merge when Hoeffding
+bounds find their endings and transitions compatible. The second pass takes as candidates all
+runs of the credential alphabet, less what base spans cover of them, that have the 6 characters
+any credential has. A candidate's score is its log-likelihood per character under the best
+automaton, less that under the corpus's letter pairs. What reaches the level that the sampled
+credentials themselves reach is added as a span of kind ``format``. Dots may belong to a
+credential or end a sentence: a run is scored with and without the dots at its ends, and where
+neither fits, the parts between its dots are.
 
 Offsets count code points, ends are exclusive. Null text counts as empty. Repeated rows repeat.
 Without credentials nothing is added. No rows give no rows.
@@ -16,6 +18,7 @@ Without credentials nothing is added. No rows give no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ KINDS = ("assign", "access", "hex", "format")
 #: Different credentials per kind that an automaton is inferred from.
 SAMPLE = 400
 ALPHA, STRAY = 0.05, 0.01
+#: Characters of the shortest credential of the base patterns.
+CREDENTIAL = 6
 #: Share of sampled credentials that may score below the level, and the least level.
 BELOW, LEAST = 0.05, 1.0
 
@@ -40,12 +45,13 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
                      re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+_RUN, _PART = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}"), re.compile(rb"[^.]{6,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 
 _IS_HEX = bytes(1 if b in b"0123456789abcdef" else 0 for b in range(256))
-_IS_ANY = bytes(1 if b in ALPHABET and b != ord(".") else 0 for b in range(256))
+#: Runs that a task remembers, and the longest of them.
+REMEMBERED, _LONG = 1 << 18, 128
 
 
 def base_matches(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -60,13 +66,19 @@ def base_matches(text: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(found)
 
 
-def candidates(text: bytes, taken: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
-    """Long mixed runs that no taken span overlaps."""
-    if b"\1" * 20 not in text.translate(_IS_ANY):
-        return []
-    return [(m.start(), m.end(), m[0]) for m in _CANDIDATE.finditer(text)
-            if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0])
-            and not any(a < m.end() and m.start() < b for a, b in taken)]
+def free_runs(text: bytes, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of the credential alphabet without what taken spans, in order, cover of them."""
+    first, reach = 0, np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    for run in _RUN.finditer(text):
+        start, end = run.span()
+        while first < len(taken) and reach[first] <= start:
+            first += 1
+        for a, b in itertools.takewhile(lambda span: span[0] < end, itertools.islice(taken, first, None)):
+            if a - start >= CREDENTIAL:
+                yield start, a
+            start = max(start, b)
+        if end - start >= CREDENTIAL:
+            yield start, end
 
 
 class Automaton(NamedTuple):
@@ -175,11 +187,48 @@ class Formats(NamedTuple):
         return max(((a.log_likelihood(text) - ordinary) / len(text) - level
                     for a, level in zip(self.automata, self.levels)), default=-math.inf)
 
+    def places(self, run: bytes) -> tuple[tuple[int, int], ...]:
+        """Where a run reaches the level: as a whole, without the dots at its ends, or in parts."""
+        left = len(run) - len(run.lstrip(b"."))
+        ends = {(0, len(run)), (left, max(left, len(run.rstrip(b"."))))}
+        best, place = max((self.score(run[a:b]), (a, b)) for a, b in ends if b - a >= CREDENTIAL)
+        if best >= 0:
+            return place,
+        return tuple(m.span() for m in _PART.finditer(run) if m.span() not in ends and self.score(m[0]) >= 0)
+
+
+class _Finder:
+    """Base spans and added spans of texts; remembers what became of runs."""
+
+    def __init__(self, formats: Formats):
+        self.formats, self.known = formats, {}
+
+    def places(self, run: bytes) -> tuple[tuple[int, int], ...]:
+        found = self.known.get(run)
+        if found is None:
+            found = self.formats.places(run)
+            if len(run) <= _LONG:
+                if len(self.known) >= REMEMBERED:
+                    self.known = {}
+                self.known[run] = found
+        return found
+
+    def __call__(self, text: bytes) -> tuple[list[tuple], list[tuple]]:
+        """(start, kind, end, credential) in order, by code points: base spans, and all."""
+        base, added = base_matches(text), []
+        if self.formats.automata and (base or any(map(self.places, set(_RUN.findall(text))))):
+            for start, end in free_runs(text, [(a, b) for a, _, b, _ in base]):
+                added += [(start + a, 3, start + b, text[start + a:start + b])
+                          for a, b in self.places(text[start:end])]
+        spans = _spans(text, base + added)
+        return spans[:len(base)], sorted(spans)
+
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()),
                       T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
 _PAIR = T.StructType([T.StructField("pair", T.IntegerType()), T.StructField("n", T.LongType())])
-_FOUND = [("base", T.ArrayType(_SPAN)), ("candidates", T.ArrayType(_SPAN)), ("pairs", T.ArrayType(_PAIR))]
+_BASE = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("value", T.StringType())])
+_SEEN = struct(("base", T.ArrayType(_BASE)), ("pairs", T.ArrayType(_PAIR)))
 
 
 def _points(text: bytes, places: list[int]) -> list[int]:
@@ -202,37 +251,29 @@ def _spans(text: bytes, found: list[tuple[int, int, int, bytes]]) -> list[tuple]
 
 def _scan(schema: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, keep = np.zeros(1 << 16, dtype=np.int64), len(schema) - 3
+        pairs = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            base, more = [], []
-            for text in texts_of(batch.columns[-1]):
-                matches = base_matches(text)
-                base.append(_spans(text, matches))
-                more.append(_spans(text, [(a, 3, b, v) for a, b, v in
-                                          candidates(text, [(m[0], m[2]) for m in matches])]))
+            base = []
+            for text in texts_of(batch.column(0)):
+                found = base_matches(text)
+                if found:
+                    base.append([{"kind": kind, "value": value.decode()} for _, kind, _, value in found])
                 codes = np.frombuffer(text, np.uint8)
                 for at in range(0, len(codes), 1 << 20):
                     part = codes[max(0, at - 1):at + (1 << 20)].astype(np.int32)
                     pairs += np.bincount(part[:-1] * 256 + part[1:], minlength=1 << 16)
-            none = pa.nulls(len(base), schema[-1].type)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:keep], *(pa.array([[dict(zip(("start", "kind", "end", "value"), s)) for s in spans]
-                                                    for spans in column], schema[keep].type)
-                                          for column in (base, more)), none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(base, schema[0].type), pa.nulls(len(base), schema[1].type)],
+                                             schema=schema)
         seen = [{"pair": int(pair), "n": int(pairs[pair])} for pair in np.flatnonzero(pairs)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:-1]),
-                                          pa.array([seen], schema[-1].type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, schema[0].type), pa.array([seen], schema[1].type)], schema=schema)
     return scan
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The first pass, stored: the other columns, base, candidates; and rows with pair counts."""
+    """The first pass, stored: the credentials of texts, and rows with pair counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    raw = unused(docs.columns, "raw")
-    source = docs.select(*[c for c in docs.columns if c != text_col], F.col(text_col).cast("binary").alias(raw))
-    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, k) for n, k in _FOUND]])
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-    return stored(source.mapInArrow(_scan(to_arrow_schema(schema)), schema), "secrets")
+    return stored(docs.select(F.col(text_col).cast("binary")).mapInArrow(_scan(to_arrow_schema(_SEEN)), _SEEN),
+                  "secrets")
 
 
 def learn(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
@@ -259,19 +300,25 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
     return Formats(automata, levels, pairs)
 
 
-def _with_formats(scanned: DataFrame, formats: Formats) -> DataFrame:
-    """Rows of documents, with ``spans``: base and added spans in order."""
-    shared = scanned.sparkSession.sparkContext.broadcast(formats)  # bounded by the samples
-
-    @F.pandas_udf("array<boolean>")
-    def fits(values):
-        return values.map(lambda v: [shared.value.score(t.encode()) >= 0 for t in v])
-
-    rows = scanned.where("base IS NOT NULL").drop("pairs")
-    told = rows.withColumn("fit", F.when(F.size("candidates") > 0, fits(F.transform(
-        "candidates", lambda c: c["value"]))).otherwise(F.array().cast("array<boolean>")))
-    added = F.filter("candidates", lambda c, i: F.col("fit")[i])
-    return told.withColumn("spans", F.array_sort(F.concat("base", added))).drop("fit", "candidates")
+def _with_spans(docs: DataFrame, formats: Formats, text_col: str) -> DataFrame:
+    """The second pass: ``docs`` with ``base`` and ``spans`` (base and added spans) in order, as
+    arrays of structs, in two more columns at the end."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    shared = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by the samples
+    base = unused(docs.columns, "base")
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema],
+                           T.StructField(base, T.ArrayType(_SPAN)),
+                           T.StructField(unused([*docs.columns, base], "spans"), T.ArrayType(_SPAN))])
+    arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(shared.value)
+        for batch in batches:
+            found = [finder((text or "").encode()) for text in batch.column(at).to_pylist()]
+            columns = [pa.array([[dict(zip(("start", "kind", "end", "value"), s)) for s in spans] for spans in column],
+                                arrow[-1].type) for column in ([f[0] for f in found], [f[1] for f in found])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=arrow)
+    return docs.mapInArrow(run, schema)
 
 
 def _text(spans):
@@ -283,8 +330,8 @@ def _text(spans):
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  sample: int = SAMPLE) -> DataFrame:
     """One row per document: its id, counts per base kind, a digest of base spans, all spans."""
-    scanned = scan(docs.select(id_col, text_col), text_col)
-    found = _with_formats(scanned, learn(scanned, sample))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _with_spans(texts, learn(scan(texts), sample), "text").withColumnRenamed("id", id_col)
 
     def count(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
@@ -298,11 +345,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one), and the length
     column, where there is one, brought up to date in rows that changed."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    copy = unused(docs.columns, "kept")
-    packed = docs.select(F.struct(*docs.columns).alias(copy), F.col(text_col).alias(text_col))
-    scanned = scan(packed, text_col)
-    spans = _with_formats(scanned, learn(scanned, sample)).select(f"{copy}.*", F.col("spans").alias(
-        unused(docs.columns, "spans")))
+    kept = stored(docs, "kept")
+    spans = _with_spans(kept, learn(scan(kept, text_col), sample), text_col).drop(unused(docs.columns, "base"))
     at, schema = docs.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     size = docs.columns.index(length_col) if length_col in docs.columns else None
     arrow = to_arrow_schema(schema)

@@ -182,6 +182,35 @@ def test_formats_are_learnt_and_added(spark):
     assert texts[102] == rows[62][1] and texts[0] == "words before [SECRET] and after it some more words"
 
 
+def test_short_lettered_and_dotted_formats_are_added(spark):
+    draw = random.Random(5)
+
+    def letters():
+        return "".join(draw.choice("abcdefghijkmnpqrstuvwxyz") for _ in range(12))
+
+    def dotted():
+        return ".".join("".join(draw.choice("bcdfghjkmnpqvwxz") for _ in range(4)) for _ in range(3))
+    rows = [(i, "words before password=" + (letters, dotted)[i % 2]() + " and after it some more words") for i in range(120)]
+    bare, other, third = letters(), dotted(), letters()
+    rows += [(500, f"words then {bare} in the open"), (501, f"é words, {other} and the sentence ends with {third}."),
+             (502, f"{bare}.{'0a1b2c3d' * 4}"), (503, "an ordinary sentence of words. It ends here.")]
+    rows += [(600 + i, " ".join(draw.choice(["plain", "prose", "about", "something", "ordinary", "sentence", "words"]) for _ in range(200)))
+             for i in range(200)]
+    frame = docs(spark, rows)
+    found = {r.doc_id: r.spans for r in credentials.find_secrets(frame).collect()}
+    text = dict(rows)
+
+    def spot(i, value):
+        return f"format:{text[i].index(value)}:{text[i].index(value) + len(value)}"
+    assert found[500] == spot(500, bare) and found[503] == ""
+    assert found[501] == f"{spot(501, other)},{spot(501, third)}"
+    # A dot is a letter of these credentials.
+    assert found[502] == "format:0:13,hex:13:45"
+    assert not any(found[600 + i] for i in range(200))
+    clean = {r.doc_id: r.text for r in credentials.redact(frame).collect()}
+    assert clean[500] == "words then [SECRET] in the open" and clean[502] == "[SECRET][SECRET]"
+
+
 def test_automaton_keeps_a_fixed_start():
     draw = random.Random(1)
     words = [("AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))).encode() for _ in range(300)]
