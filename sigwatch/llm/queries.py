@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import ann, bpe, chunks, credentials, packing, sharding, simhash, toxicity, warc
+from sigwatch.llm import (ann, bpe, chunks, credentials, filter_audit, packing, sharding, simhash, token_counts,
+                          toxicity, warc)
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -84,3 +85,48 @@ def op2_substring_dedup(spark, sf_dir):
 @query("op1_graph_ann")
 def op1_graph_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", r"""
+WITH words AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t,
+                      list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+               FROM documents),
+ judged AS (SELECT doc_id, part, CAST(len(w) < 50 AS INT) AS a,
+                   CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) AS b,
+                   CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT) AS c,
+                   CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+                   CAST(COALESCE(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS INT) AS e FROM words),
+ marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+           FROM labels GROUP BY doc_id),
+ masks AS (SELECT part, a, b, c, d, e, count(*) AS n, COALESCE(sum(good), 0) AS good, COALESCE(sum(toxic), 0) AS toxic
+           FROM judged LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+ letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+ orders AS (SELECT v.f || w.f || x.f || y.f || z.f AS o
+            FROM letters v, letters w, letters x, letters y, letters z
+            WHERE length(regexp_replace(v.f || w.f || x.f || y.f || z.f, 'A', '')) = 4
+              AND contains(v.f || w.f || x.f || y.f || z.f, 'B') AND contains(v.f || w.f || x.f || y.f || z.f, 'C')
+              AND contains(v.f || w.f || x.f || y.f || z.f, 'D') AND contains(v.f || w.f || x.f || y.f || z.f, 'E')),
+ failed AS (SELECT *, CASE WHEN a = 1 THEN 'A' ELSE '' END || CASE WHEN b = 1 THEN 'B' ELSE '' END
+            || CASE WHEN c = 1 THEN 'C' ELSE '' END || CASE WHEN d = 1 THEN 'D' ELSE '' END
+            || CASE WHEN e = 1 THEN 'E' ELSE '' END AS fails FROM masks),
+ placed AS (SELECT part, o, s AS step, n, good, toxic, substr(o, s::INT, 1) AS f, fails,
+                   contains(fails, substr(o, s::INT, 1)) AS here,
+                   length(translate(substr(o, 1, s::INT - 1), fails, '')) < s - 1 AS earlier
+            FROM failed, orders, range(1, 6) t(s)),
+ report AS (SELECT part, o, step, f, sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN here AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+            FROM placed GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+ redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+ toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM report""")
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
