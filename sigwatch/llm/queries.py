@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sigwatch.llm import (ann, bpe, chunks, credentials, filter_audit, packing, sharding, simhash, token_counts,
-                          toxicity, warc)
+from sigwatch.llm import (ann, bpe, chunks, collocations, credentials, filter_audit, packing, sharding, simhash,
+                          token_counts, toxicity, warc)
 from sigwatch.llm.common import table
 from sigwatch.llm.exact import exact_groups
 from sigwatch.llm.registry import CHECKS, QUERIES, query
@@ -130,3 +130,30 @@ SELECT part, o AS filter_order, CAST(step AS INT) AS step, kept::BIGINT AS kept,
  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM report""")
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+ f AS (SELECT lang, s, phrase, count(*) AS f
+       FROM (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2),
+                                                   lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+             FROM words, range(1, 4) t(s)) GROUP BY ALL),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE s > 1 AND f >= 10),
+ sides AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+           FROM c, range(1, 3) t(k) WHERE k < s),
+ cuts AS (SELECT t.lang, t.phrase, a, k, x.f AS l, y.f AS r,
+                 (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+          FROM sides t JOIN f x ON x.lang = t.lang AND x.phrase = t.lp JOIN f y ON y.lang = t.lang AND y.phrase = t.rp),
+ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ longer AS (SELECT lang, part, max(f) AS f
+            FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part
+                  FROM c WHERE s = 3) GROUP BY ALL),
+ n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank,
+ phrase, a, l, r, n, score::BIGINT AS score
+FROM best b JOIN n ON n.lang = b.lang LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase
+WHERE g.f IS NULL OR 100 * g.f < 50 * a QUALIFY rank <= 2000""")
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
