@@ -14,12 +14,13 @@ SF = "/root/testdata/sf0.001"
 def plain(rows, support=10, longest=3, top=2000, cover=50):
     f, n = defaultdict(Counter), Counter()
     for lang, text in rows:
+        lang = "und" if lang is None else lang
         text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
             words = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und"] += len(words)
+            n[lang] += len(words)
             for size in range(1, longest + 1):
-                f[lang or "und"].update(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+                f[lang].update(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
     found = set()
     for lang, counts in f.items():
         able = {p: a for p, a in counts.items() if len(p) > 1 and a >= support}
