@@ -11,7 +11,9 @@ too much. Only phrases whose words all reach the support are mined. Both this se
 union reach the tasks as Bloom filters of at most ``BLOOM_BITS`` bits; what they let through
 wrongly is counted like the rest and falls to the support. A filter filled beyond its size costs
 work, never results. Tasks combine equal phrases before they shuffle, so a phrase or language that
-fills a third of all texts arrives once per batch of a task.
+fills a third of all texts arrives once per batch of a task. Mined hashes travel as arrays by
+buckets of the hash, whose number follows the corpus's words; a bucket holds what all shards have
+of it and is sorted in one task.
 
 Texts are lower-cased in A to Z, cut into pieces at . , ; : ! ? and the bytes 0A-0D (hex), and
 pieces into words at spaces and tabs. Null texts count as empty, null languages as ``und``.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
@@ -38,8 +41,9 @@ SUPPORT, LONGEST, TOP, COVER = 10, 3, 2000, 50
 SHARDS = 4
 #: The greatest size of either Bloom filter, in bits; keys set three of them.
 BLOOM_BITS, BITS_PER_KEY = 1 << 27, 12
-#: Bytes of text looked at together, and different entries after which a task passes them on.
-_BYTES, _KEPT = 1 << 20, 1 << 18
+#: Bytes of text looked at together, different entries after which a task passes them on, hashes
+#: sorted together, and hashes of a bucket.
+_BYTES, _KEPT, _TOGETHER, _BUCKET = 1 << 20, 1 << 18, 1 << 20, 1 << 21
 UNKNOWN = "und"
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -212,10 +216,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return stored(_counts(texts, lambda words: [(1, np.arange(len(words.starts)))]), "words")
 
 
-_MINED = struct(("shard", T.IntegerType()), ("hash", T.LongType()), ("n", T.LongType()))
+_HASH = struct(("hash", T.LongType()))
+_MINED = struct(("bucket", T.IntegerType()), ("shard", T.IntegerType()), ("hashes", T.ArrayType(T.LongType())))
 
 
-def _mine(known, longest: int, shards: int, schema: pa.Schema):
+def _mine(known, longest: int, shards: int, lowered: int, buckets: int, schema: pa.Schema):
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = known.value
         shard = TaskContext.get().partitionId() % shards
@@ -224,8 +229,14 @@ def _mine(known, longest: int, shards: int, schema: pa.Schema):
         def rows():
             hashes, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), shard, np.int32)),
-                                               pa.array(hashes.view(np.int64)), pa.array(n)], schema=schema)
+            # Each hash as often as it was met, but no more often than the lowered support asks for.
+            hashes = np.repeat(hashes, np.minimum(n, lowered))
+            bucket = ((hashes >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[starts]), pa.array(np.full(len(starts), shard, np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.append(starts, len(hashes)).astype(np.int32)),
+                                          pa.array(hashes.view(np.int64)))], schema=schema)
         for _, words in _read(batches):
             keep = frequent(words.hashes)
             for size in range(2, longest + 1):
@@ -234,25 +245,35 @@ def _mine(known, longest: int, shards: int, schema: pa.Schema):
                 for at in range(1, size):
                     chosen &= keep[first + at]
                 waiting.append(hashes[chosen])
-            if sum(map(len, waiting)) > 16 * _KEPT:
+            if sum(map(len, waiting)) > _TOGETHER:
                 yield rows()
         if waiting:
             yield rows()
     return mine
 
 
-def locally_frequent(texts: DataFrame, frequent: Bloom, support: int, longest: int, shards: int) -> DataFrame:
-    """Hashes of the phrases that reach the lowered support in some shard."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _reach(lowered: int, schema: pa.Schema):
+    def reach(key, table):
+        shard = table.column("shard").to_numpy()
+        found = []
+        for one in np.unique(shard):
+            hashes = pc.list_flatten(table.filter(pa.array(shard == one)).column("hashes")).to_numpy()
+            kinds, n = np.unique(hashes, return_counts=True)
+            found.append(kinds[n >= lowered])
+        return pa.Table.from_arrays([pa.array(np.unique(np.concatenate(found)))], schema=schema)
+    return reach
 
-    known = texts.sparkSession.sparkContext.broadcast(frequent)  # at most BLOOM_BITS bits
-    lowered = -(-support // shards)
-    return stored(texts.mapInArrow(_mine(known, longest, shards, to_arrow_schema(_MINED)), _MINED)
-                  .groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= lowered)
-                  .select("hash").distinct(), "mined")
 
+def locally_frequent(texts: DataFrame, frequent: Bloom, total: int, support: int, longest: int,
+                     shards: int) -> DataFrame:
+    """Hashes of the phrases that reach the lowered support in some shard. ``total`` words set the
+    number of buckets that hashes are dealt to, so that buckets stay of one size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-_HASH = struct(("hash", T.LongType()))
+    known = texts.sparkSession.sparkContext.broadcast(frequent)  # at most BLOOM_BITS bits
+    lowered, buckets = -(-support // shards), max(1, total * (longest - 1) // _BUCKET)
+    mined = texts.mapInArrow(_mine(known, longest, shards, lowered, buckets, to_arrow_schema(_MINED)), _MINED)
+    return stored(mined.groupBy("bucket").applyInArrow(_reach(lowered, to_arrow_schema(_HASH)), _HASH), "mined")
 
 
 def _word_hashes(words: DataFrame) -> DataFrame:
@@ -270,7 +291,8 @@ def phrase_counts(texts: DataFrame, words: DataFrame, support: int = SUPPORT, lo
     """Lang, phrase, size and f of all phrases of 2 to ``longest`` words with support."""
     able = words.where(F.col("f") >= support)
     frequent = bloom_of(_word_hashes(able), able.count(), most_bits)
-    mined = locally_frequent(texts, frequent, support, longest, shards)
+    total = words.agg(F.sum("f")).first()[0] or 0
+    mined = locally_frequent(texts, frequent, total, support, longest, shards)
     union = texts.sparkSession.sparkContext.broadcast(bloom_of(mined, mined.count(), most_bits))
 
     def choose(words):
