@@ -26,7 +26,7 @@ def seconds(ts: str = "ts") -> Column:
 
 
 def message_count(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                  tie: str = "event_id", target_rows: int = TARGET_ROWS) -> DataFrame:
+                  tie: str = "event_id", target_rows: float = TARGET_ROWS) -> DataFrame:
     """Messages of the subscriber so far, this one included."""
     return running_count(df, keys, micros(ts), tie, "f_msg_count_per_imsi", target_rows)
 
@@ -92,18 +92,18 @@ def add_gap(sliced: Sliced, ts: str = "ts", tie: str = "event_id", longest: int
 
 
 def between_lu_counts(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                      tie: str = "event_id", target_rows: int = TARGET_ROWS) -> DataFrame:
+                      tie: str = "event_id", target_rows: float = TARGET_ROWS) -> DataFrame:
     return add_between_lu_counts(sliced_by(df, keys, micros(ts), target_rows), tie).done()
 
 
 def gap_since_previous(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                       tie: str = "event_id", target_rows: int = TARGET_ROWS,
+                       tie: str = "event_id", target_rows: float = TARGET_ROWS,
                        **options) -> DataFrame:
     return add_gap(sliced_by(df, keys, micros(ts), target_rows), ts, tie, **options).done()
 
 
 def sequence_features(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
-                      tie: str = "event_id", target_rows: int = TARGET_ROWS,
+                      tie: str = "event_id", target_rows: float = TARGET_ROWS,
                       **gap_options) -> DataFrame:
     """Message count, counts and rates between updates, update gap and ratio in one shuffle."""
     sliced = sliced_by(df, keys, micros(ts), target_rows)
@@ -136,7 +136,7 @@ def ratio_cl_psi(counted: DataFrame) -> DataFrame:
 
 def high_activity(df: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
                   window_seconds: int = 300, at_least: int = 10,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
+                  target_rows: float = TARGET_ROWS) -> DataFrame:
     """Flag records with ``at_least`` records of the subscriber in the closing window."""
     counted = sliding_count(df, keys, micros(ts), window_seconds * MICROS, "_recent", target_rows)
     flag = (F.col("_recent") >= at_least).cast("int")
@@ -154,7 +154,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def impossible_travel(updates: DataFrame, keys: list[str] = ["c_imsi"], ts: str = "ts",
                       tie: str = "event_id", limit_kmh: float = 1000.0,
-                      target_rows: int = TARGET_ROWS) -> DataFrame:
+                      target_rows: float = TARGET_ROWS) -> DataFrame:
     """Flag location updates further from the last one than ``limit_kmh`` allows.
 
     ``updates`` holds location updates only, with ``lat`` and ``lon``.
@@ -172,7 +172,7 @@ def impossible_travel(updates: DataFrame, keys: list[str] = ["c_imsi"], ts: str
 
 def countries_last_hours(updates: DataFrame, hours: int, country: str = "country",
                          keys: list[str] = ["c_imsi"], ts: str = "ts",
-                         target_rows: int = TARGET_ROWS) -> DataFrame:
+                         target_rows: float = TARGET_ROWS) -> DataFrame:
     """Distinct countries of the subscriber's location updates in the last hours."""
     return sliding_distinct(updates, keys, country, micros(ts), hours * 3600 * MICROS,
                             "f_count_unloop_country_last_x_hours_ul", target_rows)

@@ -83,7 +83,7 @@ def _scores(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score",
-               target_rows: int = TARGET_ROWS) -> DataFrame:
+               target_rows: float = TARGET_ROWS) -> DataFrame:
     """One point per distinct score, from the strictest threshold down."""
     ranked = running_sums(_scores(df, label, score), [], -F.col("score"),
                           {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows,
@@ -98,7 +98,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            target_rows: int = TARGET_ROWS) -> DataFrame:
+            target_rows: float = TARGET_ROWS) -> DataFrame:
     """Area under the curve by trapezoids: positives before each score, plus half the ties."""
     ranked = running_sums(_scores(df, label, score), [], -F.col("score"),
                           {"tp": F.col("_p"), "fp": F.col("_n")}, target_rows,

@@ -24,13 +24,13 @@ def row_hash(seed: int, row_id: str) -> Column:
 
 
 def _ranked(df: DataFrame, keys: list[str], row_id: str, seed: int, name: str,
-            target_rows: int) -> DataFrame:
+            target_rows: float) -> DataFrame:
     return running_count(df, keys, row_hash(seed, row_id), row_id, name, target_rows)
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str = "label", fraction: float = 0.2,
                      seed: int = 42, exact: bool = False, name: str = "is_holdout",
-                     target_rows: int = TARGET_ROWS) -> DataFrame:
+                     target_rows: float = TARGET_ROWS) -> DataFrame:
     """Mark the holdout rows.
 
     By default each row is drawn on its own, which moves no data and keeps class shares in
@@ -62,7 +62,7 @@ def _classes(sizes: DataFrame, most: int = 1000) -> list:
 
 
 def kfold(df: DataFrame, row_id: str, label: str = "label", folds: int = 3, seed: int = 42,
-          name: str = "fold", target_rows: int = TARGET_ROWS) -> DataFrame:
+          name: str = "fold", target_rows: float = TARGET_ROWS) -> DataFrame:
     """Fold number per row; each class is dealt out evenly in hash order."""
     ranked = _ranked(df, [label], row_id, seed, "_rank", target_rows)
     return ranked.withColumn(name, ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
@@ -231,7 +231,7 @@ def smote_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def smote_rows(df: DataFrame, row_id: str, vector: str, label: str = "label", k: int = 5,
-               seed: int = 42, target_rows: int = TARGET_ROWS, **options) -> DataFrame:
+               seed: int = 42, target_rows: float = TARGET_ROWS, **options) -> DataFrame:
     """Synthetic minority rows: (base, neighbour, copy, u, vector), as many as are missing.
 
     Base rows take turns in hash order; copy number picks the neighbour and the place on

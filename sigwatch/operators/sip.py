@@ -12,9 +12,10 @@ from sigwatch.constants import DEFAULT_SIP_ALERT, SIP_CLASS_SEVERITY, SIP_RULES
 from sigwatch.operators.features import micros
 from sigwatch.operators.lists import fixed_table
 from sigwatch.operators.skew import (
-    AT, KEY, SLICE, TARGET_ROWS, Slicing, cell, find_slicing, heavy_only, keyed_rows,
-    slice_rows,
+    AT, KEY, SLICE, TARGET_ROWS, Sliced, Slicing, add_previous_row, add_running_sums, find_slicing,
+    heavy_only, keyed_rows, slice_rows,
 )
+from sigwatch.session import stored
 
 UNKNOWN_METHOD = r"(?im)^(?!INVITE|REGISTER|BYE|OPTIONS\s)[A-Z]+\s+sip:"
 
@@ -75,132 +76,147 @@ def classify(alerts: DataFrame) -> DataFrame:
 # Threshold windows anchored at the first event: a window opens at the first event, lasts a
 # fixed width, and the first event after its end opens the next.
 #
-# Each slice of a heavy source reports which end its last window would have for every event
-# that could open its first window; neighbouring events with the same outcome share a row.
-# A walk over these reports, keeping two numbers, gives each slice the end of the window it
-# inherits and the events already in it. Then all slices assign their events on their own.
-
-_LONG_AGO = -(2 ** 62)
-# Cuts are at least this many windows apart, so reports stay a small part of the events.
-_WINDOWS_PER_SLICE = 16
-
-
-def _ends(times: np.ndarray, width: int) -> np.ndarray:
-    """End of the last window if a window opened at each event in turn."""
-    following = np.searchsorted(times, times + width, side="left")
-    ends = times + width
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            ends[i] = ends[following[i]]
-    return ends
-
-
-def _report(width: int):
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        times, seen = pdf[AT].to_numpy(dtype=np.int64), np.append(0, pdf["n"].cumsum())
-        # An inherited window ends within one width of the slice's first event.
-        reach = min(len(times), int(np.searchsorted(times, times[0] + width, side="left")) + 1)
-        ends, openers = _ends(times, width)[:reach], times[:reach]
-        last_of_run = np.append(ends[1:] != ends[:-1], True)
-        ends = ends[last_of_run]
-        held = seen[-1] - seen[np.searchsorted(times, ends - width, side="left")]
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], SLICE: pdf[SLICE].iloc[0],
-                             "upto": openers[last_of_run], "window_end": ends, "held": held,
-                             "last": times[-1], "total": seen[-1]})
-    return report
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Inherited window end and events so far, over reports sorted by key, slice, opener."""
-    columns = [KEY, SLICE, "upto", "window_end", "held", "last", "total"]
-    key, number, end, held, settled = None, None, _LONG_AGO, 0, True
-    for batch in batches:
-        rows = []
-        for k, n, upto, window_end, window_held, last, total in batch[columns].itertuples(index=False):
-            if k != key:
-                key, number, end, held = k, None, _LONG_AGO, 0
-            if n != number:
-                number = n
-                rows.append((k, n, end, held))
-                settled = end > last
-                if settled:  # the whole slice lies in the inherited window
-                    held += total
-            if not settled and upto >= end:
-                end, held, settled = window_end, window_held, True
-        yield pd.DataFrame(rows, columns=[KEY, SLICE, "inherited", "held"])
-
-
-def _assign(width: int):
-    """Window start and running count of each event, over events sorted by key, slice, time."""
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, start, so_far = None, 0, 0
+# Sources that are not heavy are walked window by window over their sorted moments. A heavy source
+# is never gathered: each of its moments finds the moment that would open the next window, by the
+# sliced look-up of the nearest row; jumps over 1, 2, 4, ... windows come from joining these
+# successors with themselves, and applying the jumps from the longest to the shortest to the first
+# moment reaches every moment that opens a window. Each moment then looks up its window, and
+# running sums over slices tell which one reaches the count.
+
+WINDOWS = f"{KEY} string, start bigint, gained bigint, alert bigint"
+
+
+def _walk(width: int, count: int):
+    """Windows of sources over moments sorted by key and time; a window may come in parts."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, start, so_far = None, None, 0
         for pdf in batches:
-            starts, counts = [], []
-            columns = [KEY, SLICE, AT, "n", "inherited", "held"]
-            for key, number, at, n, inherited, held in zip(*[pdf[c].tolist() for c in columns]):
-                if (key, number) != cell:
-                    # Events before the inherited end belong to the inherited window.
-                    cell, start, so_far = (key, number), inherited - width, held
-                if at >= start + width:
-                    start, so_far = at, 0
-                so_far += n
-                starts.append(start)
-                counts.append(so_far)
-            yield pd.DataFrame({"source": pdf[KEY], "start": starts, "moment": pdf[AT],
-                                "so_far": counts})
-    return assign
-
-
-def _spaced(slicing: Slicing, width: int) -> Slicing:
-    kept: list[float] = []
-    for cut in slicing.cuts:
-        if not kept or cut - kept[-1] >= _WINDOWS_PER_SLICE * width:
-            kept.append(cut)
-    return Slicing(slicing.keys, kept)
-
-
-def _long_enough(moments: DataFrame, slicing: Slicing, count: int, width: int) -> DataFrame:
-    """Drop runs of a light source that are too short to raise an alert.
+            keys, at, held = pdf[KEY].to_numpy(), pdf[AT].to_numpy(np.int64), pdf["held"].to_numpy()
+            seen, opened = np.append(0, pdf["n"].to_numpy(np.int64).cumsum()), pdf["opened"].to_numpy()
+            rows = []
+            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for first, behind in zip([0, *edges], [*edges, len(keys)] if len(keys) else []):
+                i, extra = first, 0
+                if keys[first] != current:
+                    current, start, so_far = keys[first], None, 0
+                    if not np.isnan(opened[first]):
+                        start, so_far = int(opened[first]), int(held[first])
+                        extra = so_far
+                        # What came before the open window belongs to none still to come.
+                        i += int(np.searchsorted(at[first:behind], start))
+                while i < behind:
+                    if start is None or at[i] >= start + width:
+                        start, so_far, extra = int(at[i]), 0, 0
+                    end = first + int(np.searchsorted(at[first:behind], start + width))
+                    gained, alert = int(seen[end] - seen[i]), None
+                    if so_far < count <= so_far + gained:
+                        alert = int(at[i + int(np.searchsorted(seen[i + 1:end + 1], seen[i] + count - so_far))])
+                    rows.append((current, start, gained + extra, alert))
+                    so_far, i, extra = so_far + gained, end, 0
+            yield pd.DataFrame(rows, columns=[KEY, "start", "gained", "alert"]).astype({"alert": "Int64"})
+    return walk
+
+
+def _long_enough(moments: DataFrame, count: int, width: int) -> DataFrame:
+    """Drop runs of a source that are too short to raise an alert.
 
     A pause of a whole width ends any window, so runs between pauses stand alone.
     """
-    order = cell(AT)
+    order = Window.partitionBy(KEY).orderBy(AT)
     pause = F.col(AT) - F.lag(AT).over(order) >= width
     numbered = moments.withColumn("_run", F.sum(F.coalesce(pause, F.lit(False)).cast("int")).over(order))
-    size = F.sum("n").over(Window.partitionBy(KEY, SLICE, "_run"))
-    kept = numbered.withColumn("_size", size).where(
-        (F.col("_size") >= count) | F.col(KEY).isin(slicing.keys))
-    return kept.drop("_run", "_size")
+    size = F.sum("n").over(Window.partitionBy(KEY, "_run"))
+    return numbered.withColumn("_size", size).where(F.col("_size") >= count).drop("_run", "_size")
+
+
+def _reversed(slicing: Slicing) -> Slicing:
+    return Slicing(slicing.keys, sorted(-cut for cut in slicing.cuts))
+
+
+def _successors(moments: DataFrame, slicing: Slicing, width: int) -> DataFrame:
+    """KEY, a, b: the moment b that opens the next window if one opens at a."""
+    backwards = moments.select(KEY, (-F.col(AT)).alias(AT), F.lit(0).alias("probe"), F.lit(None).cast("bigint").alias("a"))
+    probes = moments.select(KEY, (-F.col(AT) - width).alias(AT), F.lit(1).alias("probe"), F.col(AT).alias("a"))
+    rows = slice_rows(backwards.unionByName(probes), _reversed(slicing))
+    found = add_previous_row(Sliced(rows, _reversed(slicing)), "probe", [AT], "_next", F.col("probe") == 0).rows
+    return found.where("probe = 1 AND _next IS NOT NULL").select(KEY, "a", (-F.col(f"_next.{AT}")).alias("b"))
+
+
+def _openers(moments: DataFrame, first: DataFrame, slicing: Slicing, width: int) -> DataFrame:
+    """KEY, start: all moments that open a window, given the first one of each key."""
+    after = stored(_successors(moments, slicing, width), "successors")
+    # Only what is the successor of something, or first, can open a window.
+    able = after.select(KEY, F.col("b").alias("a")).unionByName(first.select(KEY, F.col("start").alias("a"))).distinct()
+    jumps = [stored(after.join(able, [KEY, "a"], "left_semi"), "jumps")]
+    while not jumps[-1].isEmpty():
+        further = jumps[-1].select(KEY, F.col("a").alias("b"), F.col("b").alias("c"))
+        jumps.append(stored(jumps[-1].join(further, [KEY, "b"]).select(KEY, "a", F.col("c").alias("b")), "jumps"))
+    reached = first
+    for jump in reversed(jumps[:-1]):
+        ahead = reached.join(jump.withColumnRenamed("a", "start"), [KEY, "start"]).select(KEY, F.col("b").alias("start"))
+        reached = stored(reached.unionByName(ahead), "openers")
+    return reached
+
+
+def _heavy_windows(moments: DataFrame, slicing: Slicing, count: int, width: int) -> DataFrame:
+    """The windows of heavy sources: KEY, start, gained, alert."""
+    moments = stored(moments.where(F.col("opened").isNull() | (F.col(AT) >= F.col("opened"))), "moments")
+    # An open window's events are there already; the first moment behind its end opens the next.
+    first = (moments.where(F.col("opened").isNull() | (F.col(AT) >= F.col("opened") + width))
+             .groupBy(KEY).agg(F.min(AT).alias("start")))
+    summed = stored(add_running_sums(Sliced(slice_rows(moments, slicing), slicing), {"upto": F.col("n")})
+                    .rows.drop(SLICE), "sums")
+    marks = (_openers(moments, first, slicing, width).withColumnRenamed("start", AT)
+             .join(summed, [KEY, AT]).select(KEY, AT, (F.col("upto") - F.col("n")).alias("before"), F.lit(0).alias("held")))
+    going = (moments.where(F.col("opened").isNotNull()).groupBy(KEY)
+             .agg(F.min("opened").alias(AT), F.max("held").alias("held"))
+             .select(KEY, AT, (-F.col("held")).alias("before"), "held"))
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("n", "upto")]
+    both = (marks.unionByName(going).select(KEY, AT, F.lit(0).alias("event"), "before", "held", *none)
+            .unionByName(summed.select(KEY, AT, F.lit(1).alias("event"), F.lit(None).cast("bigint").alias("before"),
+                                       F.lit(None).cast("bigint").alias("held"), "n", "upto")))
+    window = F.col("_window")
+    placed = add_previous_row(Sliced(slice_rows(both, slicing), slicing), "event", [AT, "before", "held"], "_window",
+                              F.col("event") == 0).rows.where("event = 1 AND _window IS NOT NULL")
+    so_far = F.col("upto") - window["before"]
+    crossing = (so_far >= count) & (so_far - F.col("n") < count)
+    return placed.groupBy(KEY, window[AT].alias("start")).agg(
+        (F.sum("n") + F.max(window["held"])).alias("gained"), F.min(F.when(crossing, F.col(AT))).alias("alert"))
+
+
+def anchored_windows(timed: DataFrame, count: int, width: int, target_rows: float = TARGET_ROWS,
+                     opened: DataFrame | None = None, all_windows: bool = True) -> DataFrame:
+    """KEY, start, n, alert (the moment that brings the window to ``count`` events, or null) of
+    rows with KEY and AT. ``opened`` (KEY, opened, held) has the windows that are already open, and
+    how many events they hold. Unless ``all_windows``, windows that cannot reach the count may be
+    left out."""
+    slicing = find_slicing(timed, target_rows)
+    moments = timed.groupBy(KEY, AT).agg(F.count("*").alias("n"))
+    if opened is None:
+        moments = moments.withColumns({c: F.lit(None).cast("bigint") for c in ("opened", "held")})
+    else:
+        moments = moments.join(opened, KEY, "left")
+    light = moments.where(~F.col(KEY).isin(slicing.keys)) if slicing.keys else moments
+    if not all_windows and opened is None:
+        light = _long_enough(light, count, width)
+    parts = (light.repartition(KEY).sortWithinPartitions(KEY, AT)
+             .mapInPandas(_walk(width, count), WINDOWS))
+    if slicing.keys:
+        parts = parts.unionByName(_heavy_windows(heavy_only(moments, slicing), slicing, count, width))
+    return parts.groupBy(KEY, "start").agg(F.sum("gained").alias("n"), F.min("alert").alias("alert"))
+
+
+def source_of(name: str) -> Column:
+    """The source from its key."""
+    return F.nullif(F.col(KEY), F.lit("\u0000")).alias(name)
 
 
 def threshold_windows(messages: DataFrame, matches: Column, source: str, count: int,
                       window_seconds: int, ts: str = "ts",
-                      target_rows: int = TARGET_ROWS) -> DataFrame:
+                      target_rows: float = TARGET_ROWS) -> DataFrame:
     """One alert per source and window that reaches ``count`` events, at that event's time."""
-    width = window_seconds * 1_000_000
-    keyed = keyed_rows(messages.where(matches), [source], micros(ts)).select(KEY, AT)
-    slicing = _spaced(find_slicing(keyed, target_rows), width)
-    moments = slice_rows(keyed.groupBy(KEY, AT).agg(F.count("*").alias("n")), slicing)
-    if slicing.cuts:
-        reports = (heavy_only(moments, slicing).groupBy(KEY, SLICE).applyInPandas(
-            _report(width), f"{KEY} string, {SLICE} int, upto bigint, window_end bigint, "
-                            "held bigint, last bigint, total bigint"))
-        inherited = (reports.repartition(KEY).sortWithinPartitions(KEY, SLICE, "upto")
-                     .mapInPandas(_walk, f"{KEY} string, {SLICE} int, inherited bigint, held bigint"))
-        moments = moments.join(inherited, [KEY, SLICE], "left")
-    else:
-        moments = moments.withColumns({"inherited": F.lit(None).cast("bigint"),
-                                       "held": F.lit(None).cast("bigint")})
-    placed = moments.withColumns({"inherited": F.coalesce("inherited", F.lit(_LONG_AGO)),
-                                  "held": F.coalesce("held", F.lit(0))})
-    counted = (_long_enough(placed.repartition(KEY, SLICE), slicing, count, width)
-               .sortWithinPartitions(KEY, SLICE, AT).mapInPandas(
-                   _assign(width), "source string, start bigint, moment bigint, so_far bigint"))
-    alerts = counted.groupBy("source", "start").agg(
-        F.max("so_far").alias("n_messages"),
-        F.min(F.when(F.col("so_far") >= count, F.col("moment"))).alias("alert_at"))
-    return alerts.where(F.col("n_messages") >= count).select(
-        F.nullif("source", F.lit("\u0000")).alias(source),
-        F.timestamp_micros("start").alias("window_start"),
-        F.timestamp_micros("alert_at").alias("alert_at"), "n_messages")
+    timed = keyed_rows(messages.where(matches), [source], micros(ts)).select(KEY, AT)
+    found = anchored_windows(timed, count, window_seconds * 1_000_000, target_rows, all_windows=False)
+    return found.where(F.col("n") >= count).select(
+        source_of(source), F.timestamp_micros("start").alias("window_start"),
+        F.timestamp_micros("alert").alias("alert_at"), F.col("n").alias("n_messages"))

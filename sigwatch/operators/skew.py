@@ -6,8 +6,10 @@ keys are cut along the order axis into slices of about ``TARGET_ROWS`` rows. Win
 functions run within (key, slice); what earlier slices contribute is carried in from a
 table with one row per (heavy key, slice). Results are exactly those of the plain window.
 
-Heavy keys come from exact counts, cut points from quantiles of the order axis. Below
-``TARGET_ROWS`` rows in total nothing can be heavy and no extra pass is made.
+Heavy keys come from exact counts, cut points from quantiles of each key's own rows. There are
+never more than ``MOST_SLICES`` heavy keys or slices' worth of rows, whatever the table: beyond
+that slices grow. Below ``TARGET_ROWS`` rows in total nothing can be heavy and no extra pass is
+made. A target below 1 is a share of the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TARGET_ROWS = 4_000_000
+MOST_SLICES = 4096
 
 KEY, AT, SLICE = "_key", "_at", "_slice"
 
@@ -37,24 +40,35 @@ def key_text(*columns: str) -> Column:
     return F.concat_ws("\u0001", *parts) if parts else F.lit("")
 
 
-def find_slicing(keyed: DataFrame, target_rows: int = TARGET_ROWS) -> Slicing:
+def slice_target(target_rows: float, total: int) -> int:
+    """Rows of a slice: a number, or a share of all rows, and enough of them to bound the slices."""
+    wanted = ceil(target_rows * total) if target_rows < 1 else target_rows
+    return max(1, int(wanted), ceil(total / MOST_SLICES))
+
+
+def find_slicing(keyed: DataFrame, target_rows: float = TARGET_ROWS) -> Slicing:
     """Heavy keys of a frame with KEY and AT columns, and where to cut them."""
-    if keyed.count() <= target_rows:  # then no key can exceed it
+    total = keyed.count()
+    target = slice_target(target_rows, total)
+    if total <= target:  # then no key can exceed it
         return Slicing([], [])
-    # Counts combine before the shuffle; at most rows / target_rows keys are heavy.
-    found = (keyed.groupBy(KEY).agg(F.count("*").alias("_rows"))
-             .where(F.col("_rows") > target_rows).collect())
+    # Counts combine before the shuffle; at most MOST_SLICES keys are heavy.
+    found = {r[KEY]: r["_rows"] for r in keyed.groupBy(KEY).agg(F.count("*").alias("_rows"))
+             .where(F.col("_rows") > target).collect()}
     if not found:
         return Slicing([], [])
-    heavy = [r[KEY] for r in found]
-    axis = keyed.where(F.col(KEY).isin(heavy)).select(F.col(AT).cast("double").alias(AT))
-    slices = ceil(sum(r["_rows"] for r in found) / target_rows)
-    wanted = [i / slices for i in range(1, slices)]
-    cuts = axis.approxQuantile(AT, wanted, 0.25 / slices)
-    return Slicing(sorted(heavy), sorted(set(cuts)))
-
-
-def light_slicing(source: DataFrame, per_row: int, target_rows: int) -> Slicing | None:
+    # Sketches of each heavy key's own axis; a key takes every so many of the finest quantiles.
+    most = ceil(max(found.values()) / target)
+    ranks = F.array(*[F.lit(i / most) for i in range(1, most)])
+    wanted = F.ceil(F.count("*") / F.lit(target)).cast("int").alias("_wanted")
+    sketches = keyed.where(F.col(KEY).isin(list(found))).groupBy(KEY).agg(
+        wanted, F.percentile_approx(F.col(AT).cast("double"), ranks, 4 * most).alias("_finest"))
+    picked = sketches.select(F.explode(F.expr(
+        f"transform(sequence(1, _wanted - 1), i -> element_at(_finest, CAST(i * {most} / _wanted AS INT)))")))
+    return Slicing(sorted(found), sorted({r[0] for r in picked.collect() if r[0] is not None}))
+
+
+def light_slicing(source: DataFrame, per_row: int, target_rows: float) -> Slicing | None:
     """No slicing when the source is small enough that rows derived from it must be too.
 
     Counting the source is cheaper than counting what is derived; None means undecided.
@@ -110,7 +124,7 @@ class Sliced(NamedTuple):
         return self.rows.drop(KEY, AT, SLICE)
 
 
-def sliced_by(df: DataFrame, keys: list[str], at: Column, target_rows: int = TARGET_ROWS,
+def sliced_by(df: DataFrame, keys: list[str], at: Column, target_rows: float = TARGET_ROWS,
               slicing: Slicing | None = None) -> Sliced:
     """Key the rows and cut heavy keys; a known ``slicing`` saves the pass that finds them."""
     keyed = keyed_rows(df, keys, at)
@@ -171,23 +185,23 @@ def add_previous_row(sliced: Sliced, tie: str, fields: list[str], name: str,
 
 
 def running_count(df: DataFrame, keys: list[str], at: Column, tie: str, name: str,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
+                  target_rows: float = TARGET_ROWS) -> DataFrame:
     return add_running_count(sliced_by(df, keys, at, target_rows), tie, name).done()
 
 
 def running_sums(df: DataFrame, keys: list[str], at: Column, values: Mapping[str, Column],
-                 target_rows: int = TARGET_ROWS, slicing: Slicing | None = None) -> DataFrame:
+                 target_rows: float = TARGET_ROWS, slicing: Slicing | None = None) -> DataFrame:
     return add_running_sums(sliced_by(df, keys, at, target_rows, slicing), values).done()
 
 
 def previous_row(df: DataFrame, keys: list[str], at: Column, tie: str, fields: list[str],
                  name: str, only: Column | None = None,
-                 target_rows: int = TARGET_ROWS) -> DataFrame:
+                 target_rows: float = TARGET_ROWS) -> DataFrame:
     return add_previous_row(sliced_by(df, keys, at, target_rows), tie, fields, name, only).done()
 
 
 def sliding_count(df: DataFrame, keys: list[str], at: Column, width: int, name: str,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
+                  target_rows: float = TARGET_ROWS) -> DataFrame:
     """Rows of the key with ``at`` in [this row's at - width, this row's at].
 
     Each row enters at ``at`` and leaves just after ``at + width``; a running sum over
@@ -207,7 +221,7 @@ def sliding_count(df: DataFrame, keys: list[str], at: Column, width: int, name:
 
 
 def sliding_distinct(df: DataFrame, keys: list[str], item: str, at: Column, width: int,
-                     name: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+                     name: str, target_rows: float = TARGET_ROWS) -> DataFrame:
     """Distinct ``item`` values of the key with ``at`` in [this row's at - width, this row's at].
 
     An item counts while its own sliding count is above zero, so only its changes between

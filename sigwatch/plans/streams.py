@@ -11,24 +11,26 @@ from pyspark.sql import types as T
 from sigwatch.operators.sip import is_invite
 from sigwatch.plans import sip as sip_plans  # noqa: F401  its SQL is shared
 from sigwatch.plans.registry import CHECKS, query
+from sigwatch.plans.sliced import SHARE
 from sigwatch.plans.views import SIG, ids_lines, sig, sip_messages, table
 from sigwatch.session import shared_dir
 from sigwatch.sources.tables import read_csv, write_csv
 from sigwatch.streaming import counters, jobs
 
 
-def _run_to_table(stream, spark):
-    """All that is there goes through; the written rows are read back."""
-    out, marks = shared_dir(spark, "stream"), shared_dir(spark, "marks")
-    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def _as_stream(rows, spark):
-    inbox = shared_dir(spark, "inbox")
-    rows.write.parquet(inbox)
-    return spark.readStream.schema(rows.schema).parquet(inbox)
+def _in_portions(rows, start, portions=3):
+    """Write rows in order of time, one portion after the other, and let a stream that ``start``
+    starts take in each: it resumes where it stopped."""
+    spark = rows.sparkSession
+    inbox, root = shared_dir(spark, "inbox"), shared_dir(spark, "stream")
+    at = F.unix_micros("ts")
+    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / portions for i in range(1, portions)], 0.01)
+    edges = [float("-inf"), *cuts, float("inf")]
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{inbox}/*")
+    for n, (a, b) in enumerate(zip(edges, edges[1:])):
+        rows.where((at >= a) & (at < b)).write.parquet(f"{inbox}/{n}")
+        start(stream, root).awaitTermination()
+    return root
 
 
 @query("csv_by_header", """SELECT event_id, CAST(user_id AS VARCHAR) AS c_imsi, value,
@@ -47,9 +49,13 @@ def csv_by_header(spark, sf_dir):
 @query("stream_running_count", f"""WITH {SIG} SELECT event_id, c_imsi, row_number() OVER
  (PARTITION BY c_imsi ORDER BY ts, event_id) AS f_msg_count_per_imsi FROM sig""")
 def stream_running_count(spark, sf_dir):
+    """The tables' largest keys are cut in every batch."""
     rows = sig(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "c_imsi")
-    counted = counters.running_counts(_as_stream(rows, spark))
-    return _run_to_table(counted, spark).select("event_id", "c_imsi", "f_msg_count_per_imsi")
+    root = _in_portions(rows, lambda stream, root: counters.running_counts(
+        stream, root, target_rows=SHARE, idle_seconds=10 ** 9))
+    counted = jobs.read_table(spark, f"{root}/counted", T.StructType(
+        [*rows.schema.fields, T.StructField("f_msg_count_per_imsi", T.LongType())]))
+    return counted.select("event_id", "c_imsi", "f_msg_count_per_imsi")
 
 
 _EXACT = CHECKS["threshold_window_exact"].replace(", n_messages\nFROM placed", "\nFROM placed")
@@ -58,9 +64,10 @@ _EXACT = CHECKS["threshold_window_exact"].replace(", n_messages\nFROM placed", "
 @query("stream_threshold_alerts", _EXACT)
 def stream_threshold_alerts(spark, sf_dir):
     rows = sip_messages(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    alerts = counters.threshold_alerts(_as_stream(rows, spark), is_invite(F.col("msg")), "src", 3, 21_600)
-    return _run_to_table(alerts, spark).select("src", *[F.col(c).cast("timestamp_ntz").alias(c)
-                                                        for c in ("window_start", "alert_at")])
+    root = _in_portions(rows, lambda stream, root: counters.threshold_alerts(
+        stream, root, is_invite(F.col("msg")), "src", 3, 21_600, target_rows=SHARE))
+    alerts = jobs.read_table(spark, f"{root}/alerts", "src string, window_start timestamp, alert_at timestamp")
+    return alerts.select("src", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "alert_at")])
 
 
 def _sip_job(spark, sf_dir):

@@ -13,6 +13,7 @@ from sigwatch.operators.training import make_classifier, train
 from sigwatch.schemas import feature_table
 from sigwatch.sources.topics import read_topic, write_topic
 from sigwatch.streaming import counters, jobs
+from sigwatch.streaming.keyed import KeyedTable
 
 MESSAGES = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
                          T.StructField("c_imsi", T.StringType())])
@@ -190,38 +191,94 @@ def test_rate_alerts(spark, messages):
     assert closed and closed <= found <= {tuple(r) for r in expected.collect()}
 
 
-def test_running_counts_equal_batch(spark, messages):
+def batches(spark, handle, rows, cuts):
+    """Hand rows to a handler as micro-batches, each twice as after a failure."""
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+        for _ in range(2):
+            handle(spark.createDataFrame(rows[a:b], MESSAGES), n)
+
+
+@pytest.mark.parametrize("target", [20, 10 ** 6])
+def test_running_counts_equal_batch(spark, messages, target):
     stream, batch, tmp_path = messages
-    got = run(counters.running_counts(stream), "running", tmp_path)
-    expected = message_count(batch)
+    root = str(tmp_path / f"counts{target}")
+    counters.running_counts(stream, root, target_rows=target).awaitTermination()
+    got = spark.read.parquet(f"{root}/counted")
+    assert got.select("batch_id").distinct().count() == 4
     assert {(r["event_id"], r["f_msg_count_per_imsi"]) for r in got.collect()} == {
-        (r["event_id"], r["f_msg_count_per_imsi"]) for r in expected.collect()}
+        (r["event_id"], r["f_msg_count_per_imsi"]) for r in message_count(batch).collect()}
 
 
-def test_threshold_alerts_equal_batch(spark, messages):
+@pytest.mark.parametrize("target", [15, 10 ** 6])
+def test_threshold_alerts_equal_batch(spark, messages, target):
     stream, batch, tmp_path = messages
-    got = run(counters.threshold_alerts(stream, F.lit(True), "c_imsi", 3, 12), "anchored", tmp_path)
+    root = str(tmp_path / f"alerts{target}")
+    counters.threshold_alerts(stream, root, F.lit(True), "c_imsi", 3, 12, target_rows=target).awaitTermination()
     expected = threshold_windows(batch, F.lit(True), "c_imsi", 3, 12).drop("n_messages")
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in expected.collect()} != set()
-
-
-@pytest.mark.parametrize("size", [7, 10_000])
-def test_arrow_batches_have_no_say(spark, tmp_path, size):
-    rows = [{"event_id": i, "ts": f"2024-01-01T00:00:{i * 7 % 60:02d}Z", "c_imsi": "a"} for i in range(60)]
-    put(tmp_path / "m", "0.json", rows, 0)
-    batch = spark.read.schema(MESSAGES).json(str(tmp_path / "m"))
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-    try:
-        stream = spark.readStream.schema(MESSAGES).json(str(tmp_path / "m"))
-        counts = run(counters.running_counts(stream), f"counts{size}", tmp_path).collect()
-        alerts = run(counters.threshold_alerts(stream, F.lit(True), "c_imsi", 3, 5), f"alerts{size}", tmp_path).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert {(r["event_id"], r["f_msg_count_per_imsi"]) for r in counts} == {
-        (r["event_id"], r["f_msg_count_per_imsi"]) for r in message_count(batch).collect()}
-    expected = threshold_windows(batch, F.lit(True), "c_imsi", 3, 5).drop("n_messages").collect()
-    assert {tuple(r) for r in alerts} == {tuple(r) for r in expected} and len(alerts) == 12
+    found = spark.read.parquet(f"{root}/alerts").select(expected.columns)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in expected.collect()) != []
+
+
+def test_counts_with_a_hot_key_repeated_batches_and_pauses(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta, timezone
+    draw, at = random.Random(4), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for i in range(900):
+        at += timedelta(seconds=draw.choice([0, 1, 1, 3]) if i % 300 else 10_000 * (i > 0))
+        rows.append((i, at, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{draw.randrange(40)}"))
+    for cuts in ([300, 600], [300, 310, 320, 600]):
+        # The pause before row 300 makes all keys start again, the one before row 600 too.
+        root = str(tmp_path / str(len(cuts)))
+        batches(spark, counters.count_handler(root, idle_seconds=5_000, target_rows=50), rows, cuts)
+        found = {r.event_id: r.f_msg_count_per_imsi for r in spark.read.parquet(f"{root}/counted").collect()}
+        expected, n = {}, {}
+        for i, _, key in rows:
+            if i % 300 == 0:
+                n = {}
+            n[key] = n.get(key, 0) + 1
+            expected[i] = n[key]
+        assert found == expected
+
+
+def test_windows_with_a_hot_source_over_batches(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta, timezone
+    draw, at = random.Random(6), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for i in range(600):
+        at += timedelta(seconds=draw.choice([0, 0, 1, 2, 9]))
+        rows.append((i, at, "hot" if i % 2 else f"k{draw.randrange(5)}"))
+    expected = {(r["c_imsi"], r["window_start"], r["alert_at"]) for r in threshold_windows(
+        spark.createDataFrame(rows, MESSAGES), F.lit(True), "c_imsi", 4, 20).collect()}
+    for target in (25, 10 ** 6):
+        root = str(tmp_path / str(target))
+        batches(spark, counters.threshold_handler(root, F.lit(True), "c_imsi", 4, 20, target_rows=target), rows, [7, 8, 300, 500])
+        found = [(r["c_imsi"], r["window_start"], r["alert_at"]) for r in spark.read.parquet(f"{root}/alerts").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_keyed_table_folds_versions_and_reads_touched_buckets(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "key string, n long", "key", buckets=8, every=3)
+    assert table.read(5).count() == 0
+    latest = {}
+    for batch in range(8):
+        rows = [(f"k{(batch * 5 + i) % 13}", batch * 100 + i) for i in range(5)]
+        latest |= dict(rows)
+        for _ in range(2):
+            table.write(spark.createDataFrame(rows, "key string, n long"), batch)
+        assert {r.key: r.n for r in table.read(batch + 1).collect()} == latest
+    assert [v for v in table.versions() if v[1]] == [(2, True), (5, True)]
+    assert min(table.versions()) == (2, True)
+    # A batch reads what earlier ones left, and of it only its buckets.
+    one = spark.createDataFrame([("k1",)], "key string")
+    some = table.read(8, one)
+    assert {r.key: r.n for r in some.collect()}["k1"] == latest["k1"] and some.count() < len(latest)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # Folding forgets what does not meet the condition.
+    table.write(spark.createDataFrame([("new", 900)], "key string, n long"), 8, F.col("n") >= 700)
+    assert {r.key for r in table.read(9).collect()} == {k for k, n in latest.items() if n >= 700} | {"new"}
 
 
 def test_streams_share_a_root(spark, tmp_path):
