@@ -2,22 +2,28 @@
 
 The first pass reads every whole text and stores the credentials in its base spans; it also
 counts which character follows which in all texts. For each kind a bounded sample of different
-credentials, the first in hash order, becomes a prefix tree whose states merge when Hoeffding
-bounds find their endings and transitions compatible. The second pass takes as candidates all
-runs of the credential alphabet, less what base spans cover of them, that have the 6 characters
-any credential has. A candidate's score is its log-likelihood per character under the best
-automaton, less that under the corpus's letter pairs. What reaches the level that the sampled
-credentials themselves reach is added as a span of kind ``format``. Dots may belong to a
-credential or end a sentence: a run is scored with and without the dots at its ends, and where
-neither fits, the parts between its dots are.
-
-Offsets count code points, ends are exclusive. Null text counts as empty. Repeated rows repeat.
-Without credentials nothing is added. No rows give no rows.
+credentials, the first in hash order, is read as a prefix tree whose states merge when they are
+statistically compatible: the words that pass two states must agree, within Hoeffding bounds, on
+how often each symbol and each class of symbols stands at every place up to ``HORIZON`` ahead, and
+on how many words have ended by then. So what lies at equal distance from the end merges, while
+length and fixed places survive; longer words turn into loops, and so do all words where they are
+too few (about ten) to tell states apart. The second pass takes as candidates
+all runs of the credential alphabet, less what base spans cover of them, that have the 6
+characters any credential has. A candidate's score is its log-likelihood per character under the
+best automaton, less that under the corpus's letter pairs. What reaches the level that nearly all
+(``BELOW`` aside) sampled credentials reach under an automaton that has not seen them, ``LEAST`` at
+least, is added as a span of kind ``format``. Dots may belong to a credential or end a sentence: a
+run is scored with and without the dots at its ends, and where neither fits, the parts between its
+dots are.
+
+A kind with a single credential has only its own score as level. Without credentials nothing is
+added. Offsets count code points, ends are exclusive. Null text counts as empty, very long texts
+and runs are scanned whole. Repeated rows repeat. ``redact`` passes other columns through under
+any name. No rows give no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import math
 import re
@@ -33,8 +39,9 @@ from sigwatch.llm.common import stored, struct, texts_of, unused
 
 KINDS = ("assign", "access", "hex", "format")
 #: Different credentials per kind that an automaton is inferred from.
-SAMPLE = 400
-ALPHA, STRAY = 0.05, 0.01
+SAMPLE = 1000
+#: Level of the bounds, places ahead that they compare, and the share of probability for the unseen.
+ALPHA, HORIZON, STRAY = 0.01, 64, 0.01
 #: Characters of the shortest credential of the base patterns.
 CREDENTIAL = 6
 #: Share of sampled credentials that may score below the level, and the least level.
@@ -95,83 +102,85 @@ class Automaton(NamedTuple):
         return total + self.ends[state]
 
 
-def infer(words: list[bytes], alpha: float = ALPHA) -> Automaton:
+_CODE = np.full(256, -1)
+_CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
+_END = len(ALPHABET)
+#: Symbols, and their classes (upper case, lower case, digits, marks), as columns of a comparison.
+_COMPARED = np.hstack([np.eye(_END + 1, dtype=np.float32), np.stack(
+    [[float(a <= c < b) for c in range(_END + 1)] for a, b in ((0, 26), (26, 52), (52, 62), (62, _END))], axis=1)]).astype(np.float32)
+
+
+def infer(words: list[bytes], alpha: float = ALPHA, horizon: int = HORIZON) -> Automaton:
     """Merge the compatible states of the words' prefix tree.
 
-    States are settled outwards from the root. A new one joins the settled state it is compatible
-    with, tried from the latest on, so that rare deep states join what they continue.
+    A state is known by the words that pass it, each at some place. States are settled outwards
+    from the root, those that most words reach first. A new one joins the compatible settled state
+    under which the rest of its words is likeliest, and its words go on from there; with no
+    compatible one it is settled itself.
     """
-    children, visits, ends = [{}], [0], [0]
-    for word in words:
-        state = 0
-        visits[0] += 1
-        for symbol in word:
-            if symbol not in children[state]:
-                children[state][symbol] = len(children)
-                children.append({})
-                visits.append(0)
-                ends.append(0)
-            state = children[state][symbol]
-            visits[state] += 1
-        ends[state] += 1
+    longest = max(map(len, words), default=0)
+    codes = np.full((len(words), longest + horizon + 1), _END)
+    for row, word in zip(codes, words):
+        row[:len(word)] = _CODE[list(word)]
+    ahead = np.arange(horizon + 1)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
+    moves, flow, seen, likely = [], [], [], []
+    waiting: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def differs(a: int, b: int, x: int, y: int) -> bool:
-        return abs(x / visits[a] - y / visits[b]) > bound * (visits[a] ** -0.5 + visits[b] ** -0.5)
+    def counts(rows, at):
+        found = np.zeros((horizon + 1, _END + 1), np.float32)
+        np.add.at(found, (ahead[None, :], codes[rows[:, None], at[:, None] + ahead]), 1)
+        return found
 
-    def compatible(a: int, b: int) -> bool:
-        stack = [(a, b)]
+    def enter(state, rows, at):
+        stack = [(state, rows, at)]
         while stack:
-            a, b = stack.pop()
-            if differs(a, b, ends[a], ends[b]):
-                return False
-            for symbol in children[a].keys() | children[b].keys():
-                x, y = children[a].get(symbol), children[b].get(symbol)
-                if differs(a, b, 0 if x is None else flow[a][symbol], 0 if y is None else flow[b][symbol]):
-                    return False
-                if x is not None and y is not None and x != y and y not in settled and len(stack) < 4096:
-                    stack.append((x, y))
-        return True
-
-    # Words that take each transition; in a tree, the visits of its target.
-    flow = [{symbol: visits[to] for symbol, to in moves.items()} for moves in children]
-
-    def fold(into: int, other: int) -> None:
-        """Add the tree below ``other`` to ``into``."""
-        stack = [(into, other)]
-        while stack:
-            a, b = stack.pop()
-            visits[a] += visits[b]
-            ends[a] += ends[b]
-            for symbol, below in children[b].items():
-                flow[a][symbol] = flow[a].get(symbol, 0) + flow[b][symbol]
-                if symbol in children[a]:
-                    stack.append((children[a][symbol], below))
+            state, rows, at = stack.pop()
+            if state == len(moves):
+                moves.append({})
+                flow.append(np.zeros(_END + 1))
+                seen.append(np.zeros((horizon + 1, _END + 1), np.float32))
+                likely.append(None)
+            seen[state] += counts(rows, at)
+            likely[state] = None
+            first = codes[rows, at]
+            flow[state] += np.bincount(first, minlength=_END + 1)
+            for symbol in np.unique(first[first != _END]).tolist():
+                chosen = first == symbol
+                if symbol in moves[state]:
+                    stack.append((moves[state][symbol], rows[chosen], at[chosen] + 1))
                 else:
-                    children[a][symbol] = below
-
-    settled, order = {0}, [0]
-    while True:
-        fringe = [(a, symbol, to) for a in order for symbol, to in children[a].items() if to not in settled]
-        if not fringe:
-            break
-        a, symbol, state = max(fringe, key=lambda f: visits[f[2]])
-        match = next((r for r in reversed(order) if compatible(r, state)), None)
-        if match is None:
-            settled.add(state)
-            order.append(state)
-        else:
-            children[a][symbol] = match
-            fold(match, state)
-    number = {state: i for i, state in enumerate(order)}
-    size = len(ALPHABET) + 1
-
-    def log(count: int, state: int) -> float:
-        return math.log((1 - STRAY) * count / max(1, visits[state]) + STRAY / size)
-
-    return Automaton([{s: number[to] for s, to in children[q].items()} for q in order],
-                     [{s: log(n, q) for s, n in flow[q].items()} for q in order],
-                     [log(ends[q], q) for q in order])
+                    waiting.setdefault((state, symbol), []).append((rows[chosen], at[chosen] + 1))
+
+    def home(rows, at):
+        """The settled state that these words join, or a new one."""
+        own = counts(rows, at)
+        shares, best, place = own @ _COMPARED / len(rows), -math.inf, len(moves)
+        for state in range(len(moves)):
+            visits = flow[state].sum()
+            near = np.abs(shares - seen[state] @ _COMPARED / visits) <= bound * (len(rows) ** -0.5 + visits ** -0.5)
+            if near.all():
+                if likely[state] is None:
+                    likely[state] = np.log(seen[state] / visits + STRAY / (_END + 1))
+                fit = float((own * likely[state]).sum())
+                if fit > best:
+                    best, place = fit, state
+        return place
+
+    enter(0, np.arange(len(words)), np.zeros(len(words), np.int64))
+    while waiting:
+        key = max(waiting, key=lambda k: sum(len(rows) for rows, _ in waiting[k]))
+        rows, at = (np.concatenate(found) for found in zip(*waiting.pop(key)))
+        state, symbol = key
+        moves[state][symbol] = target = home(rows, at)
+        enter(target, rows, at)
+
+    def log(state, symbol):
+        return math.log((1 - STRAY) * flow[state][symbol] / max(1, flow[state].sum()) + STRAY / (_END + 1))
+
+    return Automaton([{ALPHABET[s]: to for s, to in found.items()} for found in moves],
+                     [{ALPHABET[s]: log(q, s) for s in np.flatnonzero(flow[q][:_END]).tolist()} for q in range(len(moves))],
+                     [log(q, _END) for q in range(len(moves))])
 
 
 class Formats(NamedTuple):
@@ -290,10 +299,10 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> Formats:
     for kind in range(3):
         words = [r.value.encode() for r in found.where(F.col("kind") == kind)
                  .orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-        if len(words) < 8:
-            continue  # too few to tell a format
+        if not words:
+            continue
         # The level comes from credentials that the automaton scoring them has not seen.
-        halves = [Formats([infer(words[i::2])], [0.0], pairs) for i in (0, 1)]
+        halves = [Formats([infer(words[i::2] or words)], [0.0], pairs) for i in (0, 1)]
         unseen = [halves[1 - n % 2].score(word) for n, word in enumerate(words)]
         automata.append(infer(words))
         levels.append(max(LEAST, float(np.quantile(unseen, BELOW))))
@@ -370,8 +379,3 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
     return spans.mapInArrow(run, schema)
 
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    """The digest of base spans, for callers outside Spark."""
-    ordered = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in ordered).encode()).hexdigest()
