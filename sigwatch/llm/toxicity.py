@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
-Each class has letter n-gram counts of orders 4 to 6 inside words, from labelled documents.
-Below them both back off to one shared model of orders 1 to 3. Its continuation counts (how many
-different letters precede an n-gram) and the totals and kinds of their contexts come from all
-n-grams of all documents of the corpus, labelled or not. A word's log-likelihood ratio is thus
+Each class has a model of letters inside words, from labelled documents: n-gram counts at order 6
+and continuation counts (how many different letters precede an n-gram) at orders 5 and 4. Below
+them both back off to one shared model of orders 1 to 3. Its continuation counts and the totals
+and kinds of their contexts come from all n-grams of all documents of the corpus, labelled or not. A word's log-likelihood ratio is thus
 near nothing where the classes agree, and rare or unseen words are judged by the parts they share
 with known ones.
 
@@ -193,6 +193,7 @@ def toxic_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 _CLASS_GRAM = struct(("order", T.IntegerType()), ("gram", T.LongType()), ("context", T.LongType()),
+                     ("inner", T.LongType()),
                      *[(f"n{i}", T.LongType()) for i in range(4)])
 _PRECEDED = struct(("context", T.LongType()), ("gram", T.LongType()), ("longer", T.LongType()))
 
@@ -207,7 +208,8 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def _class_grams(sample: DataFrame) -> DataFrame:
     """Counts of n-grams by fold and class (n0..n3: fold 0 ordinary, toxic, fold 2 the same);
-    orders of the shared model come without counts that matter."""
+    orders of the shared model come without counts that matter. Of an n-gram of higher order,
+    ``inner`` is what follows its first letter."""
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(_CLASS_GRAM)
 
@@ -231,10 +233,11 @@ def _class_grams(sample: DataFrame) -> DataFrame:
                         sums = np.stack([np.bincount(place, w) for w in weights.T]).astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(keys), n, np.int32)), _signed(keys), _signed(context[first]),
+                             _signed(found[n - 2][0][first] if n > SHARED + 1 else np.zeros(len(keys), np.uint64)),
                              *map(pa.array, sums)], schema=arrow)
 
     return (sample.select("text", "toxic", "fold").mapInArrow(run, _CLASS_GRAM)
-            .groupBy("order", "gram", "context").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
+            .groupBy("order", "gram", "context", "inner").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
 
 
 def _preceded(docs: DataFrame) -> DataFrame:
@@ -339,7 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     if not totals.get(0) or not totals.get(1) or not len(table):
         return Trained(None, np.zeros(4), prior)
     order = table.column("order").to_numpy()
-    gram, before = (_unsigned(table.column(c).to_numpy()) for c in ("gram", "context"))
+    gram, before, inner = (_unsigned(table.column(c).to_numpy()) for c in ("gram", "context", "inner"))
     counts = np.stack([table.column(f"n{i}").to_numpy() for i in range(4)], axis=1).astype(float)
     by_order = [np.flatnonzero(order == n) for n in range(1, ORDER + 1)]
 
@@ -349,10 +352,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     at = [lookup(gram[rows]) for rows in by_order[:SHARED]]
     shared = [Order.of(gram[rows], before[rows], n[a], (total[a], kinds[a])) for rows, a in zip(by_order, at)]
 
+    # For orders above the shared ones, where the n-grams of the next lie among them.
+    places = {n: Lookup(gram[by_order[n - 1]])(inner[by_order[n]]) for n in range(SHARED + 1, ORDER)}
+
     def model(columns):
-        own = [counts[rows][:, columns].reshape(len(rows), -1, 2).sum(axis=1) for rows in by_order]
-        return Model([*shared, *(Order.of(gram[rows][o.any(axis=1)], before[rows][o.any(axis=1)], o[o.any(axis=1)])
-                                 for rows, o in zip(by_order[SHARED:], own[SHARED:]))])
+        orders = list(shared)
+        for n in range(SHARED + 1, ORDER + 1):
+            rows = by_order[n - 1]
+            longer = counts[by_order[min(n, ORDER - 1)]][:, columns].reshape(-1, len(columns) // 2, 2).sum(axis=1)
+            if n < ORDER:
+                own = np.stack([np.bincount(places[n], seen, len(rows)) for seen in (longer > 0).T], axis=1)
+            else:
+                own = longer
+            seen = own.any(axis=1)
+            orders.append(Order.of(gram[rows][seen], before[rows][seen], own[seen]))
+        return Model(orders)
 
     schema = struct(("toxic", T.IntegerType()), *[(f"x{i}", T.DoubleType()) for i in range(3)])
     arrow, found = to_arrow_schema(schema), []

@@ -64,56 +64,41 @@ def plain_probability(counts_by_order, preceded, word, kind):
     return total
 
 
-def test_model_equals_plain_kneser_ney(spark):
-    rows = [(i, t, y) for i, (t, y) in enumerate([("you idiot idiots", 1), ("a nice idea", 0), ("idle moron", 1), ("more news", 0),
-                                                   ("the moron news", 1), ("a more idle idea", 0)] * 8)]
-    frame = spark.createDataFrame(rows + [(1000, "unlabelled zebras", None)], "doc_id long, text string, toxic int")
-    trained = toxicity.train(frame.drop("toxic"), frame.select("doc_id", "toxic"))
-    learnt = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
-    counts = [defaultdict(Counter), defaultdict(Counter)]
-    for t, y in learnt:
-        for word in t.split():
-            padded = "\0" * 5 + word + "\1"
-            for at in range(5, len(padded)):
-                for n in range(1, 7):
-                    counts[y][n][padded[at - n + 1:at + 1]] += 1
-    kinds = defaultdict(set)
-    for t in [r[1] for r in rows] + ["unlabelled zebras"]:
-        for word in t.split():
-            padded = "\0" * 5 + word + "\1"
-            for at in range(5, len(padded)):
-                for n in range(1, toxicity.SHARED + 1):
-                    kinds[n, padded[at - n + 1:at + 1]].add(padded[at - n:at + 1])
-    known = counts[0], counts[1]
+def plain_counts(rows):
+    """Per class: counts at the highest order, different letters before an n-gram at the others;
+    and the shared ones, from all rows."""
+    kinds, counts = defaultdict(set), [defaultdict(Counter), defaultdict(Counter)]
+    for i, text, y in rows:
+        owners = ["all"] + ([y] if y is not None and zlib.crc32(str(i).encode()) % 3 != 1 else [])
+        for word in text.split():
+            padded = "\0" * toxicity.ORDER + word + "\1"
+            for at in range(toxicity.ORDER, len(padded)):
+                for n in range(1, toxicity.ORDER + 1):
+                    gram = padded[at - n + 1:at + 1]
+                    for owner in owners:
+                        kinds[owner, n, gram].add(padded[at - n:at + 1])
+                    if n == toxicity.ORDER and len(owners) > 1:
+                        counts[y][n][gram] += 1
     preceded = defaultdict(Counter)
-    for (n, gram), longer in kinds.items():
-        if gram in known[0][n] or gram in known[1][n]:
+    for (owner, n, gram), longer in kinds.items():
+        if owner == "all":
             preceded[n][gram] = len(longer)
-    words = ["idiot", "idea", "moron", "more", "zebra", "x", "idiotic"]
-    expected = [plain_probability(counts, preceded, w, 1) - plain_probability(counts, preceded, w, 0) for w in words]
-    assert trained.model.ratios(words) == pytest.approx(expected, rel=1e-4, abs=1e-4)
+        elif n < toxicity.ORDER:
+            counts[owner][n][gram] = len(longer)
+    return counts, preceded
 
 
-def test_shared_counts_cover_all_documents(spark):
-    rows = [(i, t, y) for i, (t, y) in enumerate([("you idiot idiots", 1), ("a nice idea", 0), ("idle moron", 1), ("more news", 0),
-                                                   ("the moron news", 1), ("a more idle idea", 0)] * 8)]
-    # N-grams that no labelled text has, in contexts that labelled texts have.
-    others = ["idzx idqq monk mokk", "thz nezz icy", "unlabelled zebras"]
-    frame = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(others)], "doc_id long, text string, toxic int")
+ROWS = [(i, t, y) for i, (t, y) in enumerate([("you idiot idiots", 1), ("a nice idea", 0), ("idle moron", 1), ("more news", 0),
+                                              ("the moron news", 1), ("a more idle idea", 0)] * 8)]
+
+
+# The second corpus has n-grams that no labelled text has, in contexts that labelled texts have.
+@pytest.mark.parametrize("others", [["unlabelled zebras"], ["idzx idqq monk mokk", "thz nezz icy", "unlabelled zebras"]])
+def test_model_equals_plain_kneser_ney(spark, others):
+    rows = ROWS + [(1000 + i, t, None) for i, t in enumerate(others)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     trained = toxicity.train(frame.drop("toxic"), frame.select("doc_id", "toxic"))
-    counts, kinds, preceded = [defaultdict(Counter), defaultdict(Counter)], defaultdict(set), defaultdict(Counter)
-    for i, t, y in [*rows, *((1000, t, None) for t in others)]:
-        for word in t.split():
-            padded = "\0" * 5 + word + "\1"
-            for at in range(5, len(padded)):
-                for n in range(1, 7):
-                    gram = padded[at - n + 1:at + 1]
-                    if n <= toxicity.SHARED:
-                        kinds[n, gram].add(padded[at - n:at + 1])
-                    if y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
-                        counts[y][n][gram] += 1
-    for (n, gram), longer in kinds.items():
-        preceded[n][gram] = len(longer)
+    counts, preceded = plain_counts(rows)
     words = ["idiot", "idea", "moron", "more", "zebra", "x", "idiotic", "monk", "idzx"]
     expected = [plain_probability(counts, preceded, w, 1) - plain_probability(counts, preceded, w, 0) for w in words]
     assert trained.model.ratios(words) == pytest.approx(expected, rel=1e-4, abs=1e-4)
@@ -204,19 +189,90 @@ def test_short_lettered_and_dotted_formats_are_added(spark):
         return f"format:{text[i].index(value)}:{text[i].index(value) + len(value)}"
     assert found[500] == spot(500, bare) and found[503] == ""
     assert found[501] == f"{spot(501, other)},{spot(501, third)}"
-    # A dot is a letter of these credentials.
-    assert found[502] == "format:0:13,hex:13:45"
+    # A dot is a letter of these credentials, but none of them has thirteen characters.
+    assert found[502] == "format:0:12,hex:13:45"
     assert not any(found[600 + i] for i in range(200))
     clean = {r.doc_id: r.text for r in credentials.redact(frame).collect()}
-    assert clean[500] == "words then [SECRET] in the open" and clean[502] == "[SECRET][SECRET]"
+    assert clean[500] == "words then [SECRET] in the open" and clean[502] == "[SECRET].[SECRET]"
+
 
+FORMATS = {"hex": (r"[0-9a-f]{32}", "0123456789abcdef", "%32"), "access": (r"AKIA[A-Z0-9]{16}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA%16"),
+           "dotted": (r"[a-z0-9]{8}\.[a-z0-9]{6}\.[a-z0-9]{10}", "abcdefghijklmnopqrstuvwxyz0123456789", "%8.%6.%10")}
 
-def test_automaton_keeps_a_fixed_start():
+
+def drawn(draw, kind):
+    _, letters, form = FORMATS[kind]
+    return re.sub(r"%(\d+)", lambda m: "".join(draw.choice(letters) for _ in range(int(m[1]))), form).encode()
+
+
+@pytest.mark.parametrize("kind", FORMATS)
+def test_automaton_keeps_length_and_fixed_places(kind):
     draw = random.Random(1)
-    words = [("AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))).encode() for _ in range(300)]
-    automaton = credentials.infer(words)
-    assert 5 <= len(automaton.moves) < 30
-    assert automaton.log_likelihood(words[0]) > automaton.log_likelihood(words[0][::-1]) + 5
+    automaton = credentials.infer([drawn(draw, kind) for _ in range(400)])
+    size = len(drawn(draw, kind))
+    # One state per place at least, and not one per word.
+    assert size < len(automaton.moves) < 3 * size
+    for _ in range(50):
+        word = drawn(draw, kind)
+        for other in (word[:-1], word + word[-1:], word[::-1] if kind != "hex" else word.upper() + b"F", word + word):
+            assert automaton.log_likelihood(other) < automaton.log_likelihood(word) - 2
+
+
+def test_generated_words_follow_the_format():
+    """Words drawn from the inferred automaton itself, without the share kept for the unseen."""
+    draw = random.Random(2)
+    for kind, (pattern, _, _) in FORMATS.items():
+        automaton, good = credentials.infer([drawn(draw, kind) for _ in range(600)]), 0
+        for _ in range(200):
+            state, word = 0, b""
+            while len(word) < 100:
+                symbols = list(automaton.symbols[state].items())
+                pick = draw.choices(range(len(symbols) + 1), [np.exp(p) for _, p in symbols] + [max(0, np.exp(automaton.ends[state]) - 0.01)])[0]
+                if pick == len(symbols):
+                    break
+                word += bytes([symbols[pick][0]])
+                state = automaton.moves[state][symbols[pick][0]]
+            good += bool(re.fullmatch(pattern.encode(), word))
+        assert good > 180, kind
+
+
+def test_long_and_few_words():
+    loop = credentials.infer([b"ab" * n for n in range(500, 3000, 100)])
+    assert len(loop.moves) < 300 and loop.log_likelihood(b"ab" * 500) > loop.log_likelihood(b"ba" * 500)
+    assert len(credentials.infer([b"secret1"]).moves) == 1 and len(credentials.infer([]).moves) == 1
+
+
+def test_few_credentials_still_give_a_format(spark):
+    draw = random.Random(7)
+    plain = " ".join(draw.choice(["plain", "prose", "about", "something", "ordinary", "sentence", "words"]) for _ in range(3000))
+    for n in (1, 3, 7):
+        keys = ["tok-" + drawn(draw, "hex").decode()[:20] for _ in range(n)]
+        bare = keys[0] if n == 1 else "tok-" + drawn(draw, "hex").decode()[:20]
+        rows = [(i, f"password={key} {plain}") for i, key in enumerate(keys)] + [(100, f"see {bare} there"), (101, plain)]
+        found = {r.doc_id: r.spans for r in credentials.find_secrets(docs(spark, rows)).collect()}
+        assert found[100] == f"format:4:{4 + len(bare)}" and found[101] == ""
+
+
+def test_planted_keys_among_given_texts(spark, corpus):
+    """Bare keys of a format that only labelled credentials show; texts without stay untouched."""
+    draw = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key():
+        return "tk_" + "".join(draw.choice(letters) for _ in range(28))
+    rows, bare = [], {}
+    for n, r in enumerate(corpus.select("doc_id", "text").orderBy("doc_id").collect()):
+        text = r.text
+        if n % 5 == 0:
+            text = f"{text} token={key()} end"
+        elif n % 5 == 1:
+            bare[r.doc_id] = key()
+            text = f"{text} {bare[r.doc_id]} end"
+        rows.append((r.doc_id, text))
+    found = {r.doc_id: r.spans for r in credentials.find_secrets(docs(spark, rows)).collect()}
+    hits = sum(f"format:{len(t) - 4 - len(bare[i])}:{len(t) - 4}" in found[i] for i, t in rows if i in bare)
+    wrong = sum("format" in found[i] for i, _ in rows if i not in bare)
+    assert hits >= 0.9 * len(bare) and wrong <= 0.002 * len(rows), (hits, len(bare), wrong)
 
 
 def test_chunk_ends_resist_shifts_and_are_local():
@@ -234,7 +290,102 @@ def test_chunk_ends_resist_shifts_and_are_local():
         rolled = ((rolled << 1) + int(chunks.GEAR[byte])) & 0xFFFF
         assert rolled == value
     periodic = chunks.chunk_ends(np.frombuffer(b"ab" * 5000, np.uint8))
-    assert np.diff(periodic).max() <= chunks.LONGEST and periodic[-1] == 10000
+    assert np.diff(periodic).max() < 3 * chunks.REACH and periodic[-1] == 10000
+
+
+def plain_chunks(text):
+    """Chunk ends byte by byte."""
+    data, size, reach = text.encode(), len(text.encode()), chunks.REACH
+    if not size:
+        return []
+    hashes, rolled = [], 0
+    for byte in data:
+        rolled = ((rolled << 1) + int(chunks.GEAR[byte])) & 0xFFFF
+        hashes.append(rolled)
+    ends, last = [], -reach
+    for at in range(size if size > reach + 1 else 0):
+        before, after = hashes[max(0, at - reach):at], hashes[at + 1:at + 1 + reach]
+        if all(hashes[at] >= h for h in before + after):
+            if all(hashes[at] > h for h in before) or at + 1 - last >= reach:
+                ends.append(at + 1)
+                last = at + 1
+    edges = [0, *[e for e in ends if e < size], size]
+    cut = [at for a, b in zip(edges, edges[1:]) for at in (range(a, b, chunks.LONGEST) if max(np.diff(edges)) > chunks.LONGEST else [a])]
+    found = set()
+    for end in [*cut[1:], size]:
+        while end < size and data[end] & 0xC0 == 0x80:
+            end += 1
+        found.add(end)
+    return sorted(found)
+
+
+def plain_spans_of(rows):
+    """Spans of repeats by dictionaries: (id, start, end, words, chunks, first id, kept words)."""
+    parts, first, count = [], {}, Counter()
+    for row, (i, text) in enumerate(rows):
+        data, at, seen = (text or "").encode(), 0, set()
+        for end in plain_chunks(text or ""):
+            chunk = data[at:end]
+            heads = sum(not bytes([b]).isspace() and (p == 0 or bytes([data[p - 1]]).isspace()) for p, b in enumerate(data[at:end], at))
+            parts.append((row, i, chunk, len(data[:at].decode()), len(data[:end].decode()), heads, chunk in seen))
+            seen.add(chunk)
+            count[chunk] += 1
+            if i is not None and (first.get(chunk) is None or i < first[chunk]):
+                first[chunk] = i
+            at = end
+    spans, open_ = [], None
+    for row, i, chunk, a, b, words, again in parts:
+        if count[chunk] < 2:
+            continue
+        if open_ is None or open_[0] != row or open_[3] != a:
+            open_ = [row, i, a, b, 0, 0, [], 0]
+            spans.append(open_)
+        open_[3] = b
+        open_[4] += words
+        open_[5] += 1
+        open_[6].append(first.get(chunk))
+        open_[7] += words * (first.get(chunk) == i and not again)
+    return Counter((i, a, b, words, n, min([f for f in firsts if f is not None], default=None), kept)
+                   for _, i, a, b, words, n, firsts, kept in spans if words >= chunks.MIN_WORDS)
+
+
+def test_spans_equal_a_plain_chunker(spark, corpus):
+    given = [(r.doc_id, r.text) for r in corpus.where("length(text) < 6000").orderBy("doc_id").limit(250).collect()]
+    odd = [(None, given[0][1]), (5000, "same word " * 90), (5001, "x" + "same word " * 80), (5001, given[3][1]), (5002, "é" * 700), (5003, None)]
+    for rows in (given + odd, odd):
+        found = chunks.repeated_spans(docs(spark, rows).repartition(3)).collect()
+        assert Counter((r.doc_id, r.start, r.end, r.words, r.chunks, r.first_doc_id, r.kept_words) for r in found) == plain_spans_of(rows)
+
+
+def test_periodic_passages_are_found(spark):
+    draw = random.Random(9)
+
+    def noise(n):
+        return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n))
+    rows = []
+    for pair in range(200):
+        unit = "".join(draw.choice("abcdefghij") for _ in range(draw.randint(1, 9))) + " "
+        if pair % 2:
+            unit += "".join(draw.choice("klmnopq") for _ in range(draw.randint(1, 9))) + " "
+        passage = unit * (60 // (1 + pair % 2))
+        rows += [(2 * pair + copy, f"{noise(draw.randint(100, 400))} {passage}{noise(draw.randint(100, 400))}") for copy in (0, 1)]
+    best = Counter()
+    for r in chunks.repeated_spans(docs(spark, rows)).collect():
+        best[r.doc_id] = max(best[r.doc_id], r.words)
+    assert sum(best[2 * p] >= 20 and best[2 * p + 1] >= 20 for p in range(200)) >= 198
+
+
+def test_repeats_are_cut_row_by_row(spark):
+    draw = random.Random(12)
+    texts = [" ".join("".join(draw.choice("abcdefghié") for _ in range(draw.randint(2, 9))) for _ in range(300)) for _ in range(8)]
+    shared = " ".join(texts[0].split()[:120])
+    rows = [(1, f"{texts[1]} {shared} {texts[2]}"), (None, f"{texts[3]} {shared} {texts[4]}"), (7, f"{texts[5]} {shared} {texts[6]}"), (7, texts[7])]
+    after = Counter((r.doc_id, len(r.text)) for r in chunks.drop_repeats(docs(spark, rows)).collect())
+    sizes = {(i, t): len(t) for i, t in rows}
+    assert after[1, len(rows[0][1])] == 1 and after[7, len(texts[7])] == 1
+    for i, t in rows[1:3]:
+        (left,) = [n for (j, n) in after if j == i and n != len(texts[7])]
+        assert 0.7 * len(shared) < sizes[i, t] - left <= len(shared) + 6
 
 
 def test_repeated_passages(spark, corpus):
