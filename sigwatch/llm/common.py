@@ -23,7 +23,9 @@ def held(key, make):
 
 
 def release() -> None:
+    """Let go of what earlier operators held, back to the system where Arrow kept it."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.llm.common import stored, struct, texts_of, unused
+from sigwatch.llm.common import release, stored, struct, texts_of, unused
 
 KINDS = ("assign", "access", "hex", "format")
 #: Different credentials per kind that an automaton is inferred from.
@@ -355,27 +355,29 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     column, where there is one, brought up to date in rows that changed."""
     from pyspark.sql.pandas.types import to_arrow_schema
     kept = stored(docs, "kept")
-    spans = _with_spans(kept, learn(scan(kept, text_col), sample), text_col).drop(unused(docs.columns, "base"))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(scan(kept, text_col), sample))  # bounded by the samples
     at, schema = docs.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     size = docs.columns.index(length_col) if length_col in docs.columns else None
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        release()
+        finder = _Finder(shared.value)
         for batch in batches:
-            texts, where = batch.column(at).to_pylist(), batch.columns[-1].to_pylist()
-            columns = list(batch.columns[:-1])
-            for row, found in enumerate(where):
+            texts, columns = batch.column(at).to_pylist(), list(batch.columns)
+            changed = {}
+            for row, text in enumerate(texts):
+                _, found = finder((text or "").encode())
                 if found:
                     parts, end = [], 0
-                    for span in found:
-                        if span["start"] >= end:
-                            parts += [texts[row][end:span["start"]], mark]
-                        end = max(end, span["end"])
-                    texts[row] = "".join([*parts, texts[row][end:]])
+                    for start, _, stop, _ in found:
+                        if start >= end:
+                            parts += [text[end:start], mark]
+                        end = max(end, stop)
+                    texts[row] = changed[row] = "".join([*parts, text[end:]])
             columns[at] = pa.array(texts, arrow[at].type)
             if size is not None:
-                columns[size] = pa.array([len(texts[row]) if found else old for row, (old, found) in
-                                          enumerate(zip(columns[size].to_pylist(), where))], arrow[size].type)
+                columns[size] = pa.array([len(changed[row]) if row in changed else old for row, old in
+                                          enumerate(columns[size].to_pylist())], arrow[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-    return spans.mapInArrow(run, schema)
-
+    return kept.mapInArrow(run, schema)

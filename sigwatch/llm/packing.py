@@ -33,7 +33,7 @@ from sigwatch.llm.common import held, ragged, stored, struct, unused
 WINDOW = 4096
 END_ID = 2
 #: Words and stems whose ids a worker remembers before it starts anew, and their greatest length.
-REMEMBERED, _LONGEST = 1 << 19, 64
+REMEMBERED, _LONGEST = 1 << 18, 64
 #: Documents tokenised together, by bytes, so that long texts don't add up.
 _BYTES = 4 << 20
 _TOGETHER = 1000

@@ -17,7 +17,8 @@ in hash order; this bounds the model, which is sent to all tasks. Shared counts,
 and scores cover every document. Labels are learnt only from rows with crc32(doc_id) mod 3
 other than 1, and neither labels, lang, source nor doc_id enter a score.
 
-Null, empty and wordless texts score as a document without evidence. A document labelled
+Null, empty and wordless texts score as a document without evidence; very long texts are scored
+whole. ``drop_toxic`` and ``with_scores`` pass other columns through under any name. A document labelled
 several times is toxic if any label says so; null labels are no labels. Without labels of both
 classes every score is the share of toxic labels (0 if there are none). No rows give no rows.
 """
@@ -30,17 +31,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from sigwatch.llm.common import release, stored, struct, unused
-from sigwatch.llm.packing import _portions
+from sigwatch.llm.packing import _portions, _runs
 
 ORDER, SHARED, STRETCH, DISCOUNT = 6, 3, 32, 0.75
 PER_CLASS = 8_192
 THRESHOLD = 0.7
 #: Words whose ratio a task remembers before it starts anew, and characters scored together.
-REMEMBERED, _CHARS, _TOGETHER = 1 << 18, 2 << 20, 1 << 15
+REMEMBERED, _CHARS, _TOGETHER = 1 << 17, 2 << 20, 1 << 13
 #: N-grams of an order that a task remembers to have reported.
 _TOLD = 1 << 20
 FLOOR = 1e-5
@@ -266,7 +268,7 @@ def _preceded(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(words_of(text or ""))
-                if len(seen) > 1 << 16:
+                if len(seen) > 2 * _TOGETHER:
                     yield from tell()
         if seen:
             yield from tell()
@@ -388,18 +390,21 @@ def _scores(trained: Trained, x: np.ndarray) -> np.ndarray:
 
 
 def with_scores(docs: DataFrame, trained: Trained, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with a score per row."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """``docs`` with a score per row. Only texts travel to the scoring workers."""
     if trained.model is None:
         return docs.withColumn(name, F.lit(trained.prior))
-    if not isinstance(docs.schema[text_col].dataType, T.StringType):
-        raise TypeError(f"{text_col} is no text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(trained.model)
     light = trained._replace(model=None)
-    return docs.mapInArrow(_apply(shared, to_arrow_schema(schema), len(docs.columns),
-                                  lambda x: [pa.array(_scores(light, x))], docs.columns.index(text_col)),
-                           schema)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            parts = [_scores(light, scorer([text or "" for text in batch[rows].to_pylist()]))
+                     for rows in _runs(pc.binary_length(pc.fill_null(batch, "")).to_pylist(), _CHARS)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0))
+    return docs.withColumn(name, score(F.col(text_col).cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id",
