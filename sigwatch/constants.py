@@ -106,14 +106,58 @@ THRESHOLDS = [0.3, 0.4, 0.5, 0.6]
 DEFAULT_THRESHOLD = 0.5
 
 # Columns of the labelled feature table, in file order.
-FEATURE_TABLE = (
-    ["src_ip", "hex_payload", "_time", "c_timestamp", "c_cggt", "c_imsi", "f_c_ossn_others",
-     "f_same_cggt_is_gmlc_oc", "f_same_cggt_is_gmlc_ossn", "f_same_cggt_is_hlr_oc",
-     "f_same_cggt_is_hlr_ossn", "f_count_ok_cl_between2lu", "f_count_ok_psi_between2lu",
-     "f_velocity_greater_than_1000", "f_count_unloop_country_last_x_hours_ul",
-     "f_count_gap_ok_sai_and_all_lu"]
-    + [f"f_count_ok_{op}_between2lu" for op in OPERATIONS[2:]]
-    + [f"f_frequent_ok_{op}_between2lu" for op in OPERATIONS]
-    + ["f_ratio_cl_psi", "f_high_activity_5min", "f_one_cggt_multi_cdgt_psi",
-       "f_msg_count_per_imsi", "c_network_node_number"]
-)
+FEATURE_TABLE = [
+    "src_ip",
+    "hex_payload",
+    "_time",
+    "c_timestamp",
+    "c_cggt",
+    "c_imsi",
+    "f_c_ossn_others",
+    "f_same_cggt_is_gmlc_oc",
+    "f_same_cggt_is_gmlc_ossn",
+    "f_same_cggt_is_hlr_oc",
+    "f_same_cggt_is_hlr_ossn",
+    "f_count_ok_cl_between2lu",
+    "f_count_ok_psi_between2lu",
+    "f_velocity_greater_than_1000",
+    "f_count_unloop_country_last_x_hours_ul",
+    "f_count_gap_ok_sai_and_all_lu",
+    "f_count_ok_dsd_between2lu",
+    "f_count_ok_fwsm_mo_between2lu",
+    "f_count_ok_fwsm_mt_between2lu",
+    "f_count_ok_fwsm_report_between2lu",
+    "f_count_ok_fwsm_submit_between2lu",
+    "f_count_ok_isd_between2lu",
+    "f_count_ok_prn_between2lu",
+    "f_count_ok_purge_ms_between2lu",
+    "f_count_ok_sai_between2lu",
+    "f_count_ok_si_between2lu",
+    "f_count_ok_sri_between2lu",
+    "f_count_ok_srism_between2lu",
+    "f_count_ok_ul_between2lu",
+    "f_count_ok_ulgprs_between2lu",
+    "f_count_ok_ussd_between2lu",
+    "f_frequent_ok_cl_between2lu",
+    "f_frequent_ok_psi_between2lu",
+    "f_frequent_ok_dsd_between2lu",
+    "f_frequent_ok_fwsm_mo_between2lu",
+    "f_frequent_ok_fwsm_mt_between2lu",
+    "f_frequent_ok_fwsm_report_between2lu",
+    "f_frequent_ok_fwsm_submit_between2lu",
+    "f_frequent_ok_isd_between2lu",
+    "f_frequent_ok_prn_between2lu",
+    "f_frequent_ok_purge_ms_between2lu",
+    "f_frequent_ok_sai_between2lu",
+    "f_frequent_ok_si_between2lu",
+    "f_frequent_ok_sri_between2lu",
+    "f_frequent_ok_srism_between2lu",
+    "f_frequent_ok_ul_between2lu",
+    "f_frequent_ok_ulgprs_between2lu",
+    "f_frequent_ok_ussd_between2lu",
+    "f_ratio_cl_psi",
+    "f_high_activity_5min",
+    "f_one_cggt_multi_cdgt_psi",
+    "f_msg_count_per_imsi",
+    "c_network_node_number",
+]

@@ -1,4 +1,4 @@
-"""IPv4 addresses as native column expressions."""
+"""Addresses as native column expressions: IPv4 as numbers, both families as sortable keys."""
 
 from __future__ import annotations
 
@@ -71,3 +71,43 @@ def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
     size = F.pow(F.lit(2.0), 32 - F.when(bits.between(0, 32), bits)).cast("bigint")
     low = address - address % size
     return low, low + size - 1
+
+
+def ip_key(ip: Column) -> Column:
+    """A text that sorts as the addresses of its family do: the family, then all hex digits.
+
+    Null for text that is no well-formed address of either family.
+    """
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    head, tail = groups(F.split_part(ip, F.lit("::"), F.lit(1))), groups(F.split_part(ip, F.lit("::"), F.lit(2)))
+    # Without "::" the tail is empty and nothing is missing.
+    missing = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail)))
+    digits = F.array_join(F.transform(F.concat(head, missing, tail), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    return (F.when(ip.rlike(IPV4), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ip_to_long(ip))), 8, "0")))
+            .when(ip.rlike(IPV6), F.concat(F.lit("6"), digits)))
+
+
+def number_key(number: Column) -> Column:
+    """The key of an IPv4 address given as a number."""
+    return F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0"))
+
+
+def cidr_keys(cidr: Column) -> tuple[Column, Column]:
+    """Keys of the first and last address of a network of either family; null if malformed."""
+    key = ip_key(F.split_part(cidr, F.lit("/"), F.lit(1)))
+    bits = F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int")
+    width = F.length(key) - 1
+    bits = F.when(bits.between(0, 4 * width), bits)
+    whole = F.floor(bits / 4).cast("int")
+    # The digit that the network's border cuts, if any: its free bits become 0 or 1.
+    free = F.pow(F.lit(2), 4 - bits % 4).cast("int")
+    digit = F.conv(F.substr(key, whole + 2, F.lit(1)), 16, 10).cast("int")
+    low = digit - digit % free
+    cut = bits % 4 != 0
+
+    def end(filler: str, value: Column) -> Column:
+        start = F.concat(F.substr(key, F.lit(1), whole + 1), F.when(cut, F.lower(F.hex(value.cast("bigint")))).otherwise(F.lit("")))
+        return F.rpad(start, width + 1, filler)
+    return end("0", low), end("f", low + free - 1)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sigwatch.constants import BAD_ADDRESSES, BAD_RANGES
-from sigwatch.functions.netaddr import IPV4, IPV6, bounds, cidr_bounds, ip_to_long
+from sigwatch.functions.netaddr import IPV4, IPV6, bounds, cidr_keys, ip_key, number_key
 from sigwatch.operators.skew import fits, salted_join
+from sigwatch.session import stored
 
 BROADCAST_ROWS = 500_000
 
@@ -40,8 +41,9 @@ def load_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ranges_from_cidrs(df: DataFrame, cidr: str = "cidr") -> DataFrame:
-    low, high = cidr_bounds(F.col(cidr))
-    return df.select(cidr, low.alias("lo"), high.alias("hi")).where("lo IS NOT NULL")
+    """Ranges of the networks of either family, as keys; malformed ones are left out."""
+    first, last = cidr_keys(F.col(cidr))
+    return df.select(cidr, first.alias("first"), last.alias("last")).where("first IS NOT NULL AND last IS NOT NULL")
 
 
 def _lookup(rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: str, how: str,
@@ -62,21 +64,41 @@ def in_addresses(rows: DataFrame, addresses: DataFrame, ip: str, spread_by: str,
     return _lookup(rows, renamed, [ip], spread_by, "left_semi", None, broadcast_rows)
 
 
+def covered_points(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The values of column ``at`` that lie in any of the ranges ``first``..``last`` (ends
+    included), by one sweep.
+
+    Starts of ranges and points are sorted together over all partitions. The greatest end so far
+    decides about a point; what earlier partitions contribute to it is one value per partition.
+    """
+    starts = ranges.groupBy(F.col("first").alias("at")).agg(F.max("last").alias("end")).withColumn("point", F.lit(False))
+    both = starts.unionByName(points.select("at").where("at IS NOT NULL").distinct()
+                              .withColumns({"end": F.lit(None).cast(starts.schema["end"].dataType), "point": F.lit(True)}))
+    # Stored, so that partitions stay what they are.
+    placed = stored(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "sweep")
+    parts = placed.groupBy("part").agg(F.max("end").alias("end"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", F.max("end").over(earlier).alias("before"))  # one row per partition
+    so_far = F.max("end").over(Window.partitionBy("part").orderBy("at", "point")
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = placed.withColumn("reach", so_far).where("point").join(F.broadcast(before), "part")
+    return swept.where(F.greatest("reach", "before") >= F.col("at")).select("at")
+
+
 def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str, spread_by: str,
               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose address lies in any of the ``lo``..``hi`` ranges.
+    """Rows whose address lies in any of the ranges, which are pairs of keys (``first``, ``last``)
+    or of IPv4 numbers (``lo``, ``hi``).
 
-    Ranges are cut into /16 blocks, which makes the range test an equality on the block
-    with a check behind it. As a semi join, overlapping ranges do not repeat rows.
+    Different addresses are swept once; rows then meet the ones found by a semi join, so
+    overlapping ranges do not repeat rows and a frequent address is looked up once. Malformed
+    addresses lie in no range.
     """
-    block = F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16)))
-    pieces = ranges.select("lo", "hi", block.alias("_block")).distinct()
-    # No range holds -1, and without nulls no null filter repeats the parsing.
-    numbered = (rows.withColumn("_number", F.coalesce(ip_to_long(F.col(ip)), F.lit(-1)))
-                .withColumn("_block", F.shiftright("_number", 16)))
-    inside = F.col("_number").between(F.col("lo"), F.col("hi"))
-    found = _lookup(numbered, pieces, ["_block"], spread_by, "left_semi", inside, broadcast_rows)
-    return found.drop("_number", "_block")
+    if "first" not in ranges.columns:
+        ranges = ranges.select(number_key(F.col("lo")).alias("first"), number_key(F.col("hi")).alias("last"))
+    different = rows.select(ip).distinct().withColumn("at", ip_key(F.col(ip)))
+    found = different.join(covered_points(different, ranges), "at", "left_semi").select(ip)
+    return _lookup(rows, found, [ip], spread_by, "left_semi", None, broadcast_rows)
 
 
 def listed_addresses(rows: DataFrame, addresses: DataFrame | None, ranges: DataFrame | None,

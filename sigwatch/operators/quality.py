@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from sigwatch.functions.checks import to_number, valid_imsi, valid_timestamp
 
 
+#: Where a line stands: its file, the start of the block read by one task, and the order within it.
+FILE_ORDER = ["_file", "_block", "_line"]
+
+
 class MissingColumns(ValueError):
     """Input lacks columns the job needs."""
 
@@ -80,14 +84,22 @@ def clean(df: DataFrame, required: list[str], remove_invalid: bool = True,
           remove_duplicates: bool = True, duplicate_subset: list[str] | None = None,
           order: list[str] | None = None, observe: Observation | None = None,
           **columns) -> DataFrame:
-    """Whole cleaning job: required columns, validity, duplicates."""
+    """Whole cleaning job: required columns, validity, duplicates.
+
+    Of rows alike in ``duplicate_subset`` the first by ``order`` stays, without one the first in
+    the files, which must then have been read with their ``FILE_ORDER``. The file order is
+    dropped, and whole rows that repeat are compared without it.
+    """
     require_columns(df, required)
+    in_files = all(c in df.columns for c in FILE_ORDER)
+    order = order or (FILE_ORDER if in_files else None)
+    if remove_duplicates and duplicate_subset and not order:
+        raise ValueError("the first of duplicates needs an order: name one, or read files with file_order")
     kept = validate(df, remove_invalid, observe, **columns)
-    if not remove_duplicates:
-        return kept
-    if not duplicate_subset:
-        return distinct_rows(kept)
-    return first_of_each(kept, duplicate_subset, order or [])
+    if remove_duplicates and duplicate_subset:
+        kept = first_of_each(kept, duplicate_subset, order)
+    kept = kept.drop(*FILE_ORDER) if in_files else kept
+    return distinct_rows(kept) if remove_duplicates and not duplicate_subset else kept
 
 
 def validation_report(df: DataFrame, **columns) -> DataFrame:

@@ -96,18 +96,25 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    """How far :func:`_distances` may be off, since its terms cancel."""
+    longest = sum(sqrt((m * m).sum(1).max(initial=0.0)) for m in (a, b))
+    return sqrt(8 * np.finfo(np.float64).eps * max(1, a.shape[1])) * longest
+
+
 def _exact(query: np.ndarray, points: np.ndarray) -> np.ndarray:
     gap = points - query
     return np.sqrt((gap * gap).sum(1))
 
 
-def _place(pivots: np.ndarray):
+def _place(pivots: np.ndarray, middle: np.ndarray):
+    """Points about the pivots' middle, each with its cell and the distance to its pivot."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                far = _distances(_to_matrix(pdf["x"]), pivots)
-                cell = far.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), far=far[np.arange(len(pdf)), cell])
+                vectors = _to_matrix(pdf["x"]) - middle
+                cell = _distances(vectors, pivots).argmin(1)
+                yield pdf.assign(x=list(vectors), cell=cell.astype("int32"), far=_exact(vectors, pivots[cell]))
     return place
 
 
@@ -119,18 +126,18 @@ def _nearest(k: int):
             for start in range(0, len(queries), 256):
                 part = queries.iloc[start:start + 256]
                 vectors = _to_matrix(part["x"])
-                rough = _distances(vectors, where)
+                rough, slack = _distances(vectors, where), _slack(vectors, where)
                 for row, (own, limit) in enumerate(zip(part["id"], part["limit"])):
                     keep = min(len(ids), k + 1 + 8)
                     close = np.argpartition(rough[row], keep - 1)[:keep]
-                    cut = rough[row][close].max() + 1e-6
+                    cut = rough[row][close].max() + 2 * slack
                     close = np.flatnonzero(rough[row] <= cut)
                     gap = _exact(vectors[row], where[close])
                     other = ids[close] != own
                     close, gap = close[other], gap[other]
                     order = np.lexsort((ids[close], gap))[:k]
                     out += [(own, ids[close[i]], float(gap[i])) for i in order
-                            if gap[i] <= limit + 1e-9]
+                            if gap[i] <= limit * (1 + 1e-12)]
         return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
     return nearest
 
@@ -141,8 +148,9 @@ def _reach(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray):
         for pdf in batches:
             if not len(pdf):
                 continue
-            gaps = _distances(_to_matrix(pdf["x"]), pivots) - radius[None, :]
-            near = gaps <= pdf["limit"].to_numpy()[:, None] + 1e-6
+            vectors = _to_matrix(pdf["x"])
+            gaps = _distances(vectors, pivots) - radius[None, :] - _slack(vectors, pivots)
+            near = gaps <= pdf["limit"].to_numpy()[:, None] * (1 + 1e-12)
             rows, cells = np.nonzero(near)
             times = blocks[cells]
             rows, cells = np.repeat(rows, times), np.repeat(cells, times)
@@ -166,7 +174,10 @@ def nearest_neighbours(points: DataFrame, k: int = 5, block_rows: int = 20_000,
     pivots = _to_matrix(pd.Series(
         [r["x"] for r in points.orderBy(row_hash(seed, "id"), "id").limit(wanted).collect()]
         or [[0.0]]))
-    cells = points.mapInPandas(_place(pivots), "id bigint, x array<double>, cell int, far double")
+    # Distances come from lengths that cancel; about the middle lengths are as small as they can be.
+    middle = pivots.mean(axis=0)
+    pivots = pivots - middle
+    cells = points.mapInPandas(_place(pivots, middle), "id bigint, x array<double>, cell int, far double")
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
     radius = np.array([stats[c]["radius"] if c in stats else -np.inf for c in range(len(pivots))])

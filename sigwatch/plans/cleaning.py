@@ -148,6 +148,17 @@ def dedup_subset_first(spark, sf_dir):
     return quality.first_of_each(rows, ["text"], ["doc_id"])
 
 
+@query("dedup_keep_first_line", """SELECT event_id, user_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
+def dedup_keep_first_line(spark, sf_dir):
+    """Of lines alike in two columns the first in the files stays; the files hold later events first."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    path = shared_dir(spark, "lines")
+    write_csv(rows.repartitionByRange(4, F.desc("event_id")).sortWithinPartitions(F.desc("event_id")), path)
+    lines = read_csv(spark, path, rows.schema, file_order=True)
+    return quality.clean(lines, ["event_id"], duplicate_subset=["user_id", "event_type"])
+
+
 @query("class_counts", "SELECT toxic, count(*) AS n FROM labels GROUP BY toxic")
 def class_counts(spark, sf_dir):
     return quality.class_counts(table(spark, sf_dir, "labels"), "toxic")

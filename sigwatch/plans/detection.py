@@ -165,6 +165,23 @@ def range_table(spark, sf_dir):
     return lists.in_ranges(rows, lists.ranges_from_cidrs(networks), "src_ip", "event_id")
 
 
+@query("range_both_families", f"""WITH {SIG}, nets AS (SELECT DISTINCT s_suppkey % 256 AS g FROM supplier),
+ mixed AS (SELECT sig.event_id, sig.src_ip, events.user_id % 512 AS g FROM sig JOIN events ON events.event_id = sig.event_id)
+SELECT event_id FROM mixed WHERE CASE event_id % 3 WHEN 0 THEN src_ip LIKE '10.%'
+ WHEN 1 THEN g IN (SELECT g FROM nets)
+ ELSE g BETWEEN 128 AND 255 OR 0 IN (SELECT g FROM nets) END""")
+def range_both_families(spark, sf_dir):
+    """Networks of both families, wide ones too, in one table; addresses in several spellings."""
+    networks = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('2001:db8:', hex(s_suppkey % 256), '::/48') AS cidr").unionByName(
+        spark.sql("SELECT * FROM VALUES ('10.0.0.0/8'), ('2001:db8:0:80::/57'), ('2001:db8::/129'), ('10.0.0.0') AS t(cidr)"))
+    rows = sig(spark, sf_dir).select("event_id", "src_ip").join(
+        table(spark, sf_dir, "events").selectExpr("event_id", "hex(user_id % 512) AS g", "hex(event_id % 65536) AS e"), "event_id")
+    rows = rows.selectExpr("event_id", """CASE event_id % 3 WHEN 0 THEN src_ip
+      WHEN 1 THEN concat('2001:db8:', lower(g), '::', e) ELSE concat('2001:0DB8:0:', g, ':0:0:0:', lower(e)) END AS ip""")
+    return lists.in_ranges(rows, lists.ranges_from_cidrs(networks), "ip", "event_id").select("event_id")
+
+
 @query("blocklist_load", f"WITH {SIG} SELECT DISTINCT src_ip AS ip FROM sig")
 def blocklist_load(spark, sf_dir):
     """Address list from text files with blanks, spaces and repeats."""

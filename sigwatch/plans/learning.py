@@ -48,8 +48,8 @@ drawn AS (SELECT id, copy, CAST('0x' || substr(md5(concat_ws(':', 42, id, copy))
  % 5 + 1 AS rank, CAST('0x' || substr(md5(concat_ws(':', 42, id, copy)), 9, 8) AS BIGINT)
  / CAST(4294967296 AS DOUBLE) AS u FROM copies)
 SELECT d.id AS base, n.neighbour, CAST(d.copy AS INT) AS copy, round(d.u, 9) AS u,
- round(a.x[1] + d.u * (b.x[1] - a.x[1]), 6) AS x_first,
- round(a.x[64] + d.u * (b.x[64] - a.x[64]), 6) AS x_last
+ array_to_string(list_transform(range(1, len(a.x) + 1),
+  lambda i: CAST(round(1000000 * (a.x[i] + d.u * (b.x[i] - a.x[i]))) AS BIGINT)), ',') AS millionths
 FROM drawn d JOIN near n ON n.id = d.id AND n.rank = d.rank
 JOIN minority a ON a.id = d.id JOIN minority b ON b.id = n.neighbour""")
 def smote_rows(spark, sf_dir):
@@ -58,8 +58,8 @@ def smote_rows(spark, sf_dir):
     made = rebalance.smote_rows(rows, "vec_id", "embedding")
     return made.select("base", "neighbour", F.col("copy").cast("int").alias("copy"),
                        F.round("u", 9).alias("u"),
-                       F.round(F.element_at("embedding", 1), 6).alias("x_first"),
-                       F.round(F.element_at("embedding", -1), 6).alias("x_last"))
+                       F.array_join(F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")),
+                                    ",").alias("millionths"))
 
 
 def _labelled(spark, sf_dir):

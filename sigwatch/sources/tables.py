@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.operators.quality import MissingColumns
+from sigwatch.operators.quality import FILE_ORDER, MissingColumns
 from sigwatch.schemas import IDS_EVENTS
 
 _HEAD_CHARS = 5 * 1024
@@ -49,14 +49,15 @@ def by_name(frame: DataFrame, names: list[str], schema: T.StructType,
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
              detect_encoding: bool = False, source_column: str | None = None,
-             required: Sequence[str] = (), **options) -> DataFrame:
+             required: Sequence[str] = (), file_order: bool = False, **options) -> DataFrame:
     """CSV columns by the names in the header, cast to the declared types.
 
     Declared columns that the header lacks are null, or an error if ``required`` names them;
     values that do not fit their type are null. No files or empty files give no rows. All files
     of a path share one header; a file with another one is an error, not a mix-up.
 
-    With ``detect_encoding``, files that are not UTF-8 are read as Latin-1.
+    With ``detect_encoding``, files that are not UTF-8 are read as Latin-1. With ``file_order``, the
+    columns ``FILE_ORDER`` tell where each line stands: files by name, then lines as they follow.
     """
     def read(where: str | list[str], encoding: str) -> DataFrame:
         reader = (spark.read.option("header", True).option("sep", sep)
@@ -66,6 +67,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
             raise AnalysisException("PATH_NOT_FOUND: no header")
         frame = reader.schema(text_schema(names)).option("enforceSchema", False).csv(where)
         source = [F.col("_metadata.file_name").alias(source_column)] if source_column else []
+        if file_order:
+            # A block of a file is read by one task from its first line to its last.
+            source += [F.col("_metadata.file_path").alias(FILE_ORDER[0]),
+                       F.col("_metadata.file_block_start").alias(FILE_ORDER[1]),
+                       F.monotonically_increasing_id().alias(FILE_ORDER[2])]
         return by_name(frame, names, schema, required, source)
 
     try:
@@ -84,9 +90,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        full = schema if not source_column else T.StructType(
-            [*schema.fields, T.StructField(source_column, T.StringType())])
-        return spark.createDataFrame([], full)
+        more = [T.StructField(source_column, T.StringType())] if source_column else []
+        if file_order:
+            more += [T.StructField(c, kind) for c, kind in zip(FILE_ORDER, (T.StringType(), T.LongType(), T.LongType()))]
+        return spark.createDataFrame([], T.StructType([*schema.fields, *more]))
 
 
 def parse_ids_events(lines: DataFrame, column: str = "value", keep_bad: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ that on a retry; streams may share a root.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -19,12 +20,13 @@ from sigwatch.constants import ACTION_BLOCK, ACTION_NOTIFY
 from sigwatch.operators.actions import (
     alert_payload, notice_payload, score_results, sip_alert_payload,
 )
-from sigwatch.operators.lists import block_additions
+from sigwatch.operators.lists import block_additions, valid_candidates
 from sigwatch.operators.rules import detect
 from sigwatch.operators.sip import flatten_events
 from sigwatch.operators.training import score
 from sigwatch.schemas import feature_table
 from sigwatch.sources.tables import by_name, parse_ids_events, text_schema
+from sigwatch.streaming.keyed import LAST, KeyedTable, folders
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv",
@@ -78,18 +80,34 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
         return spark.createDataFrame([], schema)
 
 
-BLOCKLIST = "ip string, stream string, batch_id int"
+def _blocked(spark: SparkSession, root: str, stream: str) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/blocklist/{stream}", "ip string, batch_id int", "ip")
+
+
+def _blocked_by_all(spark: SparkSession, root: str, own: str | None = None, before: int = 0,
+                    keys: DataFrame | None = None) -> DataFrame:
+    """Ip, stream and batch of what streams have blocked, the ``own`` one before a batch."""
+    empty = spark.createDataFrame([], "ip string, batch_id int, stream string")
+    return reduce(DataFrame.unionByName, [
+        _blocked(spark, root, name).read(before if name == own else LAST, keys).withColumn("stream", F.lit(name))
+        for name in folders(spark, f"{root}/blocklist")], empty)
 
 
 def add_to_blocklist(candidates: DataFrame, root: str, stream: str, batch_id: int) -> None:
-    """Idempotent: addresses blocked by other batches, of any stream, are left out."""
-    own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-    known = read_table(candidates.sparkSession, f"{root}/blocklist", BLOCKLIST).where(~own)
-    write_batch(block_additions(candidates, known), f"{root}/blocklist", stream, batch_id)
+    """Idempotent: addresses blocked by other batches, of any stream, are left out. Only the
+    buckets that the candidates fall into are read."""
+    spark = candidates.sparkSession
+    wanted = valid_candidates(candidates, "src_ip").persist()
+    try:
+        known = _blocked_by_all(spark, root, stream, batch_id, wanted)
+        new = block_additions(wanted, known, "ip").withColumn("batch_id", F.lit(batch_id))
+        _blocked(spark, root, stream).write(new, batch_id)
+    finally:
+        wanted.unpersist()
 
 
 def blocklist(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, f"{root}/blocklist", BLOCKLIST).select("ip").distinct()
+    return _blocked_by_all(spark, root).select("ip").distinct()
 
 
 def detection_handler(root: str, addresses: DataFrame | None = None,

@@ -16,6 +16,15 @@ from pyspark.sql import types as T
 
 BUCKETS, EVERY = 64, 16
 BUCKET, BATCH = "_bucket", "_batch"
+#: Behind all batches.
+LAST = 2 ** 62
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
 
 
 class KeyedTable:
@@ -32,13 +41,11 @@ class KeyedTable:
 
     def versions(self) -> list[tuple[int, bool]]:
         """(batch, whole) of the complete versions, in order."""
-        path, system = self._folder()
-        if not system.exists(path):
-            return []
-        names = [(s.getPath().getName(), s.getPath()) for s in system.listStatus(path)]
-        marked = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted((int(found[2]), found[1] == "all") for name, at in names
-                      if (found := re.fullmatch(r"(all|new)-(\d+)", name)) and system.exists(marked(at, "_SUCCESS")))
+        _, system = self._folder()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted((int(found[2]), found[1] == "all") for name in folders(self.spark, self.path)
+                      if (found := re.fullmatch(r"(all|new)-(\d+)", name))
+                      and system.exists(path(f"{self.path}/{name}/_SUCCESS")))
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")

@@ -100,3 +100,29 @@ def test_type_suffixes_are_no_numbers(spark):
     assert values(spark, to_number, ["12d", "3f", "0x1p3", "1.", ".5", "-2E2", "inf", "1e"]) == [
         None, None, None, 1.0, 0.5, -200.0, float("inf"), None]
     assert values(spark, valid_timestamp, ["12d", "3f", "0x1p3", "12", " 12.5 "]) == [False, False, False, True, True]
+
+
+def test_first_line_in_files_stays(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sigwatch.sources.tables import read_csv
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    first = {}
+    for n in range(3):
+        lines = [(f"k{(n * 7 + i * i) % 50}", n * 10_000 + i) for i in range(3000)]
+        (tmp_path / f"{n}.csv").write_text("k,v\n" + "".join(f"{k},{v}\n" for k, v in lines))
+        for k, v in lines:
+            first.setdefault(k, v)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # many blocks, packed out of order
+    try:
+        lines = read_csv(spark, str(tmp_path), schema, file_order=True)
+        assert lines.rdd.getNumPartitions() > 5
+        kept = quality.clean(lines, ["k"], duplicate_subset=["k"])
+        assert kept.columns == ["k", "v"] and {r.k: r.v for r in kept.collect()} == first
+        assert quality.clean(lines, ["k"]).count() == 9000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(ValueError, match="order"):
+        quality.clean(read_csv(spark, str(tmp_path), schema), ["k"], duplicate_subset=["k"])
+    assert quality.clean(read_csv(spark, str(tmp_path / "none"), schema, file_order=True), ["k"], duplicate_subset=["k"]).count() == 0

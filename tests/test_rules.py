@@ -156,3 +156,45 @@ def test_fixed_lists():
     assert len(BAD_ADDRESSES) == 48 == len(set(BAD_ADDRESSES))
     assert len(FEATURE_TABLE) == 53 == len(set(FEATURE_TABLE))
     assert sum(c.startswith("f_") for c in FEATURE_TABLE) == 46
+
+
+def test_keys_of_both_families(spark):
+    import ipaddress
+    import random
+
+    from sigwatch.functions.netaddr import cidr_keys, ip_key
+    draw = random.Random(3)
+    texts = ["1.2.3.4", "255.255.255.255", "::", "::1", "1::", "2001:db8::7", "1:2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8", "1:2", "", None, "1.2.3", "::1.2.3.4"]
+    texts += [str(ipaddress.IPv6Address(draw.getrandbits(128) & draw.getrandbits(128))) for _ in range(50)]
+    keys = {r.ip: r.k for r in spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", ip_key(F.col("ip")).alias("k")).collect()}
+    for text, key in keys.items():
+        try:
+            address = ipaddress.ip_address(text or "")
+        except ValueError:
+            address = None
+        if text == "::1.2.3.4":  # a mixed spelling, refused as by the validity check
+            address = None
+        assert key == (address and f"{address.version}{int(address):0{8 if address.version == 4 else 32}x}"), text
+    nets = [f"{draw.choice([t for t in texts if keys.get(t)])}/{draw.randint(0, 32)}" for _ in range(60)]
+    nets += [f"{t}/{n}" for t in texts[-10:] for n in (33, 57, 127, 128)]
+    for r in spark.createDataFrame([(n,) for n in nets], "c string").select("c", *[k.alias(n) for n, k in zip("ab", cidr_keys(F.col("c")))]).collect():
+        net = ipaddress.ip_network(r.c, strict=False)
+        width = 8 if net.version == 4 else 32
+        assert (r.a, r.b) == tuple(f"{net.version}{int(e):0{width}x}" for e in (net[0], net[-1])), r.c
+    bad = spark.createDataFrame([(c,) for c in ("1.2.3.4/33", "::/129", "1.2.3.4", "x/8", None, "1.2.3.4/-1")], "c string")
+    assert all(r == (None, None) for r in map(tuple, bad.select(*cidr_keys(F.col("c"))).collect()))
+
+
+def test_sweep_equals_brute_force(spark):
+    import random
+
+    from sigwatch.operators.lists import covered_points
+    draw = random.Random(5)
+    for width in (3, 400):
+        ranges = [(a, a + draw.randint(0, width)) for a in (draw.randint(0, 5000) for _ in range(60))] + [(7, 7), (7, 9)]
+        points = [draw.randint(0, 5500) for _ in range(700)] + [None]
+        found = covered_points(spark.createDataFrame([(p,) for p in points], "at long").repartition(5),
+                               spark.createDataFrame(ranges, "first long, last long"))
+        assert sorted(r.at for r in found.collect()) == sorted({p for p in points if p is not None and any(a <= p <= b for a, b in ranges)})
+    none = spark.createDataFrame([], "first long, last long")
+    assert covered_points(spark.createDataFrame([(1,)], "at long"), none).count() == 0

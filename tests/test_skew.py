@@ -208,6 +208,21 @@ def test_neighbours_exact_with_crowded_cells(spark):
         assert found[i] == pytest.approx(gaps[:4], abs=1e-9)
 
 
+@pytest.mark.parametrize("size", [2, 64])
+def test_neighbours_far_from_the_origin(spark, size):
+    import numpy as np
+    draw = np.random.default_rng(9)
+    at = 1.6e9 + draw.normal(0, 100, (400, size))
+    at[:40] -= 3.2e9  # a second group on the other side
+    points = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(at)], "id long, x array<double>")
+    found = defaultdict(list)
+    for r in sorted(rebalance.nearest_neighbours(points, 4, block_rows=60).collect(), key=lambda r: (r["id"], r["rank"])):
+        found[r["id"]].append(r["neighbour"])
+    gaps = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    assert found == {i: np.lexsort((np.arange(400), row))[:4].tolist() for i, row in enumerate(gaps)}
+
+
 def test_smote_points_lie_on_segments(spark):
     rng = random.Random(6)
     data = [(i, [rng.random() for _ in range(3)], int(i < 20)) for i in range(90)]

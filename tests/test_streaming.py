@@ -84,7 +84,7 @@ def test_scoring_routes_by_action(spark, tmp_path):
     assert [r["ip"] for r in jobs.blocklist(spark, root).collect()] == ["9.9.9.1"]
     put_features(spark, inbox, "b.csv", rows, 2)
     jobs.start_scoring(spark, str(inbox), root, model, every=None).awaitTermination()
-    assert jobs.read_table(spark, f"{root}/blocklist", jobs.BLOCKLIST).count() == 1
+    assert jobs._blocked_by_all(spark, root).count() == 1
     assert spark.read.parquet(f"{root}/results").count() == 6
 
 
@@ -119,7 +119,7 @@ def test_sip_stream_blocks_alerting_sources(spark, tmp_path):
     flows = spark.read.parquet(f"{root}/flows")
     assert flows.count() == 3 and flows.where("label = 1").count() == 2
     assert [r["ip"] for r in jobs.blocklist(spark, root).collect()] == ["5.5.5.5"]
-    assert jobs.read_table(spark, f"{root}/blocklist", jobs.BLOCKLIST).count() == 1
+    assert jobs._blocked_by_all(spark, root).count() == 1
 
 
 def test_two_streams_side_by_side_on_a_clock(spark, tmp_path):
@@ -290,7 +290,7 @@ def test_streams_share_a_root(spark, tmp_path):
     for _ in range(2):
         jobs.add_to_blocklist(two, root, "sip", 0)
     assert {r["ip"] for r in jobs.blocklist(spark, root).collect()} == {"1.1.1.1", "2.2.2.2", "2001:db8::7", "1:2:3:4:5:6:7:8", "::"}
-    assert jobs.read_table(spark, f"{root}/blocklist", jobs.BLOCKLIST).count() == 5
+    assert jobs._blocked_by_all(spark, root).count() == 5
 
 
 def test_stream_columns_go_by_header(spark, tmp_path):
