@@ -3,7 +3,11 @@
 Toxic documents go; of equal texts one stays; of near copies one stays; secrets are replaced in
 the texts that hold them (and ``n_chars`` follows); what is left is packed into windows. Every
 stage but the last returns whole rows of ``documents``. Null and empty texts are clean; they
-count as equal to each other, so one stays. Tables without rows pass through empty.
+count as equal to each other, so one stays. Very long texts pass every stage whole; rows that share
+an id but not a text are separate documents. Tables without rows pass through empty.
+
+Texts are long, so the stages hand at most ``BATCH_ROWS`` rows at a time to Python workers (the
+session's setting for Arrow batches, unless that is smaller); this bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -14,23 +18,38 @@ from sigwatch.llm import credentials, exact, packing, simhash, toxicity
 from sigwatch.session import shared_dir
 
 
+BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    rows = int(spark.conf.get(_BATCHES))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return exact.drop_copies(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return credentials.redact(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs)
 
 
