@@ -33,9 +33,9 @@ from sigwatch.llm.common import held, ragged, stored, struct, unused
 WINDOW = 4096
 END_ID = 2
 #: Words and stems whose ids a worker remembers before it starts anew, and their greatest length.
-REMEMBERED, _LONGEST = 1 << 18, 64
+REMEMBERED, _LONGEST = 1 << 17, 64
 #: Documents tokenised together, by bytes, so that long texts don't add up.
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 _TOGETHER = 1000
 _MARKS = ".,!?"
 
@@ -151,6 +151,7 @@ class WordEncoder:
 def _encoder(content: bytes) -> WordEncoder:
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    pa.default_memory_pool().release_unused()
     return held(("words", zlib.crc32(content)), lambda: WordEncoder(content))
 
 
