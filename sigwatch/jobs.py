@@ -46,12 +46,15 @@ def run_experiment(df: DataFrame, root: str, run_id: str, row_id: str, kind: str
                    parameters: Mapping[str, Any] | None = None, space: Mapping[str, Any] | None = None,
                    n_iter: int = 20, folds: int = 3, use_smote: bool = True, seed: int = 42,
                    thresholds: list[float] = THRESHOLDS, name: str = "FraudDetection_{model_type}",
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, patience: int = training.PATIENCE, validation: float = 0.15,
+                   tags: Mapping[str, Any] | None = None) -> DataFrame:
     """Split, balance, search or fit, evaluate, log and save; returns the holdout metrics.
 
     Over-sampling touches training rows only; its folds hold real and synthetic rows, so
     the search score is optimistic and the holdout score is the one to trust. Without
-    over-sampling, positives are weighted by how rare they are.
+    over-sampling, positives are weighted by how rare they are. Boosted trees hold back a slice of
+    the fitted rows and stop ``patience`` rounds after their best area on it; ``validation`` 0
+    turns that off. The report per class and the run's tags are logged beside its metrics.
     """
     spark = df.sparkSession
     begin = time.time()
@@ -85,7 +88,12 @@ def run_experiment(df: DataFrame, root: str, run_id: str, row_id: str, kind: str
                 search.getEstimatorParamMaps()[best["draw"]])
             settings.update({f"best_{k}": v for k, v in best["parameters"].items()},
                             cv_roc_auc=best["cv_roc_auc"])
-        model = training.train(fitted, features, classifier)
+        if kind != "rf" and validation:
+            sliced = rebalance.validation_flag(fitted, "_row", fraction=validation)
+            model, rounds, areas = training.train_stopped(sliced, features, classifier, "is_validation", patience)
+            settings.update(best_iteration=rounds, validation_roc_auc=max(areas, default=None))
+        else:
+            model = training.train(fitted, features, classifier)
     finally:
         fitted.unpersist()
     scored = training.score(holdout, model).persist()
@@ -95,6 +103,7 @@ def run_experiment(df: DataFrame, root: str, run_id: str, row_id: str, kind: str
             F.lit(run_id).alias("run_id"), F.lit("holdout_roc_auc_overall").alias("key"),
             F.col("roc_auc").alias("value"))
         training.log_metrics(metrics.metrics_long(table, run_id).unionByName(area), root)
+        training.log_report(metrics.class_report(table), root, run_id)
         outcome = spark.createDataFrame(table.collect(), table.schema)  # one row per threshold
     finally:
         scored.unpersist()
@@ -102,4 +111,5 @@ def run_experiment(df: DataFrame, root: str, run_id: str, row_id: str, kind: str
     training.log_parameters(spark, root, run_id, {
         "model_type": kind, "num_features": len(features), "smote_applied": use_smote,
         "model_path": path, "seconds": round(time.time() - begin, 3), **settings})
+    training.log_tags(spark, root, run_id, {"training_status": "success", "model_type": kind, **(tags or {})})
     return outcome

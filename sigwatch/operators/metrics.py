@@ -109,6 +109,19 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     return ranked.agg(F.when(usable, area / (ones.cast("double") * zeros)).alias("roc_auc"))
 
 
+def staged_auc(df: DataFrame, stage: str = "stage", label: str = "label", score: str = "score",
+               target_rows: float = TARGET_ROWS) -> DataFrame:
+    """Area under the curve of every stage, from one aggregation: per positive the negatives below
+    it, plus half the ties. Null where a stage lacks a class."""
+    counts = scored_rows(df, score).groupBy(stage, F.col(score).alias("_at")).agg(
+        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    ranked = running_sums(counts, [stage], F.col("_at"), {"_upto": F.col("_n")}, target_rows)
+    area = F.sum(F.col("_p").cast("double") * (F.col("_upto") - F.col("_n") / 2.0))
+    ones, zeros = F.sum("_p"), F.sum("_n")
+    return ranked.groupBy(stage).agg(
+        F.when((ones > 0) & (zeros > 0), area / (ones.cast("double") * zeros)).alias("roc_auc"))
+
+
 def default_metrics(metrics: DataFrame, wanted: float = DEFAULT_THRESHOLD,
                     order: list[float] = THRESHOLDS) -> DataFrame:
     """Metrics of the wanted threshold, else of the first one tested that has any."""

@@ -7,14 +7,16 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sigwatch.operators import metrics
 from sigwatch.operators.quality import require_columns, with_prefix
 
 # Parameter names accepted per model kind and the Spark ML parameter each one sets.
@@ -129,6 +131,65 @@ def best_iteration(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
+PATIENCE = 10
+
+
+def staged_margins(df: DataFrame, model: PipelineModel, label: str = "label") -> DataFrame:
+    """One row per row and boosting round: stage (from 1), label, score (the margin up to it)."""
+    rows = PipelineModel(stages=model.stages[:-1]).transform(df).select("features", label)
+    fitted = model.stages[-1]
+    names = [f"_tree{i}" for i in range(len(fitted.trees))]
+    for tree, name in zip(fitted.trees, names):
+        rows = tree.copy({tree.predictionCol: name}).transform(rows)
+    steps = F.array(*[F.col(name) * float(w) for name, w in zip(names, fitted.treeWeights)])
+    margins = F.aggregate(steps, F.array().cast("array<double>"), lambda sums, step: F.array_append(
+        sums, step + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0))))
+    return rows.select(label, F.posexplode(margins).alias("stage", "score")).select(
+        (F.col("stage") + 1).alias("stage"), label, "score")
+
+
+def stopping_round(areas: list[float], patience: int = PATIENCE) -> int:
+    """The best round met before ``patience`` rounds in a row brought nothing better."""
+    best, at = float("-inf"), 0
+    for n, area in enumerate(areas, 1):
+        if area > best:
+            best, at = area, n
+        elif n - at >= patience:
+            break
+    return at
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model as it was after so many rounds."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    short = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        model.uid, trees, weights))
+    model._copyValues(short)
+    short._transfer_params_to_java()
+    return short
+
+
+def train_stopped(df: DataFrame, features: list[str], classifier, validation: str,
+                  patience: int = PATIENCE) -> tuple[PipelineModel, int, list[float]]:
+    """Fit boosted trees without the rows that ``validation`` marks, and keep the rounds up to the
+    one with the best area under the ROC curve on them. Returns the model, its rounds, and the
+    areas of all rounds. Without both classes among the marked rows all rounds stay."""
+    held = F.coalesce(F.col(validation).cast("boolean"), F.lit(False))
+    model = train(df.where(~held), features, classifier)
+    label = classifier.getLabelCol()
+    # One number per boosting round.
+    rows = metrics.staged_auc(staged_margins(df.where(held), model, label), label=label).orderBy("stage").collect()
+    areas = [r["roc_auc"] for r in rows]
+    if not areas or None in areas:
+        return model, model.stages[-1].getNumTrees, []
+    rounds = stopping_round(areas, patience)
+    return PipelineModel(stages=[*model.stages[:-1], first_rounds(model.stages[-1], rounds)]), rounds, areas
+
+
 class Uniform:
     """Real numbers in [start, start + width)."""
 
@@ -251,9 +312,20 @@ def log_parameters(spark: SparkSession, root: str, run_id: str, parameters: Mapp
      .write.mode("append").parquet(f"{root}/run_params"))
 
 
-def log_metrics(metrics: DataFrame, root: str) -> None:
+def log_tags(spark: SparkSession, root: str, run_id: str, tags: Mapping[str, Any]) -> None:
+    rows = [(run_id, k, str(v)) for k, v in tags.items()]
+    (spark.createDataFrame(rows, "run_id string, key string, value string").coalesce(1)
+     .write.mode("append").parquet(f"{root}/run_tags"))
+
+
+def log_report(report: DataFrame, root: str, run_id: str) -> None:
+    """Append the report per class and threshold."""
+    report.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("append").parquet(f"{root}/run_reports")
+
+
+def log_metrics(table: DataFrame, root: str) -> None:
     """Append long-form metrics (run_id, key, value)."""
-    metrics.coalesce(1).write.mode("append").parquet(f"{root}/run_metrics")
+    table.coalesce(1).write.mode("append").parquet(f"{root}/run_metrics")
 
 
 def run_summary(spark: SparkSession, root: str, run_id: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_experiment(spark, tmp_path):
         assert summary["smote_applied"] == str(run_id == "r1")
     assert "best_maxDepth" in {r["key"] for r in training.run_summary(spark, str(tmp_path), "r1").collect()}
     assert spark.read.parquet(f"{tmp_path}/models").count() == 2
+    jobs.run_experiment(frame, str(tmp_path), "r3", "id", "xgb", {"n_estimators": 12, "max_depth": 2}, patience=3,
+                        tags={"owner": "tests"})
+    summary = {r["key"]: r["value"] for r in training.run_summary(spark, str(tmp_path), "r3").collect()}
+    assert 1 <= int(summary["best_iteration"]) <= 12 and 0.5 < float(summary["validation_roc_auc"]) <= 1
+    reports = spark.read.parquet(f"{tmp_path}/run_reports")
+    assert {r.run_id: r.n for r in reports.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {"r1": 20, "r2": 20, "r3": 20}
+    tags = spark.read.parquet(f"{tmp_path}/run_tags").where("run_id = 'r3'").collect()
+    assert {(t["key"], t["value"]) for t in tags} == {("training_status", "success"), ("model_type", "xgb"), ("owner", "tests")}

@@ -142,3 +142,44 @@ def test_scores_that_are_no_numbers_rank_nowhere(spark):
     assert metrics.roc_auc(frame).first()[0] == 1.0
     assert {(r["tp"], r["fp"]) for r in metrics.roc_points(frame).collect()} == {(1, 0), (1, 1)}
     assert {r["support_0"] for r in metrics.threshold_metrics(frame).collect()} == {1}
+
+
+def test_early_stopping_on_the_area_of_a_slice(spark):
+    import random
+
+    from sigwatch.operators import metrics
+    draw = random.Random(3)
+    rows = []
+    for i in range(600):
+        a, b = draw.random(), draw.random()
+        rows.append((i, a, b, int((a + 0.3 * draw.random() > 0.7) != (draw.random() < 0.15)), int(i % 4 == 0)))
+    frame = spark.createDataFrame(rows, "id long, f_a double, f_b double, label int, held int")
+    classifier = training.make_classifier("xgb", {"n_estimators": 25, "max_depth": 3, "random_state": 1})
+    model, rounds, areas = training.train_stopped(frame, ["f_a", "f_b"], classifier, "held", patience=5)
+    assert len(areas) == 25 and 1 <= rounds == model.stages[-1].getNumTrees < 25
+    # Every stage against plain counting of pairs.
+    full = training.train(frame.where("held = 0"), ["f_a", "f_b"], classifier)
+    by_stage = {}
+    for r in training.staged_margins(frame.where("held = 1"), full).collect():
+        by_stage.setdefault(r.stage, ([], []))[r.label].append(r.score)
+    plain = [sum((p > n) + (p == n) / 2 for p in ones for n in zeros) / (len(ones) * len(zeros))
+             for _, (zeros, ones) in sorted(by_stage.items())]
+    assert areas == pytest.approx(plain, abs=1e-12)
+    before = areas[:rounds]
+    assert before[-1] == max(before) and max(areas[rounds:rounds + 5]) <= before[-1]
+    # The short model scores as the long one did at that round.
+    last = {round(r.score, 9) for r in training.staged_margins(frame, full).where(F.col("stage") == rounds).collect()}
+    short = {round(r.score, 9) for r in training.staged_margins(frame, model).where(F.col("stage") == rounds).collect()}
+    assert last == short
+    area = metrics.roc_auc(training.score(frame.where("held = 1"), model)).first()[0]
+    assert area == pytest.approx(areas[rounds - 1], abs=1e-9)
+    same = metrics.staged_auc(training.staged_margins(frame.where("held = 1"), full), target_rows=40).orderBy("stage").collect()
+    assert [r.roc_auc for r in same] == pytest.approx(areas, abs=1e-12)
+    one_class = frame.withColumn("label", F.when(F.col("held") == 1, 1).otherwise(F.col("label")))
+    assert training.train_stopped(one_class, ["f_a", "f_b"], classifier, "held")[1:] == (25, [])
+
+
+def test_patience():
+    assert training.stopping_round([0.5, 0.7, 0.6, 0.6, 0.6, 0.9], 3) == 2
+    assert training.stopping_round([0.5, 0.7, 0.6, 0.6, 0.9], 3) == 5
+    assert training.stopping_round([], 3) == 0
