@@ -7,19 +7,37 @@ count as equal to each other, so one stays. Very long texts pass every stage who
 an id but not a text are separate documents. Tables without rows pass through empty.
 
 Texts are long, so the stages hand at most ``BATCH_ROWS`` rows at a time to Python workers (the
-session's setting for Arrow batches, unless that is smaller); this bounds a worker's memory.
+session's setting for Arrow batches, unless that is smaller); this bounds a worker's memory. A
+stage's working folders go when the next stage starts: by then its result has been written.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sigwatch.llm import credentials, exact, packing, simhash, toxicity
-from sigwatch.session import shared_dir
-
+from sigwatch.session import drop_folders, recorded, shared_dir
 
 BATCH_ROWS = 1_000
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Working folders of the stage before.
+_left: list[str] = []
+
+
+def _stage(function, last: bool = False):
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_folders(spark, _left)
+        _left.clear()
+        _small_batches(spark)
+        with recorded() as made:
+            found = function(spark, docs, sf_dir)
+        if not last:  # the last result may be read from them at any time
+            _left.extend(made)
+        return found
+    return run_stage
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -28,28 +46,28 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, BATCH_ROWS)
 
 
+@_stage
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return exact.drop_copies(docs)
 
 
+@_stage
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
+@_stage
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return credentials.redact(docs)
 
 
+@functools.partial(_stage, last=True)
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return packing.pack(docs)
 
 
