@@ -42,7 +42,7 @@ ORDER, SHARED, STRETCH, DISCOUNT = 6, 3, 32, 0.75
 PER_CLASS = 8_192
 THRESHOLD = 0.7
 #: Words whose ratio a task remembers before it starts anew, and characters scored together.
-REMEMBERED, _CHARS, _TOGETHER = 1 << 17, 2 << 20, 1 << 13
+REMEMBERED, _CHARS, _TOGETHER = 1 << 18, 2 << 20, 1 << 13
 #: N-grams of an order that a task remembers to have reported.
 _TOLD = 1 << 20
 FLOOR = 1e-5
