@@ -82,3 +82,26 @@ def test_large_counts_stay_exact(spark):
 
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_few_texts_and_entries_are_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "_KEPT", 100)
+    monkeypatch.setattr(collocations, "_PORTION", 10)
+    schema = collocations.pa.schema([("lang", "string"), ("phrase", "string"), ("size", "int32"), ("f", "int64")])
+    count = collocations._count(lambda words: [(1, np.arange(len(words.starts)))], schema)
+    text = " ".join(f"w{i % 700}" for i in range(1400)).encode()
+    batch = collocations.pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": [text, b"w1"]})
+    found = list(count(iter([batch])))
+    assert max(b.num_rows for b in found) <= 110
+    total = Counter()
+    for b in found:
+        for r in b.to_pylist():
+            total[r["lang"], r["phrase"], r["size"]] += r["f"]
+    assert total == {**{("en", f"w{i}", 1): 2 for i in range(700)}, ("de", "w1", 1): 1}
+
+    sizes, name, kept = [], collocations._BATCHES, collocations.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(collocations, "stored", lambda *a: sizes.append(int(spark.conf.get(name))) or kept(*a))
+    texts = spark.createDataFrame([("en", "a b c " * 12)], "lang string, text string")
+    assert collocations.collocations(texts).count() > 0
+    assert sizes == [1000] * 3 and spark.conf.get(name) == before
