@@ -92,12 +92,13 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str, spread_by: str,
 
     Different addresses are swept once; rows then meet the ones found by a semi join, so
     overlapping ranges do not repeat rows and a frequent address is looked up once. Malformed
-    addresses lie in no range.
+    addresses lie in no range. Different addresses and the ones found are stored, as each is read
+    more than once.
     """
     if "first" not in ranges.columns:
         ranges = ranges.select(number_key(F.col("lo")).alias("first"), number_key(F.col("hi")).alias("last"))
-    different = rows.select(ip).distinct().withColumn("at", ip_key(F.col(ip)))
-    found = different.join(covered_points(different, ranges), "at", "left_semi").select(ip)
+    different = stored(rows.select(ip).distinct().withColumn("at", ip_key(F.col(ip))).where("at IS NOT NULL"), "addresses")
+    found = stored(different.join(covered_points(different, ranges), "at", "left_semi").select(ip), "covered")
     return _lookup(rows, found, [ip], spread_by, "left_semi", None, broadcast_rows)
 
 

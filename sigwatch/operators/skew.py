@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TARGET_ROWS = 4_000_000
 MOST_SLICES = 4096
+#: Rows of a key beyond which a join spreads them.
+SALT_ROWS = 1_000_000
 
 KEY, AT, SLICE = "_key", "_at", "_slice"
 
@@ -253,10 +255,19 @@ def sliding_distinct(df: DataFrame, keys: list[str], item: str, at: Column, widt
     return counted.where(F.col("row").isNotNull()).select("row.*", F.col("_count").alias(name))
 
 
+def heavy_join_keys(rows: DataFrame, on: list[str], target_rows: float) -> list[str]:
+    """Key texts with more rows than the target, from exact counts; the ``MOST_SLICES`` heaviest at
+    most, so others then have less than one in ``MOST_SLICES`` of the rows."""
+    counts = rows.groupBy(key_text(*on).alias(KEY)).agg(F.count("*").alias("_rows"))
+    return [r[KEY] for r in counts.where(F.col("_rows") > target_rows)
+            .orderBy(F.desc("_rows")).limit(MOST_SLICES).collect()]
+
+
 def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: str,
                 how: str = "left", condition: Column | None = None,
-                salts: int | None = None) -> DataFrame:
-    """Join that spreads each key's rows over ``salts`` tasks by copying the lookup side.
+                salts: int | None = None, target_rows: float = SALT_ROWS) -> DataFrame:
+    """Join that spreads the rows of each heavy key over ``salts`` tasks by copying that key's
+    lookup rows. All other lookup rows go to one place, so what is shuffled grows with both sides.
 
     For lookup tables of unknown size, where one key may hold a large share of the rows.
     By default there are as many salts as shuffle partitions, up to 256; what is still too
@@ -265,14 +276,21 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: st
     """
     if salts is None:
         salts = min(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    keys = [*on, "_salt"]
-    right = (lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .withColumnsRenamed({c: f"_r_{c}" for c in keys}))
+    heavy = heavy_join_keys(rows, on, target_rows)
+    keys = on
+    if heavy:
+        salt = F.when(key_text(*on).isin(heavy), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+        # Compared as the rows' type, in which equal keys have equal texts.
+        same = lookup.select("*", *[F.col(c).try_cast(rows.schema[c].dataType).alias(f"_k_{c}") for c in on])
+        copies = F.when(key_text(*[f"_k_{c}" for c in on]).isin(heavy),
+                        F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        lookup = same.withColumn("_salt", F.explode(copies)).drop(*[f"_k_{c}" for c in on])
+        rows, keys = rows.withColumn("_salt", salt), [*on, "_salt"]
+    right = lookup.withColumnsRenamed({c: f"_r_{c}" for c in keys})
     tests = [F.col(c) == F.col(f"_r_{c}") for c in keys]
     if condition is not None:
         tests.append(condition)
-    return left.join(right, tests, how).drop("_salt", *[f"_r_{c}" for c in keys])
+    return rows.join(right, tests, how).drop("_salt", *[f"_r_{c}" for c in keys])
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:

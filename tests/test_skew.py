@@ -194,6 +194,37 @@ def test_list_joins_same_with_and_without_broadcast(spark):
         assert {r["id"] for r in in_ranges(rows, ranges, "ip", "id", limit).collect()} == inside
 
 
+def test_only_heavy_keys_of_a_lookup_are_copied(spark):
+    from sigwatch.operators.skew import salted_join
+    rows = spark.createDataFrame([(i, "hot" if i < 300 else None if i < 500 else f"k{i % 50}") for i in range(700)], "id long, k string")
+    lookup = spark.createDataFrame([(k, n) for n, k in enumerate(["hot", "hot", None, *(f"k{i}" for i in range(40))])], "k string, n int")
+    at = {k: [r["n"] for r in lookup.collect() if r["k"] == k] for k in {r["k"] for r in rows.collect()} - {None}}
+    expected = sorted((r["id"], r["k"], n) for r in rows.where("k IS NOT NULL").collect() for n in at[r["k"]])
+    for target, copies in ((1000, 43), (100, 40 + 3 * 8), (0, 43 * 8)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def passed(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        kind, real = type(rows), type(rows).join
+        kind.join = lambda a, b, *more: real(a, b.mapInArrow(passed, b.schema), *more)
+        try:
+            for how, wanted in (("inner", expected), ("left", None), ("left_semi", None)):
+                joined = salted_join(rows, lookup, ["k"], "id", how, salts=8, target_rows=target)
+                got = sorted(map(tuple, joined.collect()), key=str)
+                if how == "inner":
+                    assert got == sorted(expected, key=str)
+                    assert seen.value == copies
+                elif how == "left":
+                    assert sorted(set(got) - set(expected), key=str) == sorted(
+                        ((r["id"], r["k"], None) for r in rows.collect() if not at.get(r["k"])), key=str)
+                else:
+                    assert {g[0] for g in got} == {e[0] for e in expected}
+        finally:
+            kind.join = real
+
+
 def test_neighbours_exact_with_crowded_cells(spark):
     rng = random.Random(5)
     data = [(i, [0.25, 0.5, 0.75] if i < 60 else [rng.random() for _ in range(3)])
