@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sigwatch.operators.skew import TARGET_ROWS, running_count
 
 HASH_RANGE = 2 ** 32
+#: Numbers in a matrix or frame that a task of the neighbour search works on at a time.
+_CELLS = 1 << 18
 
 
 def row_hash(seed: int, row_id: str) -> Column:
@@ -107,10 +109,18 @@ def _exact(query: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(1))
 
 
+def _pieces(batches: Iterator[pd.DataFrame], columns: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that a matrix of their rows and so many columns has ``_CELLS`` cells at most."""
+    rows = max(1, _CELLS // max(1, columns))
+    for pdf in batches:
+        for start in range(0, len(pdf), rows):
+            yield pdf.iloc[start:start + rows]
+
+
 def _place(pivots: np.ndarray, middle: np.ndarray):
     """Points about the pivots' middle, each with its cell and the distance to its pivot."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches, max(pivots.shape)):
             if len(pdf):
                 vectors = _to_matrix(pdf["x"]) - middle
                 cell = _distances(vectors, pivots).argmin(1)
@@ -143,11 +153,14 @@ def _nearest(k: int):
 
 
 def _reach(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray):
-    """Other blocks that could hold a point within each query's limit."""
+    """Other blocks that could hold a point within each query's limit.
+
+    Every pair of query and block carries the query's vector, so pairs leave in frames of at most
+    ``_CELLS`` numbers however many blocks there are.
+    """
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        most = max(1, _CELLS // pivots.shape[1])
+        for pdf in _pieces(batches, max(pivots.shape)):
             vectors = _to_matrix(pdf["x"])
             gaps = _distances(vectors, pivots) - radius[None, :] - _slack(vectors, pivots)
             near = gaps <= pdf["limit"].to_numpy()[:, None] * (1 + 1e-12)
@@ -156,10 +169,12 @@ def _reach(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray):
             rows, cells = np.repeat(rows, times), np.repeat(cells, times)
             first = np.cumsum(times) - times
             block = np.arange(times.sum()) - np.repeat(first, times)
-            found = pdf.iloc[rows].assign(to_cell=cells.astype("int32"),
-                                          to_block=block.astype("int32"))
-            own = (found["to_cell"] == found["cell"]) & (found["to_block"] == found["block"])
-            yield found.loc[~own, ["id", "x", "limit", "to_cell", "to_block"]]
+            other = (cells != pdf["cell"].to_numpy()[rows]) | (block != pdf["block"].to_numpy()[rows])
+            rows, cells, block = rows[other], cells[other], block[other]
+            for start in range(0, len(rows), most):
+                part = slice(start, start + most)
+                found = pdf[["id", "x", "limit"]].iloc[rows[part]]
+                yield found.assign(to_cell=cells[part].astype("int32"), to_block=block[part].astype("int32"))
     return reach
 
 

@@ -225,6 +225,22 @@ def test_only_heavy_keys_of_a_lookup_are_copied(spark):
             kind.join = real
 
 
+def test_reached_blocks_leave_in_small_frames(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(rebalance, "_CELLS", 64)
+    draw = np.random.default_rng(3)
+    pivots = draw.normal(0, 1, (20, 4))
+    queries = pd.DataFrame({"id": np.arange(50), "x": list(draw.normal(0, 1, (50, 4))), "cell": np.arange(50) % 20, "block": 0, "limit": np.inf})
+    blocks = np.array([2] * 10 + [1] * 9 + [0])
+    frames = list(rebalance._reach(pivots, np.full(20, 1.0), blocks)(iter([queries, queries[:0]])))
+    assert max(map(len, frames)) <= 16
+    found = pd.concat(frames)
+    assert all(found["x"].iloc[i] is queries["x"][found["id"].iloc[i]] for i in range(len(found)))
+    assert sorted(zip(found["id"], found["to_cell"], found["to_block"])) == [
+        (i, c, b) for i in range(50) for c in range(20) for b in range(blocks[c]) if (c, b) != (i % 20, 0)]
+
+
 def test_neighbours_exact_with_crowded_cells(spark):
     rng = random.Random(5)
     data = [(i, [0.25, 0.5, 0.75] if i < 60 else [rng.random() for _ in range(3)])
