@@ -79,7 +79,7 @@ def _fold(id_name: str, text_name: str, names: list[str], schema: pa.Schema):
         for batch in batches:
             ids = batch.column(id_name).to_pylist()
             groups: dict[bytes, list[int]] = {}
-            for row, text in enumerate(texts_of(batch.column(text_name))):
+            for row, text in enumerate(texts_of(batch.column(text_name).cast(pa.binary()))):
                 groups.setdefault(normalised(text), []).append(row)
             for rows in groups.values():
                 if len(rows) > 1:
@@ -110,7 +110,7 @@ def _own(id_name: str, text_name: str, fields: list[str], carry: list[str], sche
             keys = zip(batch.column(bucket_name).to_pylist(), batch.column(key_name).to_pylist())
             members = batch.column(members_name).to_pylist()
             rows, finished = [], []
-            for at, (now, text) in enumerate(zip(keys, texts_of(batch.column(text_name)))):
+            for at, (now, text) in enumerate(zip(keys, texts_of(batch.column(text_name).cast(pa.binary())))):
                 if now != key:
                     if chain:
                         finished.append(classes())
@@ -142,7 +142,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns bucket, key, chain, digest; of class rows keep_id and group_size; of posting rows
     members and first (the posting whose first id stays). With ``keep_rows`` that posting also
-    carries the row of ``docs`` in ``row``.
+    carries the row of ``docs`` in ``row``; its text is also what bytes are compared on, so entries
+    and shuffle hold each text once.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -151,10 +152,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns if keep_rows else [id_col, text_col]
     raw, key, size, members, bucket, slot, first = (
         unused(docs.columns, f"_{n}") for n in ("raw", "key", "size", "ids", "bucket", "slot", "first"))
-    source = docs.select(*names, F.col(text_col).cast("binary").alias(raw))
-    names = [*names, raw]
-    if not keep_rows:
-        source, names = source.drop(text_col), [id_col, raw]
+    if keep_rows and isinstance(docs.schema[text_col].dataType, (T.StringType, T.BinaryType)):
+        source, raw = docs.select(*names), text_col
+    else:
+        source = docs.select(*names, F.col(text_col).cast("binary").alias(raw))
+        names = [*names, raw]
+        if not keep_rows:
+            source, names = source.drop(text_col), [id_col, raw]
     entry_schema = T.StructType([*source.schema.fields, *struct(
         (key, T.LongType()), (size, T.LongType()), (members, T.ArrayType(id_type))).fields])
     entries = stored(source.mapInArrow(
@@ -169,7 +173,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pa.table({slot: np.arange(len(directory)), bucket: directory.astype(np.int64)}))
     place = F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0)
 
-    carry = [c for c in names if c != raw] if keep_rows else []
+    carry = docs.columns if keep_rows else []
     index_schema = T.StructType([*struct(
         ("bucket", T.LongType()), ("key", T.LongType()), ("chain", T.IntegerType()),
         ("digest", T.StringType()), ("keep_id", id_type), ("group_size", T.LongType()),

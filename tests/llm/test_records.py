@@ -60,6 +60,17 @@ def test_exact_keeps_rows_whole(spark):
     assert exact.exact_groups(clashing(spark).limit(0)).count() == 0
 
 
+def test_entries_of_whole_rows_hold_texts_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(exact, "stored", lambda frame, purpose: made.append(frame) or frame)
+    exact.drop_copies(clashing(spark))
+    whole = [f for f in made[0].schema.fields if f.dataType.typeName() in ("string", "binary")]
+    assert [f.name for f in whole] == ["text", "key", "members"]
+    monkeypatch.undo()
+    bare = spark.createDataFrame([(2, b"\xff a"), (1, b"\xff  a"), (3, None)], "doc_id long, text binary")
+    assert sorted(map(tuple, exact.drop_copies(bare).collect())) == [(1, b"\xff  a"), (3, None)]
+
+
 def test_colliding_keys_are_chained(spark, monkeypatch):
     batch = exact.pa.RecordBatch.from_pydict({"b": [0] * 4, "k": [7] * 4, "m": [[1], [2], [3], [4]],
                                               "t": [b"x", b"y", b"x ", b"x"]})
