@@ -35,19 +35,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from sigwatch.llm.common import release, stored, struct, unused
+from sigwatch.llm.common import ragged, release, stored, struct, unused
 from sigwatch.llm.packing import _portions, _runs
 
 ORDER, SHARED, STRETCH, DISCOUNT = 6, 3, 32, 0.75
 PER_CLASS = 8_192
 THRESHOLD = 0.7
-#: Words whose ratio a task remembers before it starts anew, and characters scored together.
+#: Words that a task remembers (their ratio, or that it reported them) before it starts anew, size of
+#: texts taken together, and words scored together.
 REMEMBERED, _CHARS, _TOGETHER = 1 << 18, 2 << 20, 1 << 13
 #: N-grams of an order that a task remembers to have reported.
 _TOLD = 1 << 20
 FLOOR = 1e-5
 
 _WORD = re.compile(r"[^\W_]+")
+#: The words of tokens, each on a line; what ends a line counts as a word.
+_IN_LINES = re.compile(r"[^\W_]+|\n")
 _EDGE, _END = "\0", "\1"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +59,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _tokens(texts: pa.Array) -> pa.ListArray:
+    """Parts between ASCII white space, which no word, and no rule of lower case, reaches across:
+    the words of a text are those of its tokens."""
+    return pc.ascii_split_whitespace(texts)
+
+
+def _lines(tokens: pa.Array) -> str:
+    """Tokens in lower case, a line each."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens)
+    return pc.binary_join(whole, "\n")[0].as_py().lower() + "\n"
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * _ODD
     x ^= x >> np.uint64(29)
@@ -143,17 +158,30 @@ class Order(NamedTuple):
 class Model(NamedTuple):
     orders: list[Order]
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratio, toxic against ordinary, of each word."""
+    def unread(self) -> np.ndarray:
+        """For ``ratios`` to remember letters in: a place for each n-gram of the highest order, and
+        a last one that stays empty."""
+        return np.full(len(self.orders[-1].gram.keys) + 1, np.nan)
+
+    def ratios(self, words: list[str], read: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihood ratio, toxic against ordinary, of each word. That of a letter depends on
+        the n-gram of the highest order alone; ``read`` remembers it for those of the model."""
         if not words:
             return np.empty(0)
         found, ends = grams(words)
-        chance = np.full((len(found[0][0]), 1), FLOOR)
+        read = self.unread() if read is None else read
+        place = self.orders[-1].gram(found[-1][0])
+        letters = read[place]
+        new = np.flatnonzero(np.isnan(letters))
+        chance = np.full((len(new), 1), FLOOR)
         for order, (gram, context) in zip(self.orders, found):
-            at = order.context(context)
-            chance = order.gain[order.gram(gram)] * order.scale[at] + order.rest[at] * chance
+            at = order.context(context[new])
+            chance = (order.gain.take(order.gram(gram[new]), axis=0) * order.scale.take(at, axis=0)
+                      + order.rest.take(at, axis=0) * chance)
         logs = np.log(chance)
-        return np.add.reduceat(logs[:, 1] - logs[:, 0], np.concatenate([[0], ends[:-1] + 1]))
+        letters[new] = read[place[new]] = logs[:, 1] - logs[:, 0]
+        read[-1] = np.nan
+        return np.add.reduceat(letters, np.concatenate([[0], ends[:-1] + 1]))
 
 
 def features(ratios: np.ndarray) -> tuple[float, float, float]:
@@ -166,14 +194,18 @@ def features(ratios: np.ndarray) -> tuple[float, float, float]:
 
 
 class _Scorer:
-    """Features of texts; remembers the ratios of words."""
+    """Features of texts; remembers the ratios of words, and those of letters by n-gram. Words are
+    looked for once in each different token of the texts taken together."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        split = [words_of(text) for text in texts]
-        words = set().union(*split)
+        self.model, self.known, self.read = model, {}, model.unread()
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        lists = _tokens(texts)
+        tokens = lists.flatten().dictionary_encode()
+        found = _IN_LINES.findall(_lines(tokens.dictionary))
+        words = set(found)
+        words.discard("\n")
         new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, words
@@ -181,9 +213,16 @@ class _Scorer:
             new = list(new)
             for at in range(0, len(new), _TOGETHER):
                 part = new[at:at + _TOGETHER]
-                self.known.update(zip(part, self.model.ratios(part).tolist()))
-        known = self.known.__getitem__
-        return np.array([features(np.fromiter(map(known, words), float, len(words))) for words in split])
+                self.known.update(zip(part, self.model.ratios(part, self.read).tolist()))
+        self.known["\n"] = np.inf
+        ratios = np.fromiter(map(self.known.__getitem__, found), float, len(found))
+        ends = np.flatnonzero(ratios == np.inf)
+        starts = np.concatenate([[0], ends + 1])[:len(ends)]
+        at = tokens.indices.to_numpy()
+        held = (ends - starts)[at]
+        ratios = ratios[ragged(starts[at], held)]
+        ends = np.concatenate([[0], np.cumsum(held)])[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+        return np.array([features(ratios[a:b]) for a, b in zip([0, *ends], ends)])
 
 
 def toxic_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -244,18 +283,20 @@ def _class_grams(sample: DataFrame) -> DataFrame:
 
 def _preceded(docs: DataFrame) -> DataFrame:
     """For every n-gram of shared orders in the corpus, its context and how many different letters
-    precede it. A task reports an n-gram with its longer one again only after it has forgotten it."""
+    precede it. A task reports a word, or an n-gram with its longer one, again only after it has
+    forgotten it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(_PRECEDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         seen: set[str] = set()
+        waiting: list[str] = []
         told = [np.empty(0, np.uint64) for _ in range(SHARED)]
 
         def tell():
-            found, _ = grams(list(seen), SHARED + 1)
-            seen.clear()
+            found, _ = grams(waiting[-2 * _TOGETHER:], SHARED + 1)
+            del waiting[-2 * _TOGETHER:]
             for n in range(SHARED):
                 # A longer n-gram implies the n-gram inside it, and that its context.
                 longer, first = np.unique(found[n + 1][0], return_index=True)
@@ -266,11 +307,16 @@ def _preceded(docs: DataFrame) -> DataFrame:
                     [_signed(found[n][1][first]), _signed(found[n][0][first]), _signed(longer)], schema=arrow)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text or ""))
-                if len(seen) > 2 * _TOGETHER:
+            texts = pc.fill_null(batch.column(0), "")
+            for rows in _runs(pc.binary_length(texts).to_pylist(), _CHARS):
+                new = set(_WORD.findall(_lines(_tokens(texts[rows]).flatten().unique()))).difference(seen)
+                if len(seen) + len(new) > REMEMBERED:
+                    seen.clear()
+                seen |= new
+                waiting.extend(new)
+                while len(waiting) > 2 * _TOGETHER:
                     yield from tell()
-        if seen:
+        if waiting:
             yield from tell()
 
     return (docs.select("text").mapInArrow(run, _PRECEDED).distinct()
@@ -317,8 +363,8 @@ def _apply(shared, schema: pa.Schema, keep: int, finish, at: int = -1):
         release()
         scorer = _Scorer(shared.value)
         for batch in batches:
-            texts = [text or "" for text in batch.columns[at].to_pylist()]
-            for rows in _portions(texts, _CHARS):
+            texts = pc.fill_null(batch.columns[at], "")
+            for rows in _runs(pc.binary_length(texts).to_pylist(), _CHARS):
                 found = scorer(texts[rows])
                 kept = [c[rows.start:rows.stop] for c in batch.columns[:keep]]
                 yield pa.RecordBatch.from_arrays([*kept, *finish(found)], schema=schema)
@@ -401,8 +447,9 @@ def with_scores(docs: DataFrame, trained: Trained, name: str = "score", text_col
         release()
         scorer = _Scorer(shared.value)
         for batch in batches:
-            parts = [_scores(light, scorer([text or "" for text in batch[rows].to_pylist()]))
-                     for rows in _runs(pc.binary_length(pc.fill_null(batch, "")).to_pylist(), _CHARS)]
+            texts = pc.fill_null(batch, "")
+            parts = [_scores(light, scorer(texts[rows]))
+                     for rows in _runs(pc.binary_length(texts).to_pylist(), _CHARS)]
             yield pa.array(np.concatenate(parts) if parts else np.empty(0))
     return docs.withColumn(name, score(F.col(text_col).cast("string")))
 

@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -118,6 +120,58 @@ def test_toxicity_of_odd_rows(spark, labels, corpus):
     assert kept.columns == frame.columns and kept.count() == 6
 
 
+def test_scoring_looks_up_each_letter_and_token_once(spark, monkeypatch):
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.drop("toxic"), frame.select("doc_id", "toxic")).model
+    odd = ["", " ", "\t\n_", "you,idiot", "An IDIOT\u3000moron.\x0bmore", "\u0130D\u0130OT idiot\u03a3\u03a3 \u03a3 a\u03a3'b", "no\xa0break _x_y1",
+           "moron" * 3000, "idle\x1cidea\x85news", " \u4e2d\u6587\u3002\u5b57 \U0001d400\u0301x "]
+    texts = [*odd, *["the moron, a nice idea: idle idiots!"] * 500, None]
+    # Word by word, with nothing remembered.
+    apart = {text: [model.ratios([word])[0] for word in toxicity.words_of(text or "")] for text in set(texts)}
+    expected = np.array([toxicity.features(np.array(apart[text])) for text in texts])
+    looked, scanned, look = [], [], toxicity.Lookup.__call__
+    monkeypatch.setattr(toxicity.Lookup, "__call__", lambda self, wanted: looked.append(len(wanted)) or look(self, wanted))
+
+    class Scan:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            scanned.append(len(text))
+            return self.pattern.findall(text)
+
+    for name in ("_WORD", "_IN_LINES"):
+        if hasattr(toxicity, name):
+            monkeypatch.setattr(toxicity, name, Scan(getattr(toxicity, name)))
+    # Few words together: most letters come again in later groups.
+    monkeypatch.setattr(toxicity, "_TOGETHER", 4)
+    arrow = pa.schema([(f"x{i}", pa.float64()) for i in range(3)])
+    run = toxicity._apply(SimpleNamespace(value=model), arrow, 0, lambda x: [pa.array(np.ascontiguousarray(c)) for c in x.T])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    done = pa.Table.from_batches(run(iter([batch, batch])))
+    found = np.stack([column.to_numpy() for column in done.columns], axis=1)
+    assert np.array_equal(found, np.concatenate([expected, expected]))
+    # The many texts hold 36 characters each, the odd ones 15,100 together.
+    assert sum(scanned) < 2 * 16_000
+    looked.clear()
+    # Letters after known ones are looked up in one table, not in two for each of six orders.
+    scorer, words = toxicity._Scorer(model), ["moron", "idiots", "idle", "nice"]
+    for _ in range(3):
+        scorer.known.clear()
+        scorer(pa.array(words))
+    assert sum(looked) < (12 + 3 * 2) * sum(len(word) + 1 for word in words)
+
+
+def test_shared_counts_of_repeated_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 8)  # forgets, and reports again
+    texts = ["a nice idea", "A,nice;idea", "a\x0bnice idea_", None, "", "idle idiots more moron news you the idea " * 3]
+    for each in texts, texts * 50:
+        frame = spark.createDataFrame([(t,) for t in each], "text string").coalesce(1)
+        rows = {(r.context, r.gram): r.n for r in toxicity._preceded(frame).collect()}
+        _, preceded = plain_counts([(1, " ".join(toxicity.words_of(t or "")), None) for t in each])
+        assert sorted(rows.values()) == sorted(n for order in (1, 2, 3) for n in preceded[order].values())
+
+
 PLAIN = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
          ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
 
