@@ -68,7 +68,7 @@ def _tokens(texts: pa.Array) -> pa.ListArray:
 def _lines(tokens: pa.Array) -> str:
     """Tokens in lower case, a line each."""
     whole = pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens)
-    return pc.binary_join(whole, "\n")[0].as_py().lower() + "\n"
+    return pc.binary_join(whole, pa.scalar("\n", tokens.type))[0].as_py().lower() + "\n"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -153,6 +153,7 @@ def test_scoring_looks_up_each_letter_and_token_once(spark, monkeypatch):
     assert np.array_equal(found, np.concatenate([expected, expected]))
     # The many texts hold 36 characters each, the odd ones 15,100 together.
     assert sum(scanned) < 2 * 16_000
+    assert np.array_equal(toxicity._Scorer(model)(pa.array(texts[:-1], pa.large_string())), expected[:-1])
     looked.clear()
     # Letters after known ones are looked up in one table, not in two for each of six orders.
     scorer, words = toxicity._Scorer(model), ["moron", "idiots", "idle", "nice"]
